@@ -12,7 +12,7 @@ def adjusted_skew(x: Column) -> Column:
     """Bias-adjusted skewness; 0 for constants and for fewer than 3 values."""
     n = F.count(x).cast("double")
     g1 = F.skewness(x)
-    value = g1 * F.sqrt(n * (n - 1)) / (n - 2)
+    value = F.try_divide(g1 * F.sqrt(n * (n - 1)), n - 2)
     usable = (n > 2) & (F.min(x) < F.max(x))
     return F.when(n == 0, F.lit(None).cast("double")).otherwise(
         F.when(usable, value).otherwise(F.lit(0.0)))
@@ -22,7 +22,7 @@ def adjusted_kurtosis(x: Column) -> Column:
     """Bias-adjusted excess kurtosis; null for constants and under 4 values."""
     n = F.count(x).cast("double")
     g2 = F.kurtosis(x)
-    value = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
+    value = F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
     return F.when((n > 3) & (F.min(x) < F.max(x)), value)
 
 
