@@ -63,7 +63,7 @@ def row_std(cols: list[Column]) -> Column:
 
 def inf_to_null(x: Column) -> Column:
     return F.when((F.abs(x) == float("inf")) | F.isnan(x),
-                  F.lit(None).cast("double")).otherwise(x)
+                  F.lit(None)).otherwise(x)
 
 
 def cyclic(x: Column) -> tuple[Column, Column]:

@@ -16,7 +16,7 @@ from foldmark.constants import SKEW_LIMIT, TE_SMOOTHING, TOP_VARIANCE
 from foldmark.functions.features import null_token, smoothed
 from foldmark.functions.moments import Moments
 from foldmark.operators.lookup import LevelTable, lookup
-from foldmark.operators.quantiles import Target, exact_quantiles
+from foldmark.operators.quantiles import exact_quantiles
 from foldmark.operators.unpivot import long_values
 from foldmark.session import materialize
 
@@ -205,10 +205,10 @@ def composite(*columns: str) -> Column:
 def fit_medians(df: DataFrame, columns: list[str],
                 slots: Slots = Slots()) -> dict[str, list[float | None]]:
     """Exact median of every column for every slot."""
-    targets = [Target(f"{c}#{k}", F.col(c), where=~slots.own(k))
-               for c in columns for k in range(slots.count)]
-    got = exact_quantiles(df, targets)
-    return {c: [got[f"{c}#{k}"] for k in range(slots.count)] for c in columns}
+    parts = {(c, k): F.when(~slots.own(k), F.col(c))
+             for c in columns for k in range(slots.count)}
+    got = exact_quantiles(df, {f"{c}#{k}": x for (c, k), x in parts.items()}, [0.5])
+    return {c: [got[f"{c}#{k}"][0] for k in range(slots.count)] for c in columns}
 
 
 def fit_moments(df: DataFrame, columns: list[str],

@@ -18,7 +18,7 @@ from foldmark.constants import (
 )
 from foldmark.functions.features import null_token, product, ratio
 from foldmark.functions.kinds import kinds
-from foldmark.operators.quantiles import Target, bin_index, cut_points, exact_quantiles
+from foldmark.operators.quantiles import bin_index, cut_points, exact_quantiles
 from foldmark.operators.unpivot import long_values
 
 BINS = 32
@@ -62,7 +62,7 @@ def discrete_target(df: DataFrame, target: str, classify: bool, bins: int = BINS
     """The target as classes, or cut into equal-frequency bins."""
     if classify:
         return F.col(target)
-    cuts = cut_points(df, [target], bins)[target]
+    cuts = cut_points(df, {target: F.col(target)}, bins)[target]
     return bin_index(F.col(target), cuts)
 
 
@@ -71,17 +71,10 @@ def discrete_features(df: DataFrame, columns: list[str], bins: int = BINS) -> di
     the median, everything else is taken as it is."""
     kind = {c: k for c, k in kinds(df.select(*columns)).items() if k != "datetime"}
     floats = [c for c, k in kind.items() if k == "float"]
-    medians = exact_quantiles(df, [Target(c, F.col(c)) for c in floats])
-    filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(medians[c])).alias(c)
-                         for c in floats]) if floats else df
-    cuts = cut_points(filled, floats, bins)
-    out = {}
-    for c in kind:
-        if c in cuts:
-            out[c] = bin_index(F.coalesce(F.col(c).cast("double"), F.lit(medians[c])), cuts[c])
-        else:
-            out[c] = F.col(c)
-    return out
+    medians = exact_quantiles(df, {c: F.col(c) for c in floats}, [0.5])
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c][0])) for c in floats}
+    cuts = cut_points(df, filled, bins)
+    return {c: bin_index(filled[c], cuts[c]) if c in cuts else F.col(c) for c in kind}
 
 
 def target_relation(df: DataFrame, target: str, top: int = RELATION_TOP,
@@ -118,7 +111,7 @@ def interaction_scan(df: DataFrame, target: str, columns: list[str],
         exprs[f"{a}/{b}"] = F.coalesce(ratio(F.col(a), F.col(b)), zero)
     wide = df.select(F.col(target), *[e.alias(f"_p{i}") for i, e in enumerate(exprs.values())])
     places = [f"_p{i}" for i in range(len(exprs))]
-    cuts = cut_points(wide, places, bins)
+    cuts = cut_points(wide, {p: F.col(p) for p in places}, bins)
     features = {name: bin_index(F.col(p), cuts[p]) for name, p in zip(exprs, places)}
     y = discrete_target(df, target, classify, bins)
     return (mutual_information(wide, features, y)

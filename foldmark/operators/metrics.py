@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from foldmark.constants import DEFAULT_METRIC, LOGLOSS_CLIP, METRIC_PATTERNS
 from foldmark.functions.labels import decode_binary, decode_probabilities
-from foldmark.operators.quantiles import bin_index
+from foldmark.operators.quantiles import rough_cuts, with_piece
 
 EPSILON = 2.220446049250313e-16
 PAIRS_PER_PIECE = 2_000_000
+MAX_PIECES = 16_384
 
 
 @dataclass(frozen=True)
@@ -91,12 +92,9 @@ def auc(df: DataFrame, fold: str, y: str, p: str,
     rows = df.select(F.col(fold), F.col(y).cast("double").alias("_y"),
                      F.col(p).cast("double").alias("_p"))
     n = rows.count()
-    cuts: list[float] = []
-    if n > pairs_per_piece:
-        pieces = min(-(-n // pairs_per_piece), 4_096)
-        probs = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
-        cuts = rows.agg(F.percentile_approx("_p", probs, F.lit(max(10_000, 4 * pieces)))).first()[0]
-    scored = (rows.withColumn("_piece", bin_index(F.col("_p"), sorted(set(cuts))))
+    pieces = min(-(-n // pairs_per_piece), MAX_PIECES)
+    cuts = rough_cuts(rows, F.col("_p"), pieces) if pieces > 1 else []
+    scored = (with_piece(rows, F.col("_p"), cuts, "_piece")
               .groupBy(fold, "_piece", "_p")
               .agg(F.count_if(F.col("_y") == 1).alias("pos"),
                    F.count_if(F.col("_y") == 0).alias("neg")))

@@ -108,8 +108,8 @@ def fit_model(df: DataFrame, features: list[str], label: str, problem_type: str,
     if problem_type == "regression":
         trees = GBTRegressor(maxIter=params.rounds, stepSize=params.rate, **common)
     elif problem_type == "binary":
-        trees = GBTClassifier(maxIter=params.rounds, stepSize=params.rate,
-                              probabilityCol="_probability", rawPredictionCol="_raw", **common)
+        trees = GBTClassifier(maxIter=params.rounds, stepSize=params.rate, **common)
+        trees = trees.setProbabilityCol("_probability").setRawPredictionCol("_raw")
     else:
         trees = RandomForestClassifier(numTrees=params.rounds, probabilityCol="_probability",
                                        rawPredictionCol="_raw", **common)
@@ -119,8 +119,10 @@ def fit_model(df: DataFrame, features: list[str], label: str, problem_type: str,
     fitted = Pipeline(stages=stages).fit(rows)
     if holdout is not None and problem_type in ("regression", "binary"):
         ready = PipelineModel(fitted.stages[:-1])
-        losses = fitted.stages[-1].evaluateEachIteration(
-            ready.transform(prepare(holdout.select(*columns))))
+        held = ready.transform(prepare(holdout.select(*columns)))
+        losses = (fitted.stages[-1].evaluateEachIteration(held, "squared")
+                  if problem_type == "regression"
+                  else fitted.stages[-1].evaluateEachIteration(held))
         best = min(range(len(losses)), key=lambda i: losses[i]) + 1
         if best < len(losses):
             fewer = trees.setMaxIter(best).fit(ready.transform(rows))

@@ -1,199 +1,246 @@
-"""Exact quantiles of many columns and slices without a global sort.
+"""Exact quantiles of many columns without a global sort.
 
 ``percentile`` keeps every distinct value of a column in one buffer, which a
-continuous column of a large table does not fit.  Here an approximate sketch
-gives, for each wanted rank, a narrow bracket of values; one pass counts what
-lies below and inside each bracket; only the values inside are then ordered.
-Brackets that still hold too many rows are narrowed again first.
+continuous column of a large table does not fit.  Here a sketch gives, for
+each wanted rank, a narrow interval of values.  One grouped pass counts the
+rows in the gaps between intervals and the values inside them; only the
+latter are ordered.  Intervals expected to hold too much are narrowed first.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
-from functools import reduce
+from collections.abc import Callable
+from dataclasses import dataclass
 from math import ceil, floor
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-ACCURACY = 10_000
-MAX_BRACKET_ROWS = 2_000_000
-
+from foldmark.session import materialize
 
-@dataclass(frozen=True)
-class Target:
-    """One wanted quantile: of ``column``, at ``p``, over rows where ``where``.
-
-    ``discrete`` takes an existing value; otherwise the two neighbours of the
-    rank are interpolated.
-    """
-
-    key: str
-    column: Column
-    p: float = 0.5
-    where: Column | None = None
-    discrete: bool = False
-
-    def value(self) -> Column:
-        x = self.column.cast("double")
-        keep = ~F.isnan(x)
-        if self.where is not None:
-            keep = keep & self.where
-        return F.when(keep, x)
-
-
-@dataclass(frozen=True)
-class _Bracket:
-    target: Target
-    first: int              # zero-based ranks wanted
-    second: int
-    weight: float           # interpolation weight of the second rank
-    low: float = 0.0
-    high: float = 0.0
-    n: int = 0
-    below: int = 0
-    inside: int = 0
-
-
-def _ranks(target: Target, n: int) -> tuple[int, int, float]:
-    if target.discrete:
-        r = max(ceil(round(n * target.p, 9)) - 1, 0)
-        return r, r, 0.0
-    place = (n - 1) * target.p
-    return floor(place), ceil(place), place - floor(place)
-
-
-def _row(df: DataFrame, columns: list[Column]):
-    return df.agg(*columns).first()
-
-
-def _narrow(df: DataFrame, brackets: list[_Bracket], spread: float) -> list[_Bracket]:
-    """Bracket each wanted rank among the rows of its current bracket."""
-    cols = []
-    for i, b in enumerate(brackets):
-        x = b.target.value()
-        inside = F.when(x.between(b.low, b.high), x)
-        lo = (b.first - b.below) / max(b.inside, 1) - spread
-        hi = (b.second + 1 - b.below) / max(b.inside, 1) + spread
-        probs = [min(max(lo, 0.0), 1.0), min(max(hi, 0.0), 1.0)]
-        cols.append(F.percentile_approx(
-            inside, F.array(*[F.lit(p) for p in probs]),
-            F.lit(ACCURACY)).alias(f"b{i}"))
-    got = _row(df, cols)
-    return [replace(b, low=got[f"b{i}"][0], high=got[f"b{i}"][1])
-            for i, b in enumerate(brackets)]
-
-
-def _count(df: DataFrame, brackets: list[_Bracket]) -> list[_Bracket]:
-    cols = []
-    for i, b in enumerate(brackets):
-        x = b.target.value()
-        cols.append(F.count_if(x < b.low).alias(f"below{i}"))
-        cols.append(F.count_if(x.between(b.low, b.high)).alias(f"inside{i}"))
-    got = _row(df, cols)
-    return [replace(b, below=got[f"below{i}"], inside=got[f"inside{i}"])
-            for i, b in enumerate(brackets)]
-
-
-def exact_quantiles(df: DataFrame, targets: list[Target]) -> dict[str, float | None]:
-    """The value of every target; a null for slices without values.
-
-    What comes back to the driver is one number per target.
+ACCURACY = 10_000
+MAX_INSIDE = 2_000_000
+INF = float("inf")
+
+
+@dataclass
+class _Source:
+    """A column whose ranks are wanted, and the intervals they lie in."""
+
+    n: int
+    ranks: list[int]
+    intervals: list[tuple[float, float]]
+
+
+def _tree(tests: list[Column], leaf: Callable[[int], Column], lo: int, hi: int) -> Column:
+    """First test that holds, found by bisection."""
+    if lo == hi:
+        return leaf(lo)
+    mid = (lo + hi) // 2
+    return F.when(tests[mid], _tree(tests, leaf, lo, mid)).otherwise(
+        _tree(tests, leaf, mid + 1, hi))
+
+
+def _merge(intervals: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    out: list[tuple[float, float]] = []
+    for low, high in sorted(intervals):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
+
+
+def _code(x: Column, intervals: list[tuple[float, float]]) -> Column:
+    """2j in the gap before interval j, 2j + 1 inside it."""
+    tests = [t for low, high in intervals for t in (x < low, x <= high)]
+    return _tree(tests, F.lit, 0, len(tests))
+
+
+def _long(wide: DataFrame, sources: list[_Source]) -> DataFrame:
+    """``(s, code, value)`` of every value; outside intervals no value."""
+    items = []
+    for i, s in enumerate(sources):
+        x = F.col(f"_x{i}")
+        code = _code(x, s.intervals)
+        items.append(F.when(x.isNotNull(), F.struct(
+            F.lit(i).alias("s"), code.alias("code"),
+            F.when(code % 2 == 1, x).alias("value"))))
+    return (wide.select(F.explode(F.array_compact(F.array(*items))).alias("v"))
+            .select("v.s", "v.code", "v.value"))
+
+
+def _totals(counts: DataFrame) -> dict[int, dict[int, int]]:
+    """Rows by source and code: two codes per interval come back."""
+    out: dict[int, dict[int, int]] = {}
+    for r in counts.groupBy("s", "code").agg(F.sum("n").alias("n")).collect():
+        out.setdefault(r["s"], {})[r["code"]] = r["n"]
+    return out
+
+
+def _place(totals: dict[int, int], rank: int) -> tuple[int, int]:
+    """Code that holds a rank, and the rows before that code."""
+    before = 0
+    for code in sorted(totals):
+        if rank < before + totals[code]:
+            return code, before
+        before += totals[code]
+    raise AssertionError("rank beyond the counted rows")
+
+
+def _widen(source: _Source, totals: dict[int, int]) -> bool:
+    """Add the gaps that hold a rank, where the sketch was off."""
+    missed = {code for code, _ in (_place(totals, r) for r in source.ranks) if code % 2 == 0}
+    for code in missed:
+        j = code // 2
+        low = source.intervals[j - 1][1] if j > 0 else -INF
+        high = source.intervals[j][0] if j < len(source.intervals) else INF
+        source.intervals = source.intervals + [(low, high)]
+    source.intervals = _merge(source.intervals)
+    return bool(missed)
+
+
+def _narrow(wide: DataFrame, sources: list[_Source]) -> bool:
+    """Replace crowded intervals by those of a sketch of their own rows."""
+    totals = _totals(_long(wide, sources).groupBy("s", "code")
+                     .agg(F.count(F.lit(1)).alias("n")))
+    cols, plan = [], []
+    for i, s in enumerate(sources):
+        if s.n == 0 or _widen(s, totals.get(i, {})):
+            continue
+        for j, (low, high) in enumerate(s.intervals):
+            inside = totals[i].get(2 * j + 1, 0)
+            if inside <= MAX_INSIDE or low == high:
+                continue
+            held = [(r, b) for r in s.ranks
+                    for c, b in [_place(totals[i], r)] if c == 2 * j + 1]
+            probs = sorted({min(max((r - b + d) / inside + e, 0.0), 1.0)
+                            for r, b in held for d, e in ((0, -2 / ACCURACY), (1, 2 / ACCURACY))})
+            x = F.col(f"_x{i}")
+            cols.append(F.percentile_approx(F.when(x.between(low, high), x), F.array(
+                *[F.lit(p) for p in probs]), F.lit(ACCURACY)).alias(f"c{len(plan)}"))
+            plan.append((i, j, probs, held, inside))
+    if not plan:
+        return False
+    got = wide.agg(*cols).first()
+    changed = False
+    by_source: dict[int, list] = {}
+    for k, (i, j, probs, held, inside) in enumerate(plan):
+        value = dict(zip(probs, got[f"c{k}"]))
+        fresh = _merge([(value[min(max((r - b) / inside - 2 / ACCURACY, 0.0), 1.0)],
+                         value[min(max((r - b + 1) / inside + 2 / ACCURACY, 0.0), 1.0)])
+                        for r, b in held])
+        changed |= fresh != [sources[i].intervals[j]]
+        by_source.setdefault(i, []).append((j, fresh))
+    for i, fresh in by_source.items():
+        kept = [iv for j, iv in enumerate(sources[i].intervals) if j not in dict(fresh)]
+        sources[i].intervals = _merge(kept + [iv for _, ivs in fresh for iv in ivs])
+    return changed
+
+
+def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float],
+                    discrete: bool = False) -> dict[str, list[float | None]]:
+    """Quantiles of every column at every probability.
+
+    Values are interpolated between neighbours, or, with ``discrete``, taken
+    from the column.  Nulls and NaN are left out.  What comes back to the
+    driver is a fixed number of values per column and probability.
     """
-    if not targets:
-        return {}
-    # One pass: size, range and a first bracket around every rank. The sketch
-    # is off by at most n/ACCURACY ranks; the bracket allows for twice that.
+    if not columns or not probs:
+        return {name: [None] * len(probs) for name in columns}
+    names = list(columns)
+    wide = df.select(*[columns[c].cast("double").alias(f"_y{i}") for i, c in enumerate(names)])
+    wide = wide.select(*[F.when(~F.isnan(f"_y{i}"), F.col(f"_y{i}")).alias(f"_x{i}")
+                         for i in range(len(names))])
+    # the sketch is off by at most n / ACCURACY ranks; allow for twice that
     spread = 2.0 / ACCURACY
-    cols = []
-    for i, t in enumerate(targets):
-        x = t.value()
-        probs = [max(t.p - spread, 0.0), min(t.p + spread, 1.0)]
-        cols += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"min{i}"),
-                 F.max(x).alias(f"max{i}"),
-                 F.percentile_approx(x, F.array(*[F.lit(p) for p in probs]),
-                                     F.lit(ACCURACY)).alias(f"b{i}")]
-    got = _row(df, cols)
-    result: dict[str, float | None] = {t.key: None for t in targets}
-    whole: dict[str, _Bracket] = {}
-    brackets = []
-    for i, t in enumerate(targets):
-        n = got[f"n{i}"]
-        if n:
-            first, second, weight = _ranks(t, n)
-            low, high = got[f"b{i}"]
-            start = _Bracket(t, first, second, weight, got[f"min{i}"],
-                             got[f"max{i}"], n, 0, n)
-            whole[t.key] = start
-            # ranks next to the ends need the true minimum and maximum
-            edge = 2 * spread * n + 2
-            brackets.append(replace(
-                start, low=start.low if first <= edge else low,
-                high=start.high if second >= n - 1 - edge else high))
-    if not brackets:
-        return result
-
-    def covers(b: _Bracket) -> bool:
-        return b.below <= b.first and b.second < b.below + b.inside
-
-    brackets = _count(df, brackets)
+    edges = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-spread, spread)]
+    ask = F.array(*[F.lit(e) for e in edges])
+    got = wide.agg(*[a for i in range(len(names)) for a in (
+        F.count(f"_x{i}").alias(f"n{i}"),
+        F.percentile_approx(f"_x{i}", ask, F.lit(ACCURACY)).alias(f"e{i}"))]).first()
+
+    sources, spots = [], []
+    for i in range(len(names)):
+        n, found = got[f"n{i}"], got[f"e{i}"]
+        if not n:
+            sources.append(_Source(0, [], []))
+            spots.append([])
+            continue
+        spot = []
+        for p in probs:
+            if discrete:
+                r = max(ceil(round(n * p, 9)) - 1, 0)
+                spot.append((r, r, 0.0))
+            else:
+                at = (n - 1) * p
+                spot.append((floor(at), ceil(at), at - floor(at)))
+        spots.append(spot)
+        intervals = _merge([(found[2 * k], found[2 * k + 1]) for k in range(len(probs))])
+        sources.append(_Source(n, sorted({r for s in spot for r in s[:2]}), intervals))
+    if not any(s.n for s in sources):
+        return {name: [None] * len(probs) for name in names}
+
+    if max(s.n for s in sources) * 2 * spread > MAX_INSIDE:
+        while _narrow(wide, sources):
+            pass
     while True:
-        # A bracket that missed its rank falls back to the full range.
-        missed = [b.target.key for b in brackets if not covers(b)]
-        if missed:
-            brackets = _count(df, [whole[b.target.key] if b.target.key in missed
-                                   else b for b in brackets])
-        wide = {b.target.key for b in brackets
-                if b.inside > MAX_BRACKET_ROWS and b.low < b.high}
-        if not wide:
+        counts = materialize(_long(wide, sources).groupBy("s", "code", "value")
+                             .agg(F.count(F.lit(1)).alias("n")))
+        totals = _totals(counts)
+        missed = [_widen(s, totals[i]) for i, s in enumerate(sources) if s.n]
+        if not any(missed):
             break
-        tried = _count(df, _narrow(df, [b for b in brackets
-                                        if b.target.key in wide], 4.0 / ACCURACY))
-        better = {b.target.key: b for b in tried if covers(b)}
-        before = {b.target.key: b.inside for b in brackets}
-        brackets = [better.get(b.target.key, b) for b in brackets]
-        if all(better.get(k) is None or better[k].inside >= before[k] for k in wide):
-            break           # as narrow as ties allow: few distinct values remain
-
-    # Order only what lies inside the brackets, equal values counted together.
-    def item(b: _Bracket) -> Column:
-        x = b.target.value()
-        return F.when(x.between(b.low, b.high),
-                      F.struct(F.lit(b.target.key).alias("key"), x.alias("value")))
-
-    hits = F.filter(F.array(*[item(b) for b in brackets]), lambda s: s.isNotNull())
-    touched = reduce(lambda a, c: a | c,
-                     [b.target.value().between(b.low, b.high) for b in brackets])
-    counted = (df.filter(touched).select(F.explode(hits).alias("hit"))
-               .groupBy(F.col("hit.key").alias("key"), F.col("hit.value").alias("value"))
-               .agg(F.count(F.lit(1)).alias("n")))
-    running = counted.withColumn(
-        "upto", F.sum("n").over(W.partitionBy("key").orderBy("value")
-                                .rowsBetween(W.unboundedPreceding, 0)))
-    ranks = F.create_map(*[part for b in brackets for part in (
-        F.lit(b.target.key), F.struct(F.lit(b.first - b.below).alias("a"),
-                                      F.lit(b.second - b.below).alias("b")))])
-    picked = (running.withColumn("rank", F.element_at(ranks, F.col("key"))).groupBy("key")
-              .agg(F.min(F.when(F.col("upto") > F.col("rank.a"), F.col("value"))).alias("a"),
-                   F.min(F.when(F.col("upto") > F.col("rank.b"), F.col("value"))).alias("b")))
-    weight = {b.target.key: b.weight for b in brackets}
-    for row in picked.collect():
-        w = weight[row["key"]]
-        result[row["key"]] = row["a"] + (row["b"] - row["a"]) * w
-    return result
-
-
-def cut_points(df: DataFrame, columns: list[str], bins: int) -> dict[str, list[float]]:
+
+    # look each rank up inside its interval; one row per rank comes back
+    wanted = []
+    for i, s in enumerate(sources):
+        for r in s.ranks:
+            code, before = _place(totals[i], r)
+            wanted.append((i, code, r, r - before))
+    ranks = df.sparkSession.createDataFrame(wanted, "s int, code int, rank long, at long")
+    upto = F.sum("n").over(W.partitionBy("s", "code").orderBy("value")
+                           .rowsBetween(W.unboundedPreceding, 0))
+    placed = (counts.filter(F.col("value").isNotNull()).withColumn("upto", upto)
+              .join(F.broadcast(ranks), ["s", "code"])
+              .filter((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("n"))))
+    at = {(r["s"], r["rank"]): r["value"] for r in placed.select("s", "rank", "value").collect()}
+    return {name: [at[i, a] + (at[i, b] - at[i, a]) * w for a, b, w in spots[i]]
+            if sources[i].n else [None] * len(probs) for i, name in enumerate(names)}
+
+
+# -- bins ------------------------------------------------------------------------
+
+def cut_points(df: DataFrame, columns: dict[str, Column], bins: int) -> dict[str, list[float]]:
     """Inner cut points of equal-frequency bins: existing values, ascending."""
-    targets = [Target(f"{c}#{i}", F.col(c), i / bins, discrete=True)
-               for c in columns for i in range(1, bins)]
-    got = exact_quantiles(df, targets)
-    return {c: sorted({got[f"{c}#{i}"] for i in range(1, bins)} - {None})
-            for c in columns}
+    got = exact_quantiles(df, columns, [i / bins for i in range(1, bins)], discrete=True)
+    return {c: sorted(set(v) - {None}) for c, v in got.items()}
 
 
 def bin_index(x: Column, cuts: list[float]) -> Column:
     """Number of cut points below the value; null stays null."""
+    y = x.cast("double")
+    return F.when(y.isNotNull(), _tree([y <= c for c in cuts], F.lit, 0, len(cuts)))
+
+
+def rough_cuts(df: DataFrame, x: Column, pieces: int) -> list[float]:
+    """Approximate cut points, repeated where one value fills several."""
+    probs = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
+    got = df.agg(F.percentile_approx(x, probs, F.lit(max(ACCURACY, 4 * pieces)))).first()[0]
+    return got or []
+
+
+def with_piece(df: DataFrame, x: Column, cuts: list[float], name: str) -> DataFrame:
+    """Add the piece of a value among any number of cut points.
+
+    ``Bucketizer`` bisects and closes ranges on the left; negated values and
+    cuts close them on the right, so that a cut belongs to the piece below.
+    """
     if not cuts:
-        return F.when(x.isNotNull(), F.lit(0))
-    return F.when(x.isNotNull(), F.size(F.filter(
-        F.array(*[F.lit(c) for c in cuts]), lambda c: c < x.cast("double"))))
+        return df.withColumn(name, F.lit(0))
+    splits = [-INF, *sorted(-c for c in set(cuts)), INF]
+    bucket = Bucketizer(splits=splits, inputCol="_neg", outputCol="_bucket",
+                        handleInvalid="keep")
+    return (bucket.transform(df.withColumn("_neg", -x.cast("double")))
+            .withColumn(name, (F.lit(len(splits) - 2) - F.col("_bucket")).cast("int"))
+            .drop("_neg", "_bucket"))

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from foldmark.operators.encode import as_level_table
 from foldmark.operators.lookup import lookup
-from foldmark.operators.quantiles import bin_index
+from foldmark.operators.quantiles import rough_cuts, with_piece
 
 ROWS_PER_PIECE = 2_000_000
-MAX_PIECES = 4_096
+MAX_PIECES = 16_384
 
 
 def as_number(df: DataFrame, column: str) -> Column:
@@ -33,13 +33,6 @@ def largest_group(df: DataFrame, by: list[str]) -> int:
     return row[0] or 0
 
 
-def _cuts(df: DataFrame, x: Column, pieces: int) -> list[float]:
-    probs = [i / pieces for i in range(1, pieces)]
-    got = df.agg(F.percentile_approx(x, F.array(*[F.lit(p) for p in probs]),
-                                     F.lit(max(10_000, 4 * pieces)))).first()[0]
-    return got or []
-
-
 def pieces(df: DataFrame, entity: list[str], order: str, key: str,
            rows_per_piece: int = ROWS_PER_PIECE) -> DataFrame | None:
     """Rows with ``_piece`` and ``_part``; none when plain windows will do.
@@ -53,19 +46,19 @@ def pieces(df: DataFrame, entity: list[str], order: str, key: str,
     n = df.count()
     wanted = min(max(2, -(-n // rows_per_piece)), MAX_PIECES)
     x = as_number(df, order)
-    found = _cuts(df, x, wanted)
+    found = rough_cuts(df, x, wanted)
+    out = with_piece(df, x, found, "_piece")
     hot = sorted({v for v in found if found.count(v) > 1})
-    piece = bin_index(x, sorted(set(found)))
-    part = F.lit(0)
-    if hot:
-        hot_values = F.array(*[F.lit(v) for v in hot])
-        piece = piece + F.size(F.filter(hot_values, lambda v: v <= x))
-        ties = df.filter(F.array_contains(hot_values, x))
-        k = as_number(df, key)
-        part = F.when(F.array_contains(hot_values, x),
-                      bin_index(k, sorted(set(_cuts(ties, k, wanted))))).otherwise(0)
-    return df.withColumns({"_piece": F.coalesce(piece, F.lit(-1)),
-                           "_part": F.coalesce(part, F.lit(0))})
+    if not hot:
+        return out.withColumns({"_piece": F.coalesce("_piece", F.lit(-1)), "_part": F.lit(0)})
+    hot_values = F.array(*[F.lit(v) for v in hot])
+    is_hot = F.coalesce(F.array_contains(hot_values, x), F.lit(False))
+    k = as_number(df, key)
+    out = with_piece(out, k, rough_cuts(df.filter(is_hot), k, wanted), "_part")
+    # pieces are counted double so that a hot value fits between its neighbours
+    return out.withColumns({
+        "_piece": F.coalesce(F.col("_piece") * 2 + is_hot.cast("int"), F.lit(-1)),
+        "_part": F.when(is_hot, F.coalesce("_part", F.lit(-1))).otherwise(0)})
 
 
 def event_history(df: DataFrame, entity: list[str], order: str, key: str, flag: Column,

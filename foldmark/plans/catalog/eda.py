@@ -144,7 +144,7 @@ def bins_sql(name: str, column: str, table: str, bins: int = 32) -> str:
 
 def in_bin(column: str, name: str) -> str:
     return (f"CASE WHEN {column} IS NOT NULL THEN "
-            f"(SELECT len(list_filter(cuts, c -> c < {column})) FROM {name}) END")
+            f"(SELECT len(list_filter(cuts, lambda c: c < {column})) FROM {name}) END")
 
 
 _MI_DISCRETE = {c: c for c in ("segment", "nation", "priority", "order_year")}

@@ -8,7 +8,7 @@ from foldmark.operators import folds, metrics
 from foldmark.operators.encode import Slots, fit_levels
 from foldmark.operators.evaluate import improves, residual_segments, score_summary
 from foldmark.plans import fixtures as fx
-from foldmark.plans.catalog.base import query, rounded, union_sql
+from foldmark.plans.catalog.base import query, rounded
 from foldmark.sources.tables import read_table
 
 
@@ -79,11 +79,10 @@ def m_mlogloss(spark, folder):
     return rounded(metrics.score_folds(rows, metrics.METRICS["mlogloss"], "fold", "label", "probs", 3))
 
 
-@query("score_fold", union_sql([
-    by_fold("avg(CAST(y = CAST(p >= 0.5 AS INTEGER) AS INTEGER))").replace(
-        "SELECT fold,", "SELECT 'accuracy' AS metric, fold,"),
-    by_fold(_AUC_SCORE, "r", _AUC).replace("SELECT fold, round", "SELECT 'auc' AS metric, fold, round")])
-    .replace("UNION ALL\nWITH", "UNION ALL WITH"))
+@query("score_fold", f"""WITH {_AUC}
+SELECT 'accuracy' AS metric, fold, round(avg(CAST(y = CAST(p >= 0.5 AS INTEGER) AS INTEGER)), 6) AS score
+FROM scored GROUP BY fold
+UNION ALL SELECT 'auc', fold, round({_AUC_SCORE}, 6) FROM r GROUP BY fold""")
 def score_fold(spark, folder):
     """A label metric thresholds the probability, a ranking metric keeps it."""
     rows = fx.scored(spark, folder)
@@ -107,10 +106,10 @@ def summary(spark, folder):
 
 
 @query("improve", f"""WITH {fx.JOURNAL}, base AS (
-  SELECT run, arg_min(score, t || lpad(CAST(iter + 1 AS VARCHAR), 9, '0')) AS best, 0.001 AS std
+  SELECT run, arg_min(score, t || lpad(CAST(iter + 1 AS VARCHAR), 9, '0')) AS best, 0.001 AS best_std
   FROM journal WHERE event = 'BASELINE' GROUP BY run)
-SELECT run, iter, coalesce(ok AND (best IS NULL OR score > best + 0.1 * std), false) AS up,
-  coalesce(ok AND (best IS NULL OR score < best - 0.1 * std), false) AS down
+SELECT run, iter, coalesce(ok AND (best IS NULL OR score > best + 0.1 * best_std), false) AS up,
+  coalesce(ok AND (best IS NULL OR score < best - 0.1 * best_std), false) AS down
 FROM journal LEFT JOIN base USING (run) WHERE event = 'RESULT'""")
 def improve(spark, folder):
     """Every result against its run's baseline, in both directions."""

@@ -121,14 +121,14 @@ def j_model_norm(spark, folder):
 
 @query("j_usage_totals", f"""{_USAGE} SELECT run, rate_model, CAST(sum(input) AS BIGINT) AS input,
   CAST(sum(output) AS BIGINT) AS output, CAST(sum(input + output) AS BIGINT) AS total,
-  round(sum(cost), 4) AS cost FROM usage GROUP BY ALL""")
+  round(sum(cost), 6) AS cost FROM usage GROUP BY ALL""")
 def j_usage_totals(spark, folder):
-    return rounded(ops.usage_totals(fx.journal(spark, folder)), 4)
+    return rounded(ops.usage_totals(fx.journal(spark, folder)))
 
 
 @query("j_cost_per_accept", f"""{_USAGE}, a AS (SELECT run, count(*) AS accepts FROM journal
   WHERE event = 'ACCEPT' GROUP BY run), u AS (SELECT run, sum(cost) AS cost FROM usage GROUP BY run)
-SELECT run, round(cost, 4) AS cost, coalesce(accepts, 0) AS accepts,
-  round(cost / accepts, 4) AS cost_per_accept FROM u LEFT JOIN a USING (run)""")
+SELECT run, round(cost, 6) AS cost, coalesce(accepts, 0) AS accepts,
+  round(cost / accepts, 8) AS cost_per_accept FROM u LEFT JOIN a USING (run)""")
 def j_cost_per_accept(spark, folder):
-    return rounded(ops.cost_per_accept(fx.journal(spark, folder)), 4)
+    return rounded(ops.cost_per_accept(fx.journal(spark, folder)), 6, cost_per_accept=8)
