@@ -16,42 +16,12 @@ from foldmark.constants import SKEW_LIMIT, TE_SMOOTHING, TOP_VARIANCE
 from foldmark.functions.features import null_token, smoothed
 from foldmark.functions.moments import Moments
 from foldmark.operators.lookup import LevelTable, lookup
-from foldmark.operators.quantiles import exact_quantiles
+from foldmark.operators.quantiles import slot_quantiles
+from foldmark.operators.slots import Slots
 from foldmark.operators.unpivot import long_values
 from foldmark.session import materialize
 
 
-@dataclass(frozen=True)
-class Slots:
-    """Which rows a value was learned from."""
-
-    fold: str | None = None     # fold column, none for a plain fit
-    folds: int = 0
-
-    @property
-    def count(self) -> int:
-        return self.folds + 1
-
-    def own(self, slot: int) -> Column:
-        """True for rows that slot leaves out."""
-        if slot == self.folds or self.fold is None:
-            return F.lit(False)
-        return F.col(self.fold) == slot
-
-    def pick(self, values: Column, holdout: int | None) -> Column:
-        """The value for a row: of one holdout, of the row's own fold
-        (``holdout=-1``), or learned from all rows (``None``)."""
-        if holdout is None:
-            return F.element_at(values, self.count)
-        if holdout >= 0:
-            return F.element_at(values, holdout + 1)
-        return F.element_at(values, F.col(self.fold).cast("int") + 1)
-
-
-def _less_own(total: Column, own: list[Column]) -> Column:
-    return F.array(*[total - o for o in own], total)
-
-
 def target_totals(df: DataFrame, y: Column, slots: Slots = Slots()) -> tuple[list, list]:
     """Sum and count of the target per slot: two short driver lists."""
     x = y.cast("double")
@@ -97,8 +67,9 @@ def level_counts(df: DataFrame, columns: dict[str, Column], y: Column | None = N
 
     def slot_array(name: str) -> Column:
         zero = F.lit(0.0) if name == "ys" else F.lit(0)
-        return _less_own(F.coalesce(F.col(name), zero),
-                         [F.coalesce(F.col(f"{name}{k}"), zero) for k in range(slots.folds)])
+        return slots.less_own(F.coalesce(F.col(name), zero),
+                              [F.coalesce(F.col(f"{name}{k}"), zero)
+                               for k in range(slots.folds)])
 
     out = ["feature", "level", "n", slot_array("n").alias("counts")]
     if y is not None:
@@ -205,10 +176,8 @@ def composite(*columns: str) -> Column:
 def fit_medians(df: DataFrame, columns: list[str],
                 slots: Slots = Slots()) -> dict[str, list[float | None]]:
     """Exact median of every column for every slot."""
-    parts = {(c, k): F.when(~slots.own(k), F.col(c))
-             for c in columns for k in range(slots.count)}
-    got = exact_quantiles(df, {f"{c}#{k}": x for (c, k), x in parts.items()}, [0.5])
-    return {c: [got[f"{c}#{k}"][0] for k in range(slots.count)] for c in columns}
+    got = slot_quantiles(df, {c: F.col(c) for c in columns}, [0.5], slots)
+    return {c: [q[0] for q in v] for c, v in got.items()}
 
 
 def fit_moments(df: DataFrame, columns: list[str],

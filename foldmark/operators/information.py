@@ -16,9 +16,9 @@ from foldmark.constants import (
     CLASS_LIMIT, CLASS_SHARE, INTERACTION_CLASS_LIMIT, INTERACTION_COLUMNS,
     INTERACTION_PAIRS, RELATION_TOP,
 )
-from foldmark.functions.features import null_token, product, ratio
+from foldmark.functions.features import product, ratio
 from foldmark.functions.kinds import kinds
-from foldmark.operators.quantiles import bin_index, cut_points, exact_quantiles
+from foldmark.operators.quantiles import cut_points, exact_quantiles, with_bins
 from foldmark.operators.unpivot import long_values
 
 BINS = 32
@@ -28,20 +28,22 @@ def _n_log_n(n: Column) -> Column:
     return n * F.ln(n.cast("double"))
 
 
-def mutual_information(df: DataFrame, features: dict[str, Column], y: Column) -> DataFrame:
-    """``(column, n, mutual_info)`` of discrete features with a discrete y.
+def mutual_information(df: DataFrame, features: list[str], y: str) -> DataFrame:
+    """``(column, n, mutual_info)`` of discrete columns with a discrete y.
 
-    Null is a level of its own on both sides.
+    Null is a level of its own on both sides, as grouping has it.
     """
-    pairs = long_values(df, {c: null_token(x) for c, x in features.items()},
-                        keep={"_y": null_token(y)})
+    same = len({df.schema[c].dataType for c in features}) == 1
+    pairs = (df.select(F.col(y).alias("_y"), *features)
+             .unpivot(["_y"], features, "column", "value") if same
+             else long_values(df, features, keep={"_y": F.col(y)}))
     joint = pairs.groupBy("column", "value", "_y").agg(F.count(F.lit(1)).alias("n"))
     by_value = (joint.groupBy("column", "value")
                 .agg(F.sum("n").alias("nx"), F.sum(_n_log_n(F.col("n"))).alias("sxy")))
     by_column = (by_value.groupBy("column")
                  .agg(F.sum("nx").alias("n"), F.sum("sxy").alias("sxy"),
                       F.sum(_n_log_n(F.col("nx"))).alias("sx")))
-    by_target = (df.groupBy(null_token(y).alias("_y")).agg(F.count(F.lit(1)).alias("ny"))
+    by_target = (df.groupBy(F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("ny"))
                  .agg(F.sum(_n_log_n(F.col("ny"))).alias("sy")))
     value = (F.ln(F.col("n").cast("double"))
              + (F.col("sxy") - F.col("sx") - by_target.scalar()) / F.col("n"))
@@ -58,23 +60,25 @@ def is_classification(df: DataFrame, target: str, share: float = CLASS_SHARE,
     return facts["levels"] <= max(limit, int(share * (facts["n"] or 0)))
 
 
-def discrete_target(df: DataFrame, target: str, classify: bool, bins: int = BINS) -> Column:
-    """The target as classes, or cut into equal-frequency bins."""
-    if classify:
-        return F.col(target)
-    cuts = cut_points(df, {target: F.col(target)}, bins)[target]
-    return bin_index(F.col(target), cuts)
+def discrete(df: DataFrame, columns: list[str], bins: int = BINS,
+             also: list[str] = ()) -> DataFrame:
+    """Columns as levels, beside untouched others.
 
-
-def discrete_features(df: DataFrame, columns: list[str], bins: int = BINS) -> dict[str, Column]:
-    """Columns as levels: floats are cut into bins after filling nulls with
-    the median, everything else is taken as it is."""
-    kind = {c: k for c, k in kinds(df.select(*columns)).items() if k != "datetime"}
-    floats = [c for c, k in kind.items() if k == "float"]
-    medians = exact_quantiles(df, {c: F.col(c) for c in floats}, [0.5])
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c][0])) for c in floats}
-    cuts = cut_points(df, filled, bins)
-    return {c: bin_index(filled[c], cuts[c]) if c in cuts else F.col(c) for c in kind}
+    Floats, and any further column named in ``also``, are cut into
+    equal-frequency bins after filling nulls with the median; other columns
+    stay as they are and dates are left out.
+    """
+    kind = kinds(df)
+    floats = [c for c in [*columns, *also] if kind[c] == "float" or c in also]
+    gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"{i}")
+                    for i, c in enumerate(floats)]).first() if floats else []
+    holed = {c: F.col(c) for c, n in zip(floats, gaps) if n}
+    medians = exact_quantiles(df, holed, [0.5])
+    filled = df.withColumns({c: F.coalesce(x.cast("double"), F.lit(medians[c][0]))
+                             for c, x in holed.items()}) if holed else df
+    cuts = cut_points(filled, {c: F.col(c) for c in floats}, bins)
+    out = with_bins(filled, {c: (F.col(c), cuts[c]) for c in floats})
+    return out.drop(*[c for c in columns if kind[c] == "datetime"])
 
 
 def target_relation(df: DataFrame, target: str, top: int = RELATION_TOP,
@@ -85,8 +89,10 @@ def target_relation(df: DataFrame, target: str, top: int = RELATION_TOP,
     from a nearest-neighbour one in value but needs only counts.
     """
     columns = columns or [c for c in df.columns if c != target]
-    y = discrete_target(df, target, is_classification(df, target), bins)
-    scored = mutual_information(df, discrete_features(df, columns, bins), y)
+    classify = is_classification(df, target)
+    table = discrete(df.select(target, *columns), columns, bins, [] if classify else [target])
+    features = [c for c in columns if c in table.columns]
+    scored = mutual_information(table, features, target)
     return scored.select("column", "mutual_info").orderBy(
         F.desc("mutual_info"), "column").limit(top)
 
@@ -109,11 +115,12 @@ def interaction_scan(df: DataFrame, target: str, columns: list[str],
         exprs[f"{a}*{b}"] = product(F.coalesce(F.col(a).cast("double"), zero),
                                     F.coalesce(F.col(b).cast("double"), zero))
         exprs[f"{a}/{b}"] = F.coalesce(ratio(F.col(a), F.col(b)), zero)
-    wide = df.select(F.col(target), *[e.alias(f"_p{i}") for i, e in enumerate(exprs.values())])
-    places = [f"_p{i}" for i in range(len(exprs))]
-    cuts = cut_points(wide, {p: F.col(p) for p in places}, bins)
-    features = {name: bin_index(F.col(p), cuts[p]) for name, p in zip(exprs, places)}
-    y = discrete_target(df, target, classify, bins)
-    return (mutual_information(wide, features, y)
-            .select(F.col("column").alias("pair"), F.col("mutual_info").alias("mi"))
+    places = {f"_p{i}": name for i, name in enumerate(exprs)}
+    wide = df.select(F.col(target).alias("_y"),
+                     *[exprs[name].alias(p) for p, name in places.items()])
+    table = discrete(wide, list(places), bins, [] if classify else ["_y"])
+    named = F.element_at(F.create_map(*[F.lit(x) for p in places.items() for x in p]),
+                         F.col("column"))
+    return (mutual_information(table, list(places), "_y")
+            .select(named.alias("pair"), F.col("mutual_info").alias("mi"))
             .orderBy(F.desc("mi"), "pair"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from foldmark.constants import DEFAULT_METRIC, LOGLOSS_CLIP, METRIC_PATTERNS
 from foldmark.functions.labels import decode_binary, decode_probabilities
-from foldmark.operators.quantiles import rough_cuts, with_piece
+from foldmark.operators.quantiles import rough_cuts, with_bins
 
 EPSILON = 2.220446049250313e-16
 PAIRS_PER_PIECE = 2_000_000
@@ -94,7 +94,7 @@ def auc(df: DataFrame, fold: str, y: str, p: str,
     n = rows.count()
     pieces = min(-(-n // pairs_per_piece), MAX_PIECES)
     cuts = rough_cuts(rows, F.col("_p"), pieces) if pieces > 1 else []
-    scored = (with_piece(rows, F.col("_p"), cuts, "_piece")
+    scored = (with_bins(rows, {"_piece": (F.col("_p"), cuts)})
               .groupBy(fold, "_piece", "_p")
               .agg(F.count_if(F.col("_y") == 1).alias("pos"),
                    F.count_if(F.col("_y") == 0).alias("neg")))

@@ -1,246 +1,267 @@
-"""Exact quantiles of many columns without a global sort.
+"""Exact quantiles of many columns and slots without a global sort.
 
 ``percentile`` keeps every distinct value of a column in one buffer, which a
 continuous column of a large table does not fit.  Here a sketch gives, for
 each wanted rank, a narrow interval of values.  One grouped pass counts the
-rows in the gaps between intervals and the values inside them; only the
-latter are ordered.  Intervals expected to hold too much are narrowed first.
+rows in the gaps between intervals and the values inside them, per fold; only
+the latter are ordered.  Intervals expected to hold too much are narrowed
+first.  Counts add up, so every "all folds but k" comes out of the same pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
-from math import ceil, floor
+from math import ceil, floor, inf, nextafter
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from foldmark.operators.slots import Slots
 from foldmark.session import materialize
 
 ACCURACY = 10_000
 MAX_INSIDE = 2_000_000
-INF = float("inf")
 
 
+# -- bisection ----------------------------------------------------------------
+
+def with_ranks(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]]) -> DataFrame:
+    """Add, per name, how many of the ascending splits are <= the value.
+
+    ``Bucketizer`` bisects, so the cost hardly grows with the splits.
+    """
+    names = [n for n, (_, splits) in wanted.items() if splits]
+    out = df.withColumns({n: x.cast("double") if splits else F.when(x.isNotNull(), F.lit(0))
+                          for n, (x, splits) in wanted.items()})
+    if not names:
+        return out
+    made = [f"{n}#" for n in names]
+    bucket = Bucketizer(splitsArray=[[-inf, *wanted[n][1], inf] for n in names],
+                        inputCols=names, outputCols=made, handleInvalid="keep")
+    return bucket.transform(out).withColumns(
+        {n: F.when(F.col(n).isNotNull(), F.col(m).cast("int"))
+         for n, m in zip(names, made)}).drop(*made)
+
+
+def with_bins(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]]) -> DataFrame:
+    """Add, per name, the number of cut points below the value."""
+    return with_ranks(df, {n: (x, sorted({nextafter(c, inf) for c in cuts}))
+                           for n, (x, cuts) in wanted.items()})
+
+
+def rough_cuts(df: DataFrame, x: Column, pieces: int) -> list[float]:
+    """Approximate cut points, repeated where one value fills several."""
+    probs = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
+    got = df.agg(F.percentile_approx(x, probs, F.lit(max(ACCURACY, 4 * pieces)))).first()[0]
+    return got or []
+
+
+# -- intervals ----------------------------------------------------------------
+
 @dataclass
 class _Source:
-    """A column whose ranks are wanted, and the intervals they lie in."""
+    """A column: the wanted ranks of each slot, and intervals to hold them."""
 
-    n: int
-    ranks: list[int]
+    ranks: list[list[int]]
     intervals: list[tuple[float, float]]
 
 
-def _tree(tests: list[Column], leaf: Callable[[int], Column], lo: int, hi: int) -> Column:
-    """First test that holds, found by bisection."""
-    if lo == hi:
-        return leaf(lo)
-    mid = (lo + hi) // 2
-    return F.when(tests[mid], _tree(tests, leaf, lo, mid)).otherwise(
-        _tree(tests, leaf, mid + 1, hi))
-
-
 def _merge(intervals: list[tuple[float, float]]) -> list[tuple[float, float]]:
     out: list[tuple[float, float]] = []
     for low, high in sorted(intervals):
-        if out and low <= out[-1][1]:
+        if out and low <= nextafter(out[-1][1], inf):
             out[-1] = (out[-1][0], max(out[-1][1], high))
         else:
             out.append((low, high))
     return out
 
 
-def _code(x: Column, intervals: list[tuple[float, float]]) -> Column:
-    """2j in the gap before interval j, 2j + 1 inside it."""
-    tests = [t for low, high in intervals for t in (x < low, x <= high)]
-    return _tree(tests, F.lit, 0, len(tests))
-
-
 def _long(wide: DataFrame, sources: list[_Source]) -> DataFrame:
-    """``(s, code, value)`` of every value; outside intervals no value."""
-    items = []
-    for i, s in enumerate(sources):
-        x = F.col(f"_x{i}")
-        code = _code(x, s.intervals)
-        items.append(F.when(x.isNotNull(), F.struct(
-            F.lit(i).alias("s"), code.alias("code"),
-            F.when(code % 2 == 1, x).alias("value"))))
-    return (wide.select(F.explode(F.array_compact(F.array(*items))).alias("v"))
-            .select("v.s", "v.code", "v.value"))
-
-
-def _totals(counts: DataFrame) -> dict[int, dict[int, int]]:
-    """Rows by source and code: two codes per interval come back."""
-    out: dict[int, dict[int, int]] = {}
-    for r in counts.groupBy("s", "code").agg(F.sum("n").alias("n")).collect():
-        out.setdefault(r["s"], {})[r["code"]] = r["n"]
+    """``(_fold, s, code, value)`` of every value.
+
+    The code is 2j in the gap before interval j and 2j + 1 inside it; the
+    value is kept inside only, so that all rows of a gap are one group.
+    """
+    ranked = with_ranks(wide, {
+        f"_c{i}": (F.col(f"_x{i}"), [e for low, high in s.intervals
+                                     for e in (low, nextafter(high, inf))])
+        for i, s in enumerate(sources)})
+    cells = [c for i in range(len(sources)) for c in (
+        F.lit(i), F.col(f"_c{i}"), F.when(F.col(f"_c{i}") % 2 == 1, F.col(f"_x{i}")))]
+    return (ranked.select("_fold", F.stack(F.lit(len(sources)), *cells)
+                          .alias("s", "code", "value"))
+            .filter(F.col("code").isNotNull()))
+
+
+def _per_slot(slots: Slots) -> list[Column]:
+    """Row counts: all, and of every fold."""
+    return [F.count(F.lit(1)).alias("n"),
+            *[F.count_if(F.col("_fold") == k).alias(f"n{k}") for k in range(slots.folds)]]
+
+
+def _totals(counts: DataFrame, slots: Slots) -> dict[int, dict[int, list[int]]]:
+    """Rows by source, code and slot: two codes per interval come back."""
+    names = ["n", *[f"n{k}" for k in range(slots.folds)]]
+    out: dict[int, dict[int, list[int]]] = {}
+    for r in counts.groupBy("s", "code").agg(*[F.sum(c).alias(c) for c in names]).collect():
+        out.setdefault(r["s"], {})[r["code"]] = [
+            *[r["n"] - r[f"n{k}"] for k in range(slots.folds)], r["n"]]
     return out
 
 
-def _place(totals: dict[int, int], rank: int) -> tuple[int, int]:
-    """Code that holds a rank, and the rows before that code."""
+def _place(totals: dict[int, list[int]], slot: int, rank: int) -> tuple[int, int]:
+    """Code that holds a rank of a slot, and the slot's rows before it."""
     before = 0
     for code in sorted(totals):
-        if rank < before + totals[code]:
+        if rank < before + totals[code][slot]:
             return code, before
-        before += totals[code]
+        before += totals[code][slot]
     raise AssertionError("rank beyond the counted rows")
 
 
-def _widen(source: _Source, totals: dict[int, int]) -> bool:
+def _widen(source: _Source, totals: dict[int, list[int]]) -> bool:
     """Add the gaps that hold a rank, where the sketch was off."""
-    missed = {code for code, _ in (_place(totals, r) for r in source.ranks) if code % 2 == 0}
-    for code in missed:
+    codes = {_place(totals, k, r)[0] for k, ranks in enumerate(source.ranks) for r in ranks}
+    for code in (c for c in codes if c % 2 == 0):
         j = code // 2
-        low = source.intervals[j - 1][1] if j > 0 else -INF
-        high = source.intervals[j][0] if j < len(source.intervals) else INF
-        source.intervals = source.intervals + [(low, high)]
+        low = source.intervals[j - 1][1] if j > 0 else -inf
+        high = source.intervals[j][0] if j < len(source.intervals) else inf
+        source.intervals = [*source.intervals, (low, high)]
     source.intervals = _merge(source.intervals)
-    return bool(missed)
+    return any(c % 2 == 0 for c in codes)
 
 
-def _narrow(wide: DataFrame, sources: list[_Source]) -> bool:
+def _narrow(wide: DataFrame, sources: list[_Source], slots: Slots) -> bool:
     """Replace crowded intervals by those of a sketch of their own rows."""
-    totals = _totals(_long(wide, sources).groupBy("s", "code")
-                     .agg(F.count(F.lit(1)).alias("n")))
+    totals = _totals(_long(wide, sources).groupBy("s", "code").agg(*_per_slot(slots)), slots)
     cols, plan = [], []
     for i, s in enumerate(sources):
-        if s.n == 0 or _widen(s, totals.get(i, {})):
+        if i not in totals or _widen(s, totals[i]):
             continue
         for j, (low, high) in enumerate(s.intervals):
-            inside = totals[i].get(2 * j + 1, 0)
-            if inside <= MAX_INSIDE or low == high:
+            inside = totals[i].get(2 * j + 1)
+            if inside is None or inside[-1] <= MAX_INSIDE or low == high:
                 continue
-            held = [(r, b) for r in s.ranks
-                    for c, b in [_place(totals[i], r)] if c == 2 * j + 1]
-            probs = sorted({min(max((r - b + d) / inside + e, 0.0), 1.0)
-                            for r, b in held for d, e in ((0, -2 / ACCURACY), (1, 2 / ACCURACY))})
+            asked = []      # per slot: lowest and highest share of its rows here
+            for k, ranks in enumerate(s.ranks):
+                at = [(r - b) / inside[k] for r in ranks
+                      for c, b in [_place(totals[i], k, r)] if c == 2 * j + 1]
+                step = 2 / ACCURACY + 1 / max(inside[k], 1)
+                asked += [(k, max(a - step, 0.0), min(a + step, 1.0)) for a in at]
             x = F.col(f"_x{i}")
-            cols.append(F.percentile_approx(F.when(x.between(low, high), x), F.array(
-                *[F.lit(p) for p in probs]), F.lit(ACCURACY)).alias(f"c{len(plan)}"))
-            plan.append((i, j, probs, held, inside))
+            for k, lo, hi in asked:
+                own = F.lit(True) if k == slots.folds else F.col("_fold") != k
+                cols.append(F.percentile_approx(
+                    F.when(x.between(low, high) & own, x),
+                    F.array(F.lit(lo), F.lit(hi)), F.lit(ACCURACY)).alias(f"c{len(cols)}"))
+            plan.append((i, j, len(asked)))
     if not plan:
         return False
-    got = wide.agg(*cols).first()
-    changed = False
-    by_source: dict[int, list] = {}
-    for k, (i, j, probs, held, inside) in enumerate(plan):
-        value = dict(zip(probs, got[f"c{k}"]))
-        fresh = _merge([(value[min(max((r - b) / inside - 2 / ACCURACY, 0.0), 1.0)],
-                         value[min(max((r - b + 1) / inside + 2 / ACCURACY, 0.0), 1.0)])
-                        for r, b in held])
-        changed |= fresh != [sources[i].intervals[j]]
-        by_source.setdefault(i, []).append((j, fresh))
-    for i, fresh in by_source.items():
-        kept = [iv for j, iv in enumerate(sources[i].intervals) if j not in dict(fresh)]
-        sources[i].intervals = _merge(kept + [iv for _, ivs in fresh for iv in ivs])
-    return changed
-
-
-def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float],
-                    discrete: bool = False) -> dict[str, list[float | None]]:
-    """Quantiles of every column at every probability.
+    found = iter(wide.agg(*cols).first())
+    before = [list(s.intervals) for s in sources]
+    kept = [[iv for j, iv in enumerate(s.intervals) if (i, j) not in {p[:2] for p in plan}]
+            for i, s in enumerate(sources)]
+    for i, _, width in plan:
+        kept[i] += [tuple(next(found)) for _ in range(width)]
+    for s, intervals in zip(sources, kept):
+        s.intervals = _merge(intervals)
+    return before != [s.intervals for s in sources]
+
+
+def _wanted(n: int, p: float, discrete: bool) -> tuple[int, int, float]:
+    """Two ranks and the weight of the second."""
+    if discrete:
+        r = max(ceil(round(n * p, 9)) - 1, 0)
+        return r, r, 0.0
+    at = (n - 1) * p
+    return floor(at), ceil(at), at - floor(at)
+
+
+def slot_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float],
+                   slots: Slots = Slots(), discrete: bool = False
+                   ) -> dict[str, list[list[float | None]]]:
+    """Quantiles by column, slot and probability.
 
     Values are interpolated between neighbours, or, with ``discrete``, taken
     from the column.  Nulls and NaN are left out.  What comes back to the
-    driver is a fixed number of values per column and probability.
+    driver is a fixed number of values per column, slot and probability.
     """
-    if not columns or not probs:
-        return {name: [None] * len(probs) for name in columns}
     names = list(columns)
-    wide = df.select(*[columns[c].cast("double").alias(f"_y{i}") for i, c in enumerate(names)])
-    wide = wide.select(*[F.when(~F.isnan(f"_y{i}"), F.col(f"_y{i}")).alias(f"_x{i}")
-                         for i in range(len(names))])
-    # the sketch is off by at most n / ACCURACY ranks; allow for twice that
+    nothing = {c: [[None] * len(probs) for _ in range(slots.count)] for c in names}
+    if not names or not probs:
+        return nothing
+    fold = F.col(slots.fold) if slots.fold is not None else F.lit(0)
+    wide = df.select(fold.cast("int").alias("_fold"), *[
+        columns[c].cast("double").alias(f"_y{i}") for i, c in enumerate(names)])
+    wide = wide.select("_fold", *[F.when(~F.isnan(f"_y{i}"), F.col(f"_y{i}")).alias(f"_x{i}")
+                                  for i in range(len(names))])
+
+    # Sketch per fold, off by at most n / ACCURACY ranks; twice that is allowed
+    # for. A quantile of several folds lies between those of the single folds.
     spread = 2.0 / ACCURACY
     edges = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-spread, spread)]
     ask = F.array(*[F.lit(e) for e in edges])
-    got = wide.agg(*[a for i in range(len(names)) for a in (
+    sketch = wide.groupBy("_fold").agg(*[a for i in range(len(names)) for a in (
         F.count(f"_x{i}").alias(f"n{i}"),
-        F.percentile_approx(f"_x{i}", ask, F.lit(ACCURACY)).alias(f"e{i}"))]).first()
-
+        F.percentile_approx(f"_x{i}", ask, F.lit(ACCURACY)).alias(f"e{i}"))]).collect()
     sources, spots = [], []
     for i in range(len(names)):
-        n, found = got[f"n{i}"], got[f"e{i}"]
-        if not n:
-            sources.append(_Source(0, [], []))
-            spots.append([])
-            continue
-        spot = []
-        for p in probs:
-            if discrete:
-                r = max(ceil(round(n * p, 9)) - 1, 0)
-                spot.append((r, r, 0.0))
-            else:
-                at = (n - 1) * p
-                spot.append((floor(at), ceil(at), at - floor(at)))
-        spots.append(spot)
-        intervals = _merge([(found[2 * k], found[2 * k + 1]) for k in range(len(probs))])
-        sources.append(_Source(n, sorted({r for s in spot for r in s[:2]}), intervals))
-    if not any(s.n for s in sources):
-        return {name: [None] * len(probs) for name in names}
-
-    if max(s.n for s in sources) * 2 * spread > MAX_INSIDE:
-        while _narrow(wide, sources):
+        own = {r["_fold"]: r[f"n{i}"] for r in sketch}
+        total = sum(own.values())
+        sizes = [*[total - own.get(k, 0) for k in range(slots.folds)], total]
+        spots.append([[_wanted(n, p, discrete) for p in probs] if n else [] for n in sizes])
+        found = [r[f"e{i}"] for r in sketch if r[f"n{i}"]]
+        sources.append(_Source(
+            [sorted({r for spot in spots[i][k] for r in spot[:2]}) for k in range(slots.count)],
+            _merge([(min(f[2 * q] for f in found), max(f[2 * q + 1] for f in found))
+                    for q in range(len(probs))]) if found else []))
+    largest = max(sum(r[f"n{i}"] for r in sketch) for i in range(len(names))) if sketch else 0
+    if not largest:
+        return nothing
+
+    if largest * 2 * spread > MAX_INSIDE:
+        while _narrow(wide, sources, slots):
             pass
     while True:
         counts = materialize(_long(wide, sources).groupBy("s", "code", "value")
-                             .agg(F.count(F.lit(1)).alias("n")))
-        totals = _totals(counts)
-        missed = [_widen(s, totals[i]) for i, s in enumerate(sources) if s.n]
+                             .agg(*_per_slot(slots)))
+        totals = _totals(counts, slots)
+        missed = [_widen(s, totals[i]) for i, s in enumerate(sources) if i in totals]
         if not any(missed):
             break
 
-    # look each rank up inside its interval; one row per rank comes back
-    wanted = []
+    # Look every rank up inside its interval: one row per rank comes back.
+    ranks = []
     for i, s in enumerate(sources):
-        for r in s.ranks:
-            code, before = _place(totals[i], r)
-            wanted.append((i, code, r, r - before))
-    ranks = df.sparkSession.createDataFrame(wanted, "s int, code int, rank long, at long")
-    upto = F.sum("n").over(W.partitionBy("s", "code").orderBy("value")
-                           .rowsBetween(W.unboundedPreceding, 0))
-    placed = (counts.filter(F.col("value").isNotNull()).withColumn("upto", upto)
-              .join(F.broadcast(ranks), ["s", "code"])
-              .filter((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("n"))))
-    at = {(r["s"], r["rank"]): r["value"] for r in placed.select("s", "rank", "value").collect()}
-    return {name: [at[i, a] + (at[i, b] - at[i, a]) * w for a, b, w in spots[i]]
-            if sources[i].n else [None] * len(probs) for i, name in enumerate(names)}
-
-
-# -- bins ------------------------------------------------------------------------
+        for k in range(slots.count):
+            for r in s.ranks[k]:
+                code, before = _place(totals[i], k, r)
+                ranks.append((i, code, k, r, r - before))
+    wanted = df.sparkSession.createDataFrame(
+        ranks, "s int, code int, slot int, rank long, at long")
+    running = W.partitionBy("s", "code").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    inside = counts.filter(F.col("value").isNotNull()).withColumn(
+        "own", slots.less_own(F.col("n"), [F.col(f"n{k}") for k in range(slots.folds)]))
+    upto = F.array(*[F.sum(F.element_at("own", k + 1)).over(running)
+                     for k in range(slots.count)])
+    last = F.element_at("upto", F.col("slot") + 1)
+    first = last - F.element_at("own", F.col("slot") + 1)
+    placed = (inside.withColumn("upto", upto).join(F.broadcast(wanted), ["s", "code"])
+              .filter((F.col("at") < last) & (F.col("at") >= first)))
+    at = {(r["s"], r["slot"], r["rank"]): r["value"]
+          for r in placed.select("s", "slot", "rank", "value").collect()}
+    return {c: [[at[i, k, a] + (at[i, k, b] - at[i, k, a]) * w for a, b, w in spots[i][k]]
+                or [None] * len(probs) for k in range(slots.count)]
+            for i, c in enumerate(names)}
+
+
+def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float],
+                    discrete: bool = False) -> dict[str, list[float | None]]:
+    """Quantiles by column and probability, over all rows."""
+    return {c: v[-1] for c, v in slot_quantiles(df, columns, probs, Slots(), discrete).items()}
+
 
 def cut_points(df: DataFrame, columns: dict[str, Column], bins: int) -> dict[str, list[float]]:
     """Inner cut points of equal-frequency bins: existing values, ascending."""
     got = exact_quantiles(df, columns, [i / bins for i in range(1, bins)], discrete=True)
     return {c: sorted(set(v) - {None}) for c, v in got.items()}
-
-
-def bin_index(x: Column, cuts: list[float]) -> Column:
-    """Number of cut points below the value; null stays null."""
-    y = x.cast("double")
-    return F.when(y.isNotNull(), _tree([y <= c for c in cuts], F.lit, 0, len(cuts)))
-
-
-def rough_cuts(df: DataFrame, x: Column, pieces: int) -> list[float]:
-    """Approximate cut points, repeated where one value fills several."""
-    probs = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
-    got = df.agg(F.percentile_approx(x, probs, F.lit(max(ACCURACY, 4 * pieces)))).first()[0]
-    return got or []
-
-
-def with_piece(df: DataFrame, x: Column, cuts: list[float], name: str) -> DataFrame:
-    """Add the piece of a value among any number of cut points.
-
-    ``Bucketizer`` bisects and closes ranges on the left; negated values and
-    cuts close them on the right, so that a cut belongs to the piece below.
-    """
-    if not cuts:
-        return df.withColumn(name, F.lit(0))
-    splits = [-INF, *sorted(-c for c in set(cuts)), INF]
-    bucket = Bucketizer(splits=splits, inputCol="_neg", outputCol="_bucket",
-                        handleInvalid="keep")
-    return (bucket.transform(df.withColumn("_neg", -x.cast("double")))
-            .withColumn(name, (F.lit(len(splits) - 2) - F.col("_bucket")).cast("int"))
-            .drop("_neg", "_bucket"))

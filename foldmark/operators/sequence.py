@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from foldmark.operators.encode import as_level_table
 from foldmark.operators.lookup import lookup
-from foldmark.operators.quantiles import rough_cuts, with_piece
+from foldmark.operators.quantiles import rough_cuts, with_bins
 
 ROWS_PER_PIECE = 2_000_000
 MAX_PIECES = 16_384
@@ -47,14 +47,14 @@ def pieces(df: DataFrame, entity: list[str], order: str, key: str,
     wanted = min(max(2, -(-n // rows_per_piece)), MAX_PIECES)
     x = as_number(df, order)
     found = rough_cuts(df, x, wanted)
-    out = with_piece(df, x, found, "_piece")
+    out = with_bins(df, {"_piece": (x, found)})
     hot = sorted({v for v in found if found.count(v) > 1})
     if not hot:
         return out.withColumns({"_piece": F.coalesce("_piece", F.lit(-1)), "_part": F.lit(0)})
     hot_values = F.array(*[F.lit(v) for v in hot])
     is_hot = F.coalesce(F.array_contains(hot_values, x), F.lit(False))
     k = as_number(df, key)
-    out = with_piece(out, k, rough_cuts(df.filter(is_hot), k, wanted), "_part")
+    out = with_bins(out, {"_part": (k, rough_cuts(df.filter(is_hot), k, wanted))})
     # pieces are counted double so that a hot value fits between its neighbours
     return out.withColumns({
         "_piece": F.coalesce(F.col("_piece") * 2 + is_hot.cast("int"), F.lit(-1)),

@@ -154,8 +154,7 @@ _MI_DISCRETE = {c: c for c in ("segment", "nation", "priority", "order_year")}
                       "SELECT f AS \"column\", mi AS mutual_info FROM mi")
 def mi_discrete(spark, folder):
     rows = fx.orders_base(spark, folder)
-    return rounded(info.mutual_information(
-        rows, {c: F.col(c) for c in _MI_DISCRETE}, F.col("y")).drop("n"))
+    return rounded(info.mutual_information(rows, list(_MI_DISCRETE), "y").drop("n"))
 
 
 _FILLED = f"""WITH {fx.LINES}, filled AS (
@@ -171,18 +170,18 @@ binned AS (SELECT line, flag, status, {in_bin('quantity', 'cq')} AS quantity,
 @query("mi_continuous", f"""{_FILLED}, {mi_sql({c: c for c in ('price', 'discount', 'tax')}, 'flag', 'binned')}
 SELECT f AS "column", mi AS mutual_info FROM mi""")
 def mi_continuous(spark, folder):
-    rows = fx.lines(spark, folder)
-    features = info.discrete_features(rows, ["price", "discount", "tax"])
-    return rounded(info.mutual_information(rows, features, F.col("flag")).drop("n"))
+    columns = ["price", "discount", "tax"]
+    table = info.discrete(fx.lines(spark, folder).select("flag", *columns), columns)
+    return rounded(info.mutual_information(table, columns, "flag").drop("n"))
 
 
 @query("mi_regression_discrete", f"""{_FILLED}, {mi_sql({c: c for c in ('flag', 'status', 'line')}, 'price', 'binned')}
 SELECT f AS "column", mi AS mutual_info FROM mi""")
 def mi_regression_discrete(spark, folder):
-    rows = fx.lines(spark, folder)
-    y = info.discrete_target(rows, "price", classify=False)
-    return rounded(info.mutual_information(
-        rows, {c: F.col(c) for c in ("flag", "status", "line")}, y).drop("n"))
+    columns = ["flag", "status", "line"]
+    table = info.discrete(fx.lines(spark, folder).select("price", *columns), columns,
+                          also=["price"])
+    return rounded(info.mutual_information(table, columns, "price").drop("n"))
 
 
 _RELATION = ["quantity", "price", "discount", "tax", "line", "status"]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldmark.operators import folds, metrics
-from foldmark.operators.encode import Slots, fit_levels
+from foldmark.operators.encode import fit_levels
+from foldmark.operators.slots import Slots
 from foldmark.operators.evaluate import improves, residual_segments, score_summary
 from foldmark.plans import fixtures as fx
 from foldmark.plans.catalog.base import query, rounded

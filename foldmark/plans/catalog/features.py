@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foldmark.functions import features as fn
 from foldmark.functions.hashing import hash_fold
 from foldmark.operators import encode
-from foldmark.operators.encode import Slots
+from foldmark.operators.slots import Slots
 from foldmark.operators.framing import ProblemSpec
 from foldmark.plans import fixtures as fx
 from foldmark.plans.catalog.base import query, rounded

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldmark.operators import encode
-from foldmark.operators.encode import Slots
+from foldmark.operators.slots import Slots
 from foldmark.plans import fixtures as fx
 from foldmark.plans.catalog.base import query, rounded, union_sql
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from foldmark.functions.features import log1p_floor
 from foldmark.operators import journal as journal_ops
-from foldmark.operators.encode import Slots, fit_levels
+from foldmark.operators.encode import fit_levels
+from foldmark.operators.slots import Slots
 from foldmark.operators.evaluate import importance_mean
 from foldmark.plans import fixtures as fx
 from foldmark.plans.catalog.base import query, rounded, union_sql

@@ -12,7 +12,7 @@ from abc import ABC, abstractmethod
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foldmark.operators.encode import Slots
+from foldmark.operators.slots import Slots
 from foldmark.operators.framing import ProblemSpec
 
 KEY, FOLD, LABEL = "_key", "_fold", "_label"

@@ -11,7 +11,7 @@ from foldmark.constants import CV_FOLDS, HOLDOUT_SHARE, SEED
 from foldmark.functions.hashing import hash_unit
 from foldmark.functions.labels import label_index
 from foldmark.operators import folds as fold_ops
-from foldmark.operators.encode import Slots
+from foldmark.operators.slots import Slots
 from foldmark.operators.evaluate import importance_mean, score_summary
 from foldmark.operators.framing import ProblemSpec, check_features
 from foldmark.operators.metrics import Metric, score_folds

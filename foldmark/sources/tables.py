@@ -16,8 +16,23 @@ def nan_to_null(df: DataFrame) -> DataFrame:
         {c: F.when(~F.isnan(c), F.col(c)) for c in floats}) if floats else df
 
 
+# Tables of so few files are small, and may hold a single row group.
+FEW_FILES = 4
+SMALL_TABLE_PARTS = 32
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A parquet table.
+
+    A row group is read by one task, so a table of a few files may leave all
+    but one core idle.  Such a table is dealt out over the cores, 32 at most;
+    a table of many files is read as it is.  Filters and column choices still
+    reach the scan.
+    """
+    table = spark.read.parquet(f"{folder}/{name}.parquet")
+    if len(table.inputFiles()) > FEW_FILES:
+        return table
+    return table.repartition(min(spark.sparkContext.defaultParallelism, SMALL_TABLE_PARTS))
 
 
 def read_csv(spark: SparkSession, path: str | list[str],
