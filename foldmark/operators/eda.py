@@ -32,9 +32,7 @@ def shape(df: DataFrame) -> DataFrame:
 
 def missing(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     cols = columns or df.columns
-    share = {c: {"missing_frac": F.round(F.avg(F.col(c).isNull().cast("int")), 4)}
-             for c in cols}
-    return long_stats(df, share)
+    return long_stats(df, {c: {"missing_frac": _missing_stat(c)} for c in cols})
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -62,17 +60,21 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None,
             .select("column", F.coalesce("n_unique", F.lit(0)).alias("n_unique")))
 
 
-def numeric_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    cols = columns or numeric_columns(df)
+def _missing_stat(c: str) -> Column:
+    return F.round(F.avg(F.col(c).isNull().cast("int")), 4)
+
 
-    def stats(c: str) -> dict[str, Column]:
-        x = F.col(c).cast("double")
-        return {"min": F.min(x), "max": F.max(x), "mean": F.avg(x),
-                "std": F.when(F.count(x) > 0, F.coalesce(F.stddev_samp(x), F.lit(0.0))),
-                "skew": adjusted_skew(x),
-                "zeros_frac": F.round(F.avg((x == 0).cast("int")), 4)}
+def _numeric_stat(c: str) -> dict[str, Column]:
+    x = F.col(c).cast("double")
+    return {"min": F.min(x), "max": F.max(x), "mean": F.avg(x),
+            "std": F.when(F.count(x) > 0, F.coalesce(F.stddev_samp(x), F.lit(0.0))),
+            "skew": adjusted_skew(x),
+            "zeros_frac": F.round(F.avg((x == 0).cast("int")), 4)}
 
-    return long_stats(df, {c: stats(c) for c in cols})
+
+def numeric_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    cols = columns or numeric_columns(df)
+    return long_stats(df, {c: _numeric_stat(c) for c in cols})
 
 
 def top_values(df: DataFrame, columns: list[str] | None = None,
@@ -109,23 +111,37 @@ def profile(df: DataFrame, target: str | None = None) -> DataFrame:
     """Everything above as one long table ``(column, kind, stat, value)``.
 
     Values are strings, so that counts, fractions and top values share it.
+    One scan for all plain aggregates, one shuffle for the values of the
+    numeric columns, and one for those of the others, which their distinct
+    counts and top values share.
     """
     known = kinds(df)
     kind_of = F.element_at(F.create_map(*[F.lit(x) for p in known.items() for x in p]),
                            F.col("column"))
-
-    def rows(table: DataFrame, stats: list[str]) -> DataFrame:
-        return (table.select("column", *[F.col(s).cast("string").alias(s) for s in stats])
-                .unpivot(["column"], stats, "stat", "value"))
-
-    parts = [rows(missing(df), ["missing_frac"]), rows(distinct_counts(df), ["n_unique"])]
-    numeric = numeric_columns(df)
-    if numeric:
-        parts.append(rows(numeric_stats(df, numeric),
-                          ["min", "max", "mean", "std", "skew", "zeros_frac"]))
+    numbers = numeric_columns(df)
     texts = [c for c, k in known.items() if k in ("categorical", "bool")]
+
+    plain = {("", "n_rows"): F.count(F.lit(1)), ("", "n_cols"): F.first(F.lit(len(known)))}
+    for c in known:
+        plain[c, "missing_frac"] = _missing_stat(c)
+    for c in numbers:
+        plain.update({(c, s): x for s, x in _numeric_stat(c).items()})
+    row = df.agg(*[x.alias(f"_{i}") for i, x in enumerate(plain.values())])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(s).alias("stat"),
+                               F.col(f"_{i}").cast("string").alias("value"))
+                      for i, (c, s) in enumerate(plain)])
+    parts = [row.select(F.explode(cells).alias("s")).select("s.*")]
+
+    others = [c for c in known if c not in texts]
+    rows = df.agg(F.count(F.lit(1)))
+    for cols in filter(None, (others, texts)):
+        unique = F.col("n_unique").cast("string")
+        parts.append(distinct_counts(df, cols).select(
+            "column", F.lit("n_unique").alias("stat"), unique.alias("value")))
     if texts:
-        parts.append(rows(high_cardinality(df, texts), ["high_cardinality"]))
+        parts.append(distinct_counts(df, texts).select(
+            "column", F.lit("high_cardinality").alias("stat"),
+            (F.col("n_unique") > rows.scalar() * 0.5).cast("string").alias("value")))
         parts.append(top_values(df, texts).select(
             "column", F.concat(F.lit("top:"), F.col("value")).alias("stat"),
             F.col("n").cast("string").alias("value")))
@@ -133,15 +149,11 @@ def profile(df: DataFrame, target: str | None = None) -> DataFrame:
         parts.append(target_profile(df, target).select(
             F.lit(target).alias("column"), F.concat(F.lit("target:"), F.col("stat")).alias("stat"),
             F.col("value").cast("string").alias("value")))
-    whole = shape(df).select(F.lit("").alias("column"),
-                             F.col("n_rows").cast("string").alias("n_rows"),
-                             F.col("n_cols").cast("string").alias("n_cols")) \
-        .unpivot(["column"], ["n_rows", "n_cols"], "stat", "value")
-    table = whole
-    for part in parts:
+    table = parts[0]
+    for part in parts[1:]:
         table = table.unionByName(part)
-    return table.select("column", F.coalesce(kind_of, F.lit("table")).alias("kind"),
-                        "stat", "value")
+    return table.filter(F.col("value").isNotNull()).select(
+        "column", F.coalesce(kind_of, F.lit("table")).alias("kind"), "stat", "value")
 
 
 # -- relation to the target ----------------------------------------------------

@@ -40,11 +40,12 @@ def global_means(df: DataFrame, y: Column, slots: Slots = Slots()) -> list[float
 
 
 def level_counts(df: DataFrame, columns: dict[str, Column], y: Column | None = None,
-                 slots: Slots = Slots(), null_level: bool = True) -> DataFrame:
+                 slots: Slots = Slots(), null_level: bool = True,
+                 keep_nulls: bool = False) -> DataFrame:
     """``(feature, level, n, counts[, ysums, ycounts])`` with slot arrays.
 
     All features in one shuffle.  ``null_level`` makes null a level of its
-    own; otherwise null rows are left out.
+    own; otherwise null rows are left out, or kept under a null level.
     """
     exprs = {c: null_token(x) if null_level else x for c, x in columns.items()}
     keep = {}
@@ -52,7 +53,9 @@ def level_counts(df: DataFrame, columns: dict[str, Column], y: Column | None = N
         keep["_fold"] = F.col(slots.fold)
     if y is not None:
         keep["_y"] = y.cast("double")
-    rows = long_values(df, exprs, keep=keep).filter(F.col("value").isNotNull())
+    rows = long_values(df, exprs, keep=keep)
+    if not keep_nulls:
+        rows = rows.filter(F.col("value").isNotNull())
     aggs = [F.count(F.lit(1)).alias("n")]
     if y is not None:
         aggs += [F.sum("_y").alias("ys"), F.count("_y").alias("yn")]
@@ -141,18 +144,27 @@ class LevelEncoder:
 def fit_levels(df: DataFrame, columns: dict[str, Column] | list[str],
                y: Column | None = None, slots: Slots = Slots(),
                smoothing: float = TE_SMOOTHING, null_level: bool = True) -> LevelEncoder:
-    """Fit all level statistics of all columns: one scan for the levels, one
-    for the totals."""
+    """Fit all level statistics of all columns in one scan.
+
+    The levels of any one column, null among them, cover all rows: the sizes
+    and target means of the slots are sums over its short table.
+    """
     if not isinstance(columns, dict):
         columns = {c: F.col(c) for c in columns}
-    sizes = df.agg(*[F.count_if(~slots.own(k)).alias(f"r{k}")
-                     for k in range(slots.count)]).first()
-    rows = [sizes[f"r{k}"] for k in range(slots.count)]
-    means = global_means(df, y, slots) if y is not None else []
-    table = as_level_table(level_counts(df, columns, y, slots, null_level),
-                           ("feature", "level"), rows[-1])
-    return LevelEncoder(columns, table, slots, rows, means, smoothing, null_level,
-                        y is not None)
+    table = materialize(level_counts(df, columns, y, slots, null_level, keep_nulls=True))
+
+    def over(name: str) -> list[Column]:
+        return [F.sum(F.element_at(name, k + 1)).alias(f"{name}{k}") for k in range(slots.count)]
+
+    arrays = ["counts", *(["ysums", "ycounts"] if y is not None else [])]
+    sums = (table.filter(F.col("feature") == next(iter(columns)))
+            .agg(*[c for name in arrays for c in over(name)])).first()
+    rows = [sums[f"counts{k}"] or 0 for k in range(slots.count)]
+    means = [sums[f"ysums{k}"] / sums[f"ycounts{k}"] if sums[f"ycounts{k}"] else None
+             for k in range(slots.count)] if y is not None else []
+    levels = table.filter(F.col("level").isNotNull())
+    return LevelEncoder(columns, LevelTable(levels, ("feature", "level"), table.count(), rows[-1]),
+                        slots, rows, means, smoothing, null_level, y is not None)
 
 
 def smoothed_levels(df: DataFrame, column: str, y: Column, weight: float,

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from foldmark.constants import DEFAULT_METRIC, LOGLOSS_CLIP, METRIC_PATTERNS
 from foldmark.functions.labels import decode_binary, decode_probabilities
 from foldmark.operators.quantiles import rough_cuts, with_bins
+from foldmark.session import materialize
 
 EPSILON = 2.220446049250313e-16
 PAIRS_PER_PIECE = 2_000_000
@@ -85,19 +86,19 @@ def auc(df: DataFrame, fold: str, y: str, p: str,
         pairs_per_piece: int = PAIRS_PER_PIECE) -> DataFrame:
     """Exact area under the ROC curve per fold, ties counted half.
 
-    Equal scores are combined first.  Scores are then cut into ranges so that
-    each running count covers one range; the few range totals give the rest:
-    every positive also beats all negatives of the lower ranges.
+    Equal scores are combined first, and only those pairs of counts are kept.
+    They are then cut into ranges so that each running count covers one range;
+    the few range totals give the rest: every positive also beats all
+    negatives of the lower ranges.
     """
-    rows = df.select(F.col(fold), F.col(y).cast("double").alias("_y"),
-                     F.col(p).cast("double").alias("_p"))
-    n = rows.count()
-    pieces = min(-(-n // pairs_per_piece), MAX_PIECES)
-    cuts = rough_cuts(rows, F.col("_p"), pieces) if pieces > 1 else []
-    scored = (with_bins(rows, {"_piece": (F.col("_p"), cuts)})
-              .groupBy(fold, "_piece", "_p")
-              .agg(F.count_if(F.col("_y") == 1).alias("pos"),
-                   F.count_if(F.col("_y") == 0).alias("neg")))
+    pairs = materialize(
+        df.select(F.col(fold), F.col(y).cast("double").alias("_y"),
+                  F.col(p).cast("double").alias("_p"))
+        .groupBy(fold, "_p").agg(F.count_if(F.col("_y") == 1).alias("pos"),
+                                 F.count_if(F.col("_y") == 0).alias("neg")))
+    pieces = min(-(-pairs.count() // pairs_per_piece), MAX_PIECES)
+    cuts = rough_cuts(pairs, F.col("_p"), pieces) if pieces > 1 else []
+    scored = with_bins(pairs, {"_piece": (F.col("_p"), cuts)})
     below = (W.partitionBy(fold, "_piece").orderBy("_p")
              .rowsBetween(W.unboundedPreceding, -1))
     ranges = (scored.withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
