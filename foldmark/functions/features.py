@@ -76,7 +76,7 @@ def clip_to_range(pred: Column, low: float | Column, high: float | Column,
     lo = low if isinstance(low, Column) else F.lit(float(low))
     hi = high if isinstance(high, Column) else F.lit(float(high))
     margin = (hi - lo) * pad
-    return F.least(F.greatest(pred, lo - margin), hi + margin)
+    return F.when(pred.isNotNull(), F.least(F.greatest(pred, lo - margin), hi + margin))
 
 
 def smoothed(total: Column, n: Column, prior: Column, weight: float) -> Column:

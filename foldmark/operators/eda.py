@@ -185,13 +185,20 @@ def leak_by_dependency(df: DataFrame, target: str, threshold: float = LEAK_THRES
                        columns: list[str] | None = None) -> DataFrame:
     """Columns nearly all of whose values occur with one target only.
 
-    min(y) = max(y) decides "one target", so no distinct sets are kept.
+    min(y) = max(y) decides "one target" for numbers, so no distinct sets are
+    kept; the pairs with a text target are combined first, as keys.
     """
     cols = columns or [c for c in df.columns if c != target]
-    levels = (long_values(df, cols, keep={"_y": F.col(target)})
-              .filter(F.col("value").isNotNull()).groupBy("column", "value")
-              .agg(F.min("_y").alias("lo"), F.max("_y").alias("hi")))
-    single = F.coalesce((F.col("lo") == F.col("hi")).cast("int"), F.lit(1))
+    rows = (long_values(df, cols, keep={"_y": F.col(target)})
+            .filter(F.col("value").isNotNull()))
+    if isinstance(df.schema[target].dataType, T.StringType):
+        levels = (rows.groupBy("column", "value", "_y").agg(F.count(F.lit(1)).alias("n"))
+                  .groupBy("column", "value").agg(F.count("_y").alias("targets")))
+        single = (F.col("targets") <= 1).cast("int")
+    else:
+        levels = rows.groupBy("column", "value").agg(F.min("_y").alias("lo"),
+                                                     F.max("_y").alias("hi"))
+        single = F.coalesce((F.col("lo") == F.col("hi")).cast("int"), F.lit(1))
     return (levels.groupBy("column")
             .agg(F.count(F.lit(1)).alias("n_levels"), F.avg(single).alias("single_share"))
             .filter((F.col("single_share") > threshold)

@@ -39,7 +39,7 @@ def mae(y: Column, p: Column) -> Column:
 
 
 def rmsle(y: Column, p: Column) -> Column:
-    gap = F.log1p(y) - F.log1p(F.greatest(p, F.lit(0.0)))
+    gap = F.log1p(y) - F.log1p(F.when(p < 0, F.lit(0.0)).otherwise(p))
     return F.sqrt(F.avg(gap * gap))
 
 
@@ -51,13 +51,13 @@ def r2(y: Column, p: Column) -> Column:
 
 
 def logloss(y: Column, p: Column) -> Column:
-    q = F.least(F.greatest(p, F.lit(LOGLOSS_CLIP)), F.lit(1 - LOGLOSS_CLIP))
+    q = F.when(p.isNotNull(), F.least(F.greatest(p, F.lit(LOGLOSS_CLIP)), F.lit(1 - LOGLOSS_CLIP)))
     return -F.avg(F.when(y == 1, F.ln(q)).otherwise(F.ln(1 - q)))
 
 
 def mlogloss(label: Column, probs: Column) -> Column:
     q = F.element_at(probs, label.cast("int") + 1)
-    return -F.avg(F.ln(F.least(F.greatest(q, F.lit(EPSILON)), F.lit(1.0))))
+    return -F.avg(F.when(q.isNotNull(), F.ln(F.least(F.greatest(q, F.lit(EPSILON)), F.lit(1.0)))))
 
 
 def accuracy(y: Column, p: Column) -> Column:
@@ -96,8 +96,9 @@ def auc(df: DataFrame, fold: str, y: str, p: str,
                   F.col(p).cast("double").alias("_p"))
         .groupBy(fold, "_p").agg(F.count_if(F.col("_y") == 1).alias("pos"),
                                  F.count_if(F.col("_y") == 0).alias("neg")))
-    pieces = min(-(-pairs.count() // pairs_per_piece), MAX_PIECES)
-    cuts = rough_cuts(pairs, F.col("_p"), pieces) if pieces > 1 else []
+    n = pairs.count()
+    pieces = min(-(-n // pairs_per_piece), MAX_PIECES)
+    cuts = rough_cuts(pairs, F.col("_p"), pieces, n) if pieces > 1 else []
     scored = with_bins(pairs, {"_piece": (F.col("_p"), cuts)})
     below = (W.partitionBy(fold, "_piece").orderBy("_p")
              .rowsBetween(W.unboundedPreceding, -1))

@@ -4,23 +4,31 @@
 continuous column of a large table does not fit.  Here a sketch gives, for
 each wanted rank, a narrow interval of values.  One grouped pass counts the
 rows in the gaps between intervals and the values inside them, per fold; only
-the latter are ordered.  Intervals expected to hold too much are narrowed
-first.  Counts add up, so every "all folds but k" comes out of the same pass.
+the latter are ordered.  Intervals that hold too much are narrowed first.
+Counts add up, so every "all folds but k" comes out of the same pass.
+
+On large tables the sketch reads a sample, since the sketches of many tasks
+are merged by one.  That only places the intervals: the counts of all rows
+decide, and a rank outside its interval makes the interval grow.
 """
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 from math import ceil, floor, inf, nextafter
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from foldmark.constants import SEED
 from foldmark.operators.slots import Slots
 from foldmark.session import materialize
 
 ACCURACY = 10_000
 MAX_INSIDE = 2_000_000
+SKETCH_ROWS = 10_000_000
+LARGEST = sys.float_info.max     # stands for infinity, as splits are finite
 
 
 # -- bisection ----------------------------------------------------------------
@@ -49,10 +57,15 @@ def with_bins(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]]) -> D
                            for n, (x, cuts) in wanted.items()})
 
 
-def rough_cuts(df: DataFrame, x: Column, pieces: int) -> list[float]:
-    """Approximate cut points, repeated where one value fills several."""
+def _sketched(df: DataFrame, n: int) -> DataFrame:
+    """At most about ``SKETCH_ROWS`` of n rows, to place cuts by."""
+    return df if n <= SKETCH_ROWS else df.sample(SKETCH_ROWS / n, seed=SEED)
+
+
+def rough_cuts(df: DataFrame, x: Column, pieces: int, n: int) -> list[float]:
+    """Approximate cut points of n rows, repeated where one value fills several."""
     probs = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
-    got = df.agg(F.percentile_approx(x, probs, F.lit(max(ACCURACY, 4 * pieces)))).first()[0]
+    got = _sketched(df, n).agg(F.percentile_approx(x, probs, F.lit(max(ACCURACY, 4 * pieces)))).first()[0]
     return got or []
 
 
@@ -84,7 +97,7 @@ def _long(wide: DataFrame, sources: list[_Source]) -> DataFrame:
     """
     ranked = with_ranks(wide, {
         f"_c{i}": (F.col(f"_x{i}"), [e for low, high in s.intervals
-                                     for e in (low, nextafter(high, inf))])
+                                     for e in (low, nextafter(high, inf)) if e < inf])
         for i, s in enumerate(sources)})
     cells = [c for i in range(len(sources)) for c in (
         F.lit(i), F.col(f"_c{i}"), F.when(F.col(f"_c{i}") % 2 == 1, F.col(f"_x{i}")))]
@@ -124,8 +137,8 @@ def _widen(source: _Source, totals: dict[int, list[int]]) -> bool:
     codes = {_place(totals, k, r)[0] for k, ranks in enumerate(source.ranks) for r in ranks}
     for code in (c for c in codes if c % 2 == 0):
         j = code // 2
-        low = source.intervals[j - 1][1] if j > 0 else -inf
-        high = source.intervals[j][0] if j < len(source.intervals) else inf
+        low = source.intervals[j - 1][1] if j > 0 else -LARGEST
+        high = source.intervals[j][0] if j < len(source.intervals) else LARGEST
         source.intervals = [*source.intervals, (low, high)]
     source.intervals = _merge(source.intervals)
     return any(c % 2 == 0 for c in codes)
@@ -134,7 +147,7 @@ def _widen(source: _Source, totals: dict[int, list[int]]) -> bool:
 def _narrow(wide: DataFrame, sources: list[_Source], slots: Slots) -> bool:
     """Replace crowded intervals by those of a sketch of their own rows."""
     totals = _totals(_long(wide, sources).groupBy("s", "code").agg(*_per_slot(slots)), slots)
-    cols, plan = [], []
+    cols, plan, crowd = [], [], 0
     for i, s in enumerate(sources):
         if i not in totals or _widen(s, totals[i]):
             continue
@@ -142,11 +155,12 @@ def _narrow(wide: DataFrame, sources: list[_Source], slots: Slots) -> bool:
             inside = totals[i].get(2 * j + 1)
             if inside is None or inside[-1] <= MAX_INSIDE or low == high:
                 continue
+            crowd = max(crowd, inside[-1])
             asked = []      # per slot: lowest and highest share of its rows here
             for k, ranks in enumerate(s.ranks):
                 at = [(r - b) / inside[k] for r in ranks
                       for c, b in [_place(totals[i], k, r)] if c == 2 * j + 1]
-                step = 2 / ACCURACY + 1 / max(inside[k], 1)
+                step = 2 / ACCURACY + 2 / min(max(inside[k], 1), SKETCH_ROWS) ** 0.5
                 asked += [(k, max(a - step, 0.0), min(a + step, 1.0)) for a in at]
             x = F.col(f"_x{i}")
             for k, lo, hi in asked:
@@ -157,12 +171,12 @@ def _narrow(wide: DataFrame, sources: list[_Source], slots: Slots) -> bool:
             plan.append((i, j, len(asked)))
     if not plan:
         return False
-    found = iter(wide.agg(*cols).first())
+    found = iter(_sketched(wide, crowd).agg(*cols).first())
     before = [list(s.intervals) for s in sources]
     kept = [[iv for j, iv in enumerate(s.intervals) if (i, j) not in {p[:2] for p in plan}]
             for i, s in enumerate(sources)]
     for i, _, width in plan:
-        kept[i] += [tuple(next(found)) for _ in range(width)]
+        kept[i] += [tuple(edge) for edge in (next(found) for _ in range(width)) if edge]
     for s, intervals in zip(sources, kept):
         s.intervals = _merge(intervals)
     return before != [s.intervals for s in sources]
@@ -193,42 +207,53 @@ def slot_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float]
     fold = F.col(slots.fold) if slots.fold is not None else F.lit(0)
     wide = df.select(fold.cast("int").alias("_fold"), *[
         columns[c].cast("double").alias(f"_y{i}") for i, c in enumerate(names)])
-    wide = wide.select("_fold", *[F.when(~F.isnan(f"_y{i}"), F.col(f"_y{i}")).alias(f"_x{i}")
-                                  for i in range(len(names))])
+    wide = wide.select("_fold", *[
+        F.when(F.col(y).isNotNull() & ~F.isnan(y),
+               F.greatest(F.least(y, F.lit(LARGEST)), F.lit(-LARGEST))).alias(f"_x{i}")
+        for i, y in enumerate(f"_y{i}" for i in range(len(names)))])
+
+    sized = wide.groupBy("_fold").agg(*[F.count(f"_x{i}").alias(f"n{i}")
+                                        for i in range(len(names))]).collect()
+    sizes = []
+    for i in range(len(names)):
+        own = {r["_fold"]: r[f"n{i}"] for r in sized}
+        total = sum(own.values())
+        sizes.append([*[total - own.get(k, 0) for k in range(slots.folds)], total])
+    largest = max(n[-1] for n in sizes)
+    if not largest:
+        return nothing
 
-    # Sketch per fold, off by at most n / ACCURACY ranks; twice that is allowed
-    # for. A quantile of several folds lies between those of the single folds.
+    # The sketch is off by 1 / ACCURACY, a sample of m rows by about
+    # 1 / sqrt(m), and a slot differs from the whole by about 1 / sqrt(n).
     spread = 2.0 / ACCURACY
+    spread += 2.0 / SKETCH_ROWS ** 0.5 if largest > SKETCH_ROWS else 0.0
+    spread += 2.0 / (min(n[-1] for n in sizes if n[-1]) * max(slots.folds - 1, 1)) ** 0.5 \
+        if slots.folds else 0.0
     edges = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-spread, spread)]
     ask = F.array(*[F.lit(e) for e in edges])
-    sketch = wide.groupBy("_fold").agg(*[a for i in range(len(names)) for a in (
-        F.count(f"_x{i}").alias(f"n{i}"),
-        F.percentile_approx(f"_x{i}", ask, F.lit(ACCURACY)).alias(f"e{i}"))]).collect()
+    sketch = _sketched(wide, largest).agg(*[
+        F.percentile_approx(f"_x{i}", ask, F.lit(ACCURACY)).alias(f"e{i}")
+        for i in range(len(names))]).first()
     sources, spots = [], []
-    for i in range(len(names)):
-        own = {r["_fold"]: r[f"n{i}"] for r in sketch}
-        total = sum(own.values())
-        sizes = [*[total - own.get(k, 0) for k in range(slots.folds)], total]
-        spots.append([[_wanted(n, p, discrete) for p in probs] if n else [] for n in sizes])
-        found = [r[f"e{i}"] for r in sketch if r[f"n{i}"]]
+    for i, by_slot in enumerate(sizes):
+        spots.append([[_wanted(n, p, discrete) for p in probs] if n else [] for n in by_slot])
+        found = sketch[f"e{i}"]
         sources.append(_Source(
             [sorted({r for spot in spots[i][k] for r in spot[:2]}) for k in range(slots.count)],
-            _merge([(min(f[2 * q] for f in found), max(f[2 * q + 1] for f in found))
-                    for q in range(len(probs))]) if found else []))
-    largest = max(sum(r[f"n{i}"] for r in sketch) for i in range(len(names))) if sketch else 0
-    if not largest:
-        return nothing
+            _merge([(found[2 * q], found[2 * q + 1]) for q in range(len(probs))])
+            if found else [(-LARGEST, LARGEST)]))
 
-    if largest * 2 * spread > MAX_INSIDE:
-        while _narrow(wide, sources, slots):
-            pass
+    crowded = largest * 2 * spread > MAX_INSIDE
     while True:
+        while crowded and _narrow(wide, sources, slots):
+            pass
         counts = materialize(_long(wide, sources).groupBy("s", "code", "value")
                              .agg(*_per_slot(slots)))
         totals = _totals(counts, slots)
         missed = [_widen(s, totals[i]) for i, s in enumerate(sources) if i in totals]
         if not any(missed):
             break
+        crowded = largest > MAX_INSIDE
 
     # Look every rank up inside its interval: one row per rank comes back.
     ranks = []

@@ -46,7 +46,7 @@ def pieces(df: DataFrame, entity: list[str], order: str, key: str,
     n = df.count()
     wanted = min(max(2, -(-n // rows_per_piece)), MAX_PIECES)
     x = as_number(df, order)
-    found = rough_cuts(df, x, wanted)
+    found = rough_cuts(df, x, wanted, n)
     out = with_bins(df, {"_piece": (x, found)})
     hot = sorted({v for v in found if found.count(v) > 1})
     if not hot:
@@ -54,7 +54,7 @@ def pieces(df: DataFrame, entity: list[str], order: str, key: str,
     hot_values = F.array(*[F.lit(v) for v in hot])
     is_hot = F.coalesce(F.array_contains(hot_values, x), F.lit(False))
     k = as_number(df, key)
-    out = with_bins(out, {"_part": (k, rough_cuts(df.filter(is_hot), k, wanted))})
+    out = with_bins(out, {"_part": (k, rough_cuts(df.filter(is_hot), k, wanted, n))})
     # pieces are counted double so that a hot value fits between its neighbours
     return out.withColumns({
         "_piece": F.coalesce(F.col("_piece") * 2 + is_hot.cast("int"), F.lit(-1)),

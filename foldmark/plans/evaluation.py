@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from foldmark.constants import CV_FOLDS, HOLDOUT_SHARE, SEED
@@ -72,15 +73,16 @@ def cross_validate(solution: Solution, spec: ProblemSpec, metric: Metric,
     """Fit once for all folds, then one model per fold.
 
     The model of fold k is trained on the other rows, with statistics that
-    leave fold k out, and predicts fold k with the same statistics.  Errors
-    come back as a failed result.
+    leave fold k out, and predicts fold k with the same statistics.  One
+    fold's feature table is kept at a time.  Errors come back as a failed
+    result.
     """
     try:
         rows = materialize(with_folds(spec, folds, seed, key))
         solution.fit(rows, spec, Slots(FOLD, folds))
         parts, importances, width = [], [], 0
         for k in range(folds):
-            table = materialize(solution.transform(rows, k))
+            table = solution.transform(rows, k).persist(StorageLevel.MEMORY_AND_DISK)
             train, held = table.filter(F.col(FOLD) != k), table.filter(F.col(FOLD) == k)
             check_features(features_only(train), features_only(held), spec.target, spec.id)
             names = feature_names(table)
@@ -88,10 +90,11 @@ def cross_validate(solution: Solution, spec: ProblemSpec, metric: Metric,
             model = fit_model(train, names, LABEL, spec.problem_type, params)
             scored = model.predict(held).withColumn(
                 "pred", solution.postprocess(F.col("pred"), k))
-            parts.append(scored.select(KEY, FOLD, LABEL, "pred"))
+            parts.append(materialize(scored.select(KEY, FOLD, LABEL, "pred")))
+            table.unpersist()
             importances.append(model.importance(rows.sparkSession)
                                .withColumn("fold", F.lit(k)))
-        oof = materialize(reduce(DataFrame.unionByName, parts))
+        oof = reduce(DataFrame.unionByName, parts)
         scores = score_folds(oof, metric, FOLD, LABEL, "pred", spec.n_classes) \
             .withColumnRenamed(FOLD, "fold")
         return EvalResult(True, score_summary(scores), oof,
