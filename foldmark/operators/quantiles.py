@@ -28,6 +28,7 @@ from foldmark.session import materialize
 ACCURACY = 10_000
 MAX_INSIDE = 2_000_000
 SKETCH_ROWS = 10_000_000
+KEPT_CELLS = 50_000_000          # tables counted to be this small are kept
 LARGEST = sys.float_info.max     # stands for infinity, as splits are finite
 
 
@@ -219,10 +220,23 @@ def slot_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float]
         own = {r["_fold"]: r[f"n{i}"] for r in sized}
         total = sum(own.values())
         sizes.append([*[total - own.get(k, 0) for k in range(slots.folds)], total])
-    largest = max(n[-1] for n in sizes)
-    if not largest:
+    if not any(n[-1] for n in sizes):
         return nothing
 
+    # A small table may come out of a single file part: deal it over the cores.
+    small = sum(n[-1] for n in sizes) <= KEPT_CELLS
+    if small:
+        wide = wide.repartition(df.sparkSession.sparkContext.defaultParallelism).persist()
+    try:
+        return _find(wide, names, sizes, probs, slots, discrete)
+    finally:
+        if small:
+            wide.unpersist()
+
+
+def _find(wide: DataFrame, names: list[str], sizes: list[list[int]], probs: list[float],
+          slots: Slots, discrete: bool) -> dict[str, list[list[float | None]]]:
+    largest = max(n[-1] for n in sizes)
     # The sketch is off by 1 / ACCURACY, a sample of m rows by about
     # 1 / sqrt(m), and a slot differs from the whole by about 1 / sqrt(n).
     spread = 2.0 / ACCURACY
@@ -262,7 +276,7 @@ def slot_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float]
             for r in s.ranks[k]:
                 code, before = _place(totals[i], k, r)
                 ranks.append((i, code, k, r, r - before))
-    wanted = df.sparkSession.createDataFrame(
+    wanted = wide.sparkSession.createDataFrame(
         ranks, "s int, code int, slot int, rank long, at long")
     running = W.partitionBy("s", "code").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
     inside = counts.filter(F.col("value").isNotNull()).withColumn(

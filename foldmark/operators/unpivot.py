@@ -11,14 +11,10 @@ def long_values(df: DataFrame, columns: dict[str, Column] | list[str],
     if not isinstance(columns, dict):
         columns = {c: F.col(c) for c in columns}
     keep = keep or {}
-    safe = {f"_v{i}": name for i, name in enumerate(columns)}
-    wide = df.select(
-        *[expr.alias(name) for name, expr in keep.items()],
-        *[columns[name].cast("string").alias(alias) for alias, name in safe.items()])
-    names = F.create_map(*[F.lit(x) for pair in safe.items() for x in pair])
-    return (wide.unpivot(list(keep), list(safe), "_alias", "value")
-            .withColumn("column", F.element_at(names, F.col("_alias")))
-            .select(*keep, "column", "value"))
+    wide = df.select(*[expr.alias(name) for name, expr in keep.items()],
+                     *[expr.cast("string").alias(name) for name, expr in columns.items()])
+    return wide.unpivot([F.col(name) for name in keep],
+                        [F.col(f"`{name}`") for name in columns], "column", "value")
 
 
 def long_stats(df: DataFrame, per_column: dict[str, dict[str, Column]]) -> DataFrame:
