@@ -27,6 +27,15 @@ def null_token(x: Column, token: str = NULL_TOKEN) -> Column:
     return F.coalesce(x.cast("string"), F.lit(token))
 
 
+def compact_text(x: Column) -> Column:
+    """A text up to 64 characters, or its length and sha-256 beyond.
+
+    Equal for equal texts only, so grouping by it moves no long texts.
+    """
+    digest = F.concat(F.length(x).cast("string"), F.lit("#"), F.sha2(x.cast("binary"), 256))
+    return F.when(F.length(x) > 64, digest).otherwise(x)
+
+
 def zero_flag(x: Column) -> Column:
     return F.coalesce((x == 0).cast("int"), F.lit(0))
 

@@ -13,6 +13,7 @@ from foldmark.constants import (
     LEAK_CORRELATION, LEAK_MIN_LEVELS, LEAK_THRESHOLD, TARGET_CLASSES_SHOWN,
     TARGET_VALUES_SHOWN, TOP_VALUES,
 )
+from foldmark.functions.features import compact_text
 from foldmark.functions.kinds import kinds, numeric_columns
 from foldmark.functions.moments import adjusted_kurtosis, adjusted_skew
 from foldmark.operators.unpivot import long_stats, long_values
@@ -35,15 +36,23 @@ def missing(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return long_stats(df, {c: {"missing_frac": _missing_stat(c)} for c in cols})
 
 
-def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``(column, value, n)`` of all non-null values: one shuffle for all."""
+def _compact(df: DataFrame, c: str) -> Column:
+    return compact_text(F.col(c)) if isinstance(df.schema[c].dataType, T.StringType) else F.col(c)
+
+
+def value_counts(df: DataFrame, columns: list[str] | None = None,
+                 compact: bool = False) -> DataFrame:
+    """``(column, value, n)`` of all non-null values: one shuffle for all.
+
+    With ``compact`` long texts are told apart by digest.
+    """
     cols = columns or df.columns
-    return (long_values(df, cols).filter(F.col("value").isNotNull())
+    return (long_values(df, {c: _compact(df, c) if compact else F.col(c) for c in cols}).filter(F.col("value").isNotNull())
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None,
-                    approximate: float | None = None) -> DataFrame:
+                    approximate: float | None = None, compact: bool = True) -> DataFrame:
     """Distinct non-null values per column.
 
     Exact by default; with ``approximate`` (a relative error) one pass of
@@ -53,7 +62,7 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None,
     if approximate is not None:
         return long_stats(df, {c: {"n_unique": F.approx_count_distinct(c, approximate)}
                                for c in cols})
-    found = (value_counts(df, cols).groupBy("column")
+    found = (value_counts(df, cols, compact).groupBy("column")
              .agg(F.count(F.lit(1)).alias("n_unique")))
     names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
     return (names.join(found, "column", "left")
@@ -136,10 +145,10 @@ def profile(df: DataFrame, target: str | None = None) -> DataFrame:
     rows = df.agg(F.count(F.lit(1)))
     for cols in filter(None, (others, texts)):
         unique = F.col("n_unique").cast("string")
-        parts.append(distinct_counts(df, cols).select(
+        parts.append(distinct_counts(df, cols, compact=cols is others).select(
             "column", F.lit("n_unique").alias("stat"), unique.alias("value")))
     if texts:
-        parts.append(distinct_counts(df, texts).select(
+        parts.append(distinct_counts(df, texts, compact=False).select(
             "column", F.lit("high_cardinality").alias("stat"),
             (F.col("n_unique") > rows.scalar() * 0.5).cast("string").alias("value")))
         parts.append(top_values(df, texts).select(
@@ -225,9 +234,10 @@ def leakage_scan(df: DataFrame, target: str, threshold: float = LEAK_THRESHOLD)
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier one, all columns equal.
 
-    Grouped by the full row, so equal rows are combined before the shuffle.
+    Grouped by the full row, long texts by digest, so equal rows are combined
+    before the shuffle and no long text is moved.
     """
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    groups = df.groupBy(*[_compact(df, c).alias(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("n_duplicates"))
 
 

@@ -13,7 +13,7 @@ from foldmark.constants import (
 )
 from foldmark.operators.sequence import running_max_before
 
-# Themes of a proposal, first match wins.
+# Themes of a proposal, first match wins: rules of our own.
 THEME_RULES = [
     (r"^\W*(hypothesis)?\W*$", "empty"),
     (r"(target encod|\bte\b).*( x |×|interaction|combin)", "target encoding, interaction"),

@@ -39,7 +39,8 @@ def stream_incumbent(journal: DataFrame, greater_is_better: bool = True,
                     taken.append((key[0], r.iter, sign * r.value))
         if bar is not None:
             state.update((bar,))
-        yield pd.DataFrame(taken, columns=["run", "iter", "score"])
+        if taken:
+            yield pd.DataFrame(taken, columns=["run", "iter", "score"])
 
     return valid.groupBy("run").applyInPandasWithState(
         apply, "run string, iter int, score double", "bar double", "append",

@@ -93,6 +93,15 @@ def test_moments_match_pandas(spark):
     assert row["k"] == pytest.approx(values.kurt())
 
 
+def test_long_texts_are_told_apart(spark):
+    long = "x" * 200
+    rows = spark.createDataFrame([(t,) for t in (long, long, long + "y", "x" * 64, "x", None, None)],
+                                 "t string")
+    assert eda.distinct_counts(rows).first()["n_unique"] == 4
+    assert eda.duplicate_rows(rows).first()["n_duplicates"] == 2
+    assert eda.high_cardinality(rows).first()["high_cardinality"]
+
+
 def test_target_profile_shows_null(holes):
     got = {r["stat"]: r["value"] for r in eda.target_profile(holes, "c").collect()}
     assert got == {"a": 2.0, "null": 2.0, "b": 1.0}
