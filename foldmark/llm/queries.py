@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldmark.llm import quality
+from foldmark.llm import quality, shards, url_rules
 from foldmark.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,3 +62,36 @@ SELECT *, (failed & 3) <> 0 AS base_failed, (failed & 63) = 0 AS kept FROM f
 @registered("op8_quality_rules", OP8_SQL)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(quality.ledger(read_table(spark, folder, "documents")))
+
+
+@registered("op10_sharding")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return shards.by_bytes(read_table(spark, folder, "documents"), shards=24)
+
+
+OP5_SQL = r"""
+WITH p AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0
+                       THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT page_id,
+    translate(regexp_extract(rest, '\A([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+              'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '\A[^/?#]*([^?#]*)', 1) AS path FROM p
+), r(rhost, rpath, rverdict) AS (VALUES
+  ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+  ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), fit AS (
+  SELECT h.*, rhost || rpath AS rule, rverdict,
+    row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC) AS k
+  FROM h LEFT JOIN r ON (host = rhost OR host LIKE '%.' || rhost) AND starts_with(path, rpath)
+)
+SELECT page_id, host, path, rule, coalesce(rverdict, CASE WHEN regexp_matches(host,
+  '\A(.*[.-])?(ads|adult|bets|bet|casino|poker|porn|xxx|pills|pharma|spam|track|tracker|warez)([.-]|\z)')
+  THEN 'block' ELSE 'allow' END) AS verdict FROM fit WHERE k = 1
+"""
+
+
+@registered("op5_url_filters", OP5_SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return url_rules.judged(read_table(spark, folder, "pages"))
