@@ -47,7 +47,7 @@ def site_rule(name: str, verdict: str) -> UrlRule:
     """
     host, slash, path = name.partition("/")
     whole = re.findall(r"[^\W_]+", host.lower())
-    whole += re.findall(r"[^\W_]+(?=[\W_])", slash + path)
+    whole += re.findall(r"[^\W_]+(?=[\W_])", (slash + path).lower())
     return UrlRule(name, verdict, r"\A(?:[^/]*\.)?" + quoted(host.lower() + slash + path),
                    tuple(dict.fromkeys(whole)))
 
