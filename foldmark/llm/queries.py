@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldmark.llm import quality, shards, url_rules
+from foldmark.llm import mixing, near_dups, quality, shards, url_rules
 from foldmark.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,3 +95,14 @@ SELECT page_id, host, path, rule, coalesce(rverdict, CASE WHEN regexp_matches(ho
 @registered("op5_url_filters", OP5_SQL)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judged(read_table(spark, folder, "pages"))
+
+
+@registered("op1_minhash_near_dedup")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dups.near_duplicates(read_table(spark, folder, "documents"),
+                                     near_dups.Likeness(shingle=4))
+
+
+@registered("op6_source_mixing")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed(read_table(spark, folder, "documents"))
