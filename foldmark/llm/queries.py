@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldmark.llm import mixing, near_dups, quality, shards, url_rules
+from foldmark.llm import mixing, near_dups, quality, repeats, shards, url_rules
 from foldmark.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,3 +106,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @registered("op6_source_mixing")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(read_table(spark, folder, "documents"))
+
+
+@registered("op7_suffix_array_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.removal_counts(read_table(spark, folder, "documents"))
