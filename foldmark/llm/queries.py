@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 
-from foldmark.llm import mixing, near_dups, quality, repeats, shards, url_rules
+from foldmark.llm import (
+    fingerprints, mixing, near_dups, pieces, quality, repeats, shards, url_rules,
+)
 from foldmark.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,3 +114,14 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @registered("op7_suffix_array_dedup")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.removal_counts(read_table(spark, folder, "documents"))
+
+
+@registered("op4_sentencepiece")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encoded(read_table(spark, folder, "documents"), path("piece_bpe_32k.model"),
+                          with_ids=False)
+
+
+@registered("op9_document_fingerprints")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.edit_report(read_table(spark, folder, "documents"))

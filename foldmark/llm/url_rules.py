@@ -80,11 +80,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def rule_table(df: DataFrame, rules: tuple[UrlRule, ...]) -> DataFrame:
-    rows = [(i, r.name, r.verdict, r.regex, r.listed, t)
+    rows = [F.struct(F.lit(i).alias("rule_no"), F.lit(r.name).alias("rule"),
+                     F.lit(r.verdict).alias("rule_verdict"), F.lit(r.regex).alias("regex"),
+                     F.lit(r.listed).alias("listed"), F.lit(t).alias("token"))
             for i, r in enumerate(rules) for t in r.tokens]
-    return df.sparkSession.createDataFrame(
-        rows, "rule_no int, rule string, rule_verdict string, regex string, listed boolean,"
-              " token string")
+    return df.sparkSession.range(1).select(F.inline(F.array(*rows)))
 
 
 def judged(pages: DataFrame, rules: tuple[UrlRule, ...] = SITE_RULES + UNWANTED,
