@@ -45,8 +45,9 @@ from foldmark.llm.order import written
 WIDTH = 50
 TRIGGER = 20
 HOT = 16
-FLUSH = 1_500_000
-BUCKET_BYTES = 24_000_000
+FLUSH = 600_000
+BUCKET_BYTES = 12_000_000
+CHUNK_BYTES = 1_500_000
 
 
 def loads(raw: np.ndarray) -> np.ndarray:
@@ -212,7 +213,7 @@ def phrase_entries(batches: Iterable[pa.RecordBatch], buckets: int, width: int)
                           [short[hot], value[hot], ids[hot]])
 
     for big in batches:
-        for b in chunks(big, "_text"):
+        for b in chunks(big, "_text", CHUNK_BYTES):
             ids = b.column("_id").to_numpy(zero_copy_only=False)
             p = Phrases(b.column("_text"), width)
             held.append((p.trigger, p.hash, ids[p.owner]))
@@ -291,7 +292,7 @@ def texts_of(b: pa.RecordBatch) -> pa.Array:
                      for x in z], pa.large_binary())
 
 
-def small_slices(batches: Iterable[pa.RecordBatch], limit: int = 4_000_000):
+def small_slices(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES):
     """Slices of about ``limit`` bytes of text, from the lengths before the packed texts."""
     for b in batches:
         sizes = [int.from_bytes(x[:8], "little") for x in b.column("_z").to_pylist()]
