@@ -5,8 +5,9 @@ its sketch.  Two documents whose Jaccard similarity is at least the threshold
 share most of the k smallest values of their union, so they share at least
 half of their sketches but for a chance below 1e-8 (k = 64, threshold 0.8).
 Hence each document enters the inverted lists only under the rarest of its
-retained values: one more than the part that may differ.  Passages that many
-documents share give long lists only for documents that consist of little else.
+retained values, so many more than may differ that linked documents meet in
+``NEED`` lists.  Passages that many documents share give long lists only for
+documents that consist of little else.
 
 Lists generate candidates without pairing their members with one another.
 Every list compares its members with one pivot; links that hold on the full
@@ -37,6 +38,7 @@ from foldmark.llm import bytetools as bt
 from foldmark.llm.order import small, written
 
 PIVOT_ROUNDS = 6
+NEED = 8
 CHUNK_BYTES = 4_000_000
 
 
@@ -129,17 +131,22 @@ def full_sets(docs: DataFrame, like: Likeness) -> DataFrame:
 
 
 def inverted_lists(classes: DataFrame, like: Likeness) -> DataFrame:
-    """(value, rep) under the rarest retained values, lists of one left out."""
+    """(value, rep, need) under the rarest retained values, lists of one left out.
+
+    Sets that share c retained values share ``need`` of their s - c + need rarest.
+    """
     kept = classes.select("rep", "n", F.explode("sketch").alias("v"))
     often = kept.groupBy("v").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     size = F.least("n", F.lit(like.k))
+    need = F.least(F.lit(NEED), like.shared(F.col("n")))
     # values of one document come first, but have no list: they only use up places
-    places = size - like.shared(F.col("n")) + 1
+    places = size - like.shared(F.col("n")) + need
     found = (kept.join(often, "v").groupBy("rep", "n")
              .agg(F.sort_array(F.collect_list(F.struct("often", "v"))).alias("vs"))
              .withColumn("places", F.greatest(places - (size - F.size("vs")), F.lit(0)).cast("int")))
-    listed = found.select("rep", F.explode(F.slice("vs", F.lit(1), F.col("places"))).alias("x"))
-    return listed.select(F.col("x.v").alias("v"), "rep")
+    listed = found.select("rep", need.cast("int").alias("need"),
+                          F.explode(F.slice("vs", F.lit(1), F.col("places"))).alias("x"))
+    return listed.select(F.col("x.v").alias("v"), "rep", "need")
 
 
 def linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
@@ -198,39 +205,31 @@ def components(docs: DataFrame, like: Likeness, key: str, text: str) -> tuple[Da
     base = written(sketches(docs, like), "sketches")
     classes = written(base.filter("n > 0").groupBy("n", "d1", "d2")
                       .agg(F.min("_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
-    lists = written(inverted_lists(classes, like), "lists")
-    shared = lists.groupBy("v").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    lists = written(lists.join(shared, "v").select("v", "rep"), "lists")
-    listed = lists.select(F.col("rep").alias("_id")).distinct()
+    lists = inverted_lists(classes, like)
+    lists = written(lists, "lists")
+    shared = lists.groupBy("v").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("v")
+    at = written(lists.join(shared, "v").withColumn("component", F.col("rep")), "open")
+    size = at.count()
+    listed = at.select(F.col("rep").alias("_id")).distinct()
     sets = written(full_sets(docs.join(small(listed), "_id", "left_semi"), like)
-                   .groupBy("_id", "shingles").agg(F.lit(1).alias("one"))
-                   .select(F.col("_id").alias("rep"), "shingles"), "sets")
-    links, names, size = None, None, lists.count()
-    open_lists, done = lists, None
+                   .withColumnRenamed("_id", "rep"), "sets")
+    links, names = None, None
     for turn in range(PIVOT_ROUNDS + 1):
-        if names is None:
-            at = open_lists.withColumn("component", F.col("rep"))
-        else:
-            at = (lists.join(names, "rep", "left")
-                  .select("v", "rep", F.coalesce("component", "rep").alias("component")))
-            several = (at.groupBy("v").agg(F.min("component").alias("lo"),
-                                           F.max("component").alias("hi"))
-                       .filter("lo < hi").select("v"))
-            at = written(at.join(several, "v"), "open")
         if at.isEmpty():
             break
-        last = names is not None and (turn == PIVOT_ROUNDS or crossing(at).agg(
-            F.coalesce(F.sum("pairs"), F.lit(0))).first()[0] <= 4 * size)
-        pairs = (against_others(at) if last else against_pivot(at, turn)).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
+        last = turn == PIVOT_ROUNDS or turn > 0 and crossing(at).agg(
+            F.sum("pairs")).first()[0] <= 2 * size
+        pairs = written(against_others(at) if last else against_pivot(at, turn), "pairs")
         found = written(linked(pairs, classes, sets, like), "found")
         links = found if links is None else links.unionByName(found)
-        done = pairs if done is None else done.unionByName(pairs)
         names = contracted(links)
         if last:
             break
+        at = (at.drop("component").join(names, "rep", "left")
+              .withColumn("component", F.coalesce("component", "rep")))
+        several = (at.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+                   .filter("lo < hi").select("v"))
+        at = written(at.join(several, "v"), "open")
     if names is None:
         names = lists.select("rep", F.col("rep").alias("component")).limit(0)
     label = classes.join(names, "rep", "left").select(
@@ -243,11 +242,16 @@ def ordered_pair(a: str, b: str) -> tuple[Column, Column]:
 
 
 def against_pivot(at: DataFrame, turn: int) -> DataFrame:
-    """Members of a list with its pivot: the smallest first, then a random one."""
+    """Every member with the pivot that it meets in most of its lists.
+
+    A list's pivot is its smallest member first, then a random one.
+    """
     order = F.col("rep") if turn == 0 else F.xxhash64(F.lit(turn), "v", "rep")
     pivots = at.groupBy("v").agg(F.min_by(F.struct("rep", "component"), order).alias("p"))
-    return (at.join(pivots, "v").filter("component <> p.component")
-            .select(*ordered_pair("rep", "p.rep")))
+    met = (at.join(pivots, "v").filter("component <> p.component")
+           .groupBy("rep", F.col("p.rep").alias("pivot")).agg(F.count(F.lit(1)).alias("m")))
+    best = met.groupBy("rep").agg(F.max_by("pivot", F.struct("m", "pivot")).alias("pivot"))
+    return best.select(*ordered_pair("rep", "pivot")).distinct()
 
 
 def crossing(at: DataFrame) -> DataFrame:
@@ -260,11 +264,18 @@ def crossing(at: DataFrame) -> DataFrame:
 
 
 def against_others(at: DataFrame) -> DataFrame:
-    """Members outside the largest component of a list, with all other components."""
-    main = crossing(at).select("v", "main")
-    minor = (at.join(main, "v").filter("component <> main")
-             .select("v", F.col("rep").alias("x"), F.col("component").alias("cx")))
-    return (minor.join(at, "v").filter("component <> cx").select(*ordered_pair("rep", "x")))
+    """Members outside the largest component of a list, with all other components.
+
+    Pairs that meet in too few lists to be alike are left out.
+    """
+    at = at.join(crossing(at).select("v", "main"), "v")
+    minor = (at.filter("component <> main")
+             .select("v", F.col("rep").alias("x"), F.col("component").alias("cx"),
+                     F.col("need").alias("nx")))
+    met = minor.join(at, "v").filter("component <> cx AND (component = main OR rep < x)")
+    return (met.groupBy(*ordered_pair("rep", "x"))
+            .agg(F.count(F.lit(1)).alias("m"), F.min(F.least("need", "nx")).alias("need"))
+            .filter("m >= need").select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), key: str = "doc_id",
