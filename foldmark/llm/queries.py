@@ -8,7 +8,7 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 
 from foldmark.llm import (
-    fingerprints, mixing, near_dups, pieces, quality, repeats, shards, url_rules,
+    fingerprints, mixing, near_dups, pieces, quality, repeats, shards, toxicity, url_rules,
 )
 from foldmark.sources.tables import read_table
 
@@ -125,3 +125,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @registered("op9_document_fingerprints")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.edit_report(read_table(spark, folder, "documents"))
+
+
+@registered("op2_toxicity")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scored(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
