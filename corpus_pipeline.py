@@ -1,28 +1,62 @@
-"""The corpus pipeline: stages that each write their documents for the next."""
+"""The corpus pipeline: stages that each write their documents for the next.
+
+Null ids, texts, languages and sources pass through every stage as the
+operators define: a null text fails the quality rules, a null source is a
+source of its own, and without rows every stage gives none.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 
-from foldmark.llm import quality
+from foldmark.llm import mixing, near_dups, pieces, quality, repeats
 from foldmark.session import scratch_path
 from foldmark.sources.tables import read_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+# Nine tenths of the tokens, no document twice: the sources are brought as near
+# to equal as that allows, and the large ones give up what is over.
+MIXTURE = mixing.Mixture(budget=0.9, max_repeats=1.0)
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every rule of the current policy."""
     return quality.keep_good(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that is alike in five-word shingles."""
+    return near_dups.one_of_each(docs)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings that a smaller document holds."""
+    return repeats.without_repeats(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mixture reads."""
+    return mixing.mixed_documents(docs, MIXTURE)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32, n_bytes, round_trip and ids."""
+    return pieces.encoded(docs, path("piece_bpe_32k.model"))
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("source_mixing", source_mixing),
+    ("sentencepiece", sentencepiece),
 ]
 
-# Byte-level removal, tokenizer merges and sketches have no SQL form.
+# Byte-level removal, sketches and tokenizers have no SQL form.
 ORACLE_SQL: str | None = None
 
 
@@ -30,7 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table, each written and read again."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = scratch_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        at = scratch_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
     return STAGES[-1][1](spark, docs, sf_dir)

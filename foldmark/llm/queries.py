@@ -8,7 +8,8 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 
 from foldmark.llm import (
-    fingerprints, mixing, near_dups, pieces, quality, repeats, shards, toxicity, url_rules,
+    fingerprints, mixing, near_dups, pieces, quality, repeats, shards, token_files, toxicity,
+    url_rules,
 )
 from foldmark.sources.tables import read_table
 
@@ -130,3 +131,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @registered("op2_toxicity")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
+@registered("op3_token_files")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.token_report(read_table(spark, folder, "documents"),
+                                    path("word_bpe_49k.json"), end=1)
