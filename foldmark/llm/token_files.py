@@ -191,7 +191,7 @@ def _decoded(records: list[bytes]) -> list[np.ndarray]:
         words[:h[4], i] = np.frombuffer(r, "<u2", h[4], HEAD.size)
     span = np.full(n, 1 << 48, np.uint64)
     value = (words[0] << np.uint64(32)) | (words[1] << np.uint64(16)) | words[2]
-    taken = np.full(n, 3, np.int64)
+    taken, ending = np.full(n, 3, np.int64), len(words) - 1  # a damaged block may ask for more
     ids = np.zeros((longest, n), np.int64)
     count = np.tile(first_counts(vocabulary).astype(np.int32), (n, 1))
     seen = np.zeros((3, n, 9), np.int64)
@@ -232,12 +232,12 @@ def _decoded(records: list[bytes]) -> list[np.ndarray]:
         end = base + upper(below, total, vocabulary, at, found) * rest // total[:k]
         new = np.where(is2, p2, np.where(is1, p1, found))
         start = np.where(is2, 0, np.where(is1, w2, start))
-        width = np.where(is2, w2, np.where(is1, w1, end - start))
+        width = np.maximum(np.where(is2, w2, np.where(is1, w1, end - start)), 1)
         value[:k] -= unit * start.astype(np.uint64)
         span[:k] = unit * width.astype(np.uint64)
         short = np.flatnonzero(span[:k] < least)
         while len(short):
-            value[short] = (value[short] << half) | words[taken[short], short]
+            value[short] = (value[short] << half) | words[np.minimum(taken[short], ending), short]
             taken[short] += 1
             span[short] <<= half
             short = short[span[short] < least]
