@@ -106,8 +106,10 @@ def weights(sizes: DataFrame, mix: Mixture) -> DataFrame:
     raised = F.pow(F.col("_held") / F.lit(total), F.lit(exponent(sources, total, n, mix)))
     norm = sources.agg(F.sum(raised)).first()[0] or 1.0
     weight = raised / F.lit(norm)
-    return sources.select("_source", "_held", weight.alias("_weight"),
-                          (weight * F.lit(total * mix.budget)).alias("_owed"))
+    owed = weight * F.lit(total * mix.budget)
+    if mix.max_repeats is not None:  # rounding must not begin another pass
+        owed = F.least(owed, F.col("_held") * F.lit(float(mix.max_repeats)))
+    return sources.select("_source", "_held", weight.alias("_weight"), owed.alias("_owed"))
 
 
 def mixed(docs: DataFrame, mix: Mixture = Mixture(), key: str = "doc_id", text: str = "text",
