@@ -89,6 +89,8 @@ def exponent(sources: DataFrame, total: int, n: int, mix: Mixture) -> float:
         return high
 
     found = [0.0]
+    if n == 0:
+        return 1.0
     if mix.entropy is not None:
         found.append(bisected(lambda r: r[1] <= mix.entropy))
     if mix.max_repeats is not None:
