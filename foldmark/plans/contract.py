@@ -1,9 +1,14 @@
 """What a solution has to provide, and the reserved columns around it.
 
-The engine hides the target from ``transform``: it sees the input columns plus
-the reserved ones, which it must pass on untouched.  Everything else it
-returns is a feature.  ``fit`` gets the target and learns for all slots at
-once; ``holdout`` then says whose statistics a call may use.
+The engine hides the target from ``transform``: it sees the input columns, the
+key and the fold, which it must pass on untouched; the label is joined back by
+the key afterwards.  Everything else it returns is a feature.
+
+``fit`` gets the target.  In cross-validation an ordinary solution is fitted
+once per fold, on the rows of the other folds alone.  A class that declares
+``slot_aware = True`` itself is fitted once on all rows and learns a slot per
+fold; ``holdout`` then says whose statistics a call may use.  The declaration
+is not inherited: a subclass that changes ``fit`` has to make it again.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ OWN_FOLD, NONE = -1, None
 class Solution(ABC):
     """Base class of feature recipes; postprocessing defaults to identity."""
 
+    slot_aware = False
+
     @abstractmethod
     def fit(self, train: DataFrame, spec: ProblemSpec, slots: Slots) -> None:
         """Learn all statistics, per slot, from input and LABEL columns."""
@@ -37,6 +44,11 @@ class Solution(ABC):
         return pred
 
 
+def keeps_slots(solution: Solution) -> bool:
+    """Whether the solution's own class says that it learns per slot."""
+    return bool(vars(type(solution)).get("slot_aware", False))
+
+
 def feature_names(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in RESERVED]
 

@@ -19,7 +19,7 @@ from foldmark.operators.metrics import Metric, score_folds
 from foldmark.operators.model import ModelParams, fit_model
 from foldmark.operators.submission import submission
 from foldmark.plans.contract import (
-    FOLD, KEY, LABEL, NONE, OWN_FOLD, Solution, feature_names, features_only,
+    FOLD, KEY, LABEL, NONE, OWN_FOLD, Solution, feature_names, features_only, keeps_slots,
 )
 from foldmark.session import materialize
 
@@ -58,40 +58,64 @@ def with_folds(spec: ProblemSpec, folds: int = CV_FOLDS, seed: int = SEED,
     return fold_ops.stratified_kfold(rows, KEY, LABEL, folds, seed, FOLD)
 
 
+def labelled_features(solution: Solution, rows: DataFrame, holdout: int | None) -> DataFrame:
+    """Features of rows, made without their label, which is joined by key."""
+    made = solution.transform(rows.drop(LABEL), holdout).drop(LABEL)
+    return made.join(rows.select(KEY, LABEL), KEY)
+
+
+def fold_views(solution: Solution, rows: DataFrame, spec: ProblemSpec, folds: int):
+    """Per fold: the solution is fitted without it; then (k, holdout) is given."""
+    aware = keeps_slots(solution)
+    if aware:
+        solution.fit(rows, spec, Slots(FOLD, folds))
+    for k in range(folds):
+        if not aware:
+            solution.fit(rows.filter(F.col(FOLD) != k), spec, Slots())
+        yield k, (k if aware else NONE)
+
+
 def cv_features(solution: Solution, spec: ProblemSpec, folds: int = CV_FOLDS,
                 seed: int = SEED, key: str | None = None) -> DataFrame:
     """Leak-safe features of every row, each from the other folds."""
-    rows = with_folds(spec, folds, seed, key)
-    solution.fit(rows, spec, Slots(FOLD, folds))
-    return solution.transform(rows, OWN_FOLD)
+    rows = materialize(with_folds(spec, folds, seed, key))
+    if keeps_slots(solution):
+        solution.fit(rows, spec, Slots(FOLD, folds))
+        return labelled_features(solution, rows, OWN_FOLD)
+    return reduce(DataFrame.unionByName, [
+        materialize(labelled_features(solution, rows.filter(F.col(FOLD) == k), holdout))
+        for k, holdout in fold_views(solution, rows, spec, folds)])
 
 
 def cross_validate(solution: Solution, spec: ProblemSpec, metric: Metric,
                    folds: int = CV_FOLDS, seed: int = SEED,
                    params: ModelParams = ModelParams(),
                    key: str | None = None) -> EvalResult:
-    """Fit once for all folds, then one model per fold.
+    """One model per fold.
 
     The model of fold k is trained on the other rows, with statistics that
-    leave fold k out, and predicts fold k with the same statistics.  One
-    fold's feature table is kept at a time.  Errors come back as a failed
+    leave fold k out, and predicts fold k with the same statistics.  Training
+    and held-out rows are transformed apart, so the guards compare two frames.
+    One fold's feature table is kept at a time.  Errors come back as a failed
     result.
     """
     try:
         rows = materialize(with_folds(spec, folds, seed, key))
-        solution.fit(rows, spec, Slots(FOLD, folds))
         parts, importances, width = [], [], 0
-        for k in range(folds):
-            table = solution.transform(rows, k).persist(StorageLevel.MEMORY_AND_DISK)
-            train, held = table.filter(F.col(FOLD) != k), table.filter(F.col(FOLD) == k)
+        for k, holdout in fold_views(solution, rows, spec, folds):
+            train, held = (
+                labelled_features(solution, rows.filter(part), holdout)
+                .persist(StorageLevel.MEMORY_AND_DISK)
+                for part in (F.col(FOLD) != k, F.col(FOLD) == k))
             check_features(features_only(train), features_only(held), spec.target, spec.id)
-            names = feature_names(table)
+            names = feature_names(train)
             width = width or len(names)
             model = fit_model(train, names, LABEL, spec.problem_type, params)
             scored = model.predict(held).withColumn(
-                "pred", solution.postprocess(F.col("pred"), k))
+                "pred", solution.postprocess(F.col("pred"), holdout))
             parts.append(materialize(scored.select(KEY, FOLD, LABEL, "pred")))
-            table.unpersist()
+            train.unpersist()
+            held.unpersist()
             importances.append(model.importance(rows.sparkSession)
                                .withColumn("fold", F.lit(k)))
         oof = reduce(DataFrame.unionByName, parts)
@@ -123,10 +147,13 @@ def refit_predict(solution: Solution, spec: ProblemSpec,
     The statistics are learned from all training rows; one row in ten is then
     kept out of the trees to choose the number of rounds.
     """
-    train = _keyed(with_label(spec.train, spec).drop(spec.target), spec.id)
+    train = with_label(spec.train, spec).drop(spec.target)
+    # the label is joined by key, so rows without an id get numbers of their own
+    train = materialize(train.withColumn(
+        KEY, F.col(spec.id) if spec.id else F.monotonically_increasing_id()))
     test = _keyed(spec.test, spec.id)
     solution.fit(train, spec, Slots())
-    table = materialize(holdout_split(solution.transform(train, NONE), KEY))
+    table = materialize(holdout_split(labelled_features(solution, train, NONE), KEY))
     names = [c for c in feature_names(table) if c != "is_holdout"]
     kept = table.filter(~F.col("is_holdout")) if early_stop else table
     model = fit_model(kept, names, LABEL, spec.problem_type, params,

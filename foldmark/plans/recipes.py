@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -23,6 +24,8 @@ from foldmark.plans.contract import (
 class PassThrough(Solution):
     """Inputs without the id: the baseline every recipe has to beat."""
 
+    slot_aware = True
+
     def fit(self, train: DataFrame, spec: ProblemSpec, slots: Slots) -> None:
         self.columns = [c for c in train.columns if c not in (*RESERVED, spec.id)]
 
@@ -41,6 +44,8 @@ class Curriculum(Solution):
     statistics of the five widest numeric columns; 4 clipped predictions.
     """
 
+    slot_aware = True
+
     def __init__(self, step: int):
         self.step = min(step, len(STEPS) - 1)
 
@@ -146,6 +151,8 @@ class RecordedFeatures(Solution):
     Columns that the table lacks are passed over.
     """
 
+    slot_aware: ClassVar[bool] = True
+
     count_columns: list[str] = field(default_factory=list)
     zero_columns: list[str] = field(default_factory=list)
     log_columns: list[str] = field(default_factory=list)

@@ -137,6 +137,31 @@ def test_faulty_solution_is_a_failed_result(table):
         Solution()
 
 
+class _ReadsLabel(PassThrough):
+    def transform(self, df, holdout=None):
+        return df.select(KEY, FOLD, F.col(LABEL).alias("best"))
+
+
+class _LearnsAll(Solution):
+    """Remembers the target of every row it is fitted on."""
+
+    def fit(self, train, spec, slots):
+        self.seen = train.select(F.col(KEY).alias("k"), F.col(LABEL).alias("best"))
+
+    def transform(self, df, holdout=None):
+        return df.join(self.seen, F.col(KEY) == F.col("k"), "left").select(
+            *[c for c in (KEY, FOLD) if c in df.columns], F.coalesce("best", F.lit(0.5)).alias("best"))
+
+
+def test_label_cannot_leak(table):
+    read = cross_validate(_ReadsLabel(), spec_of(table), METRICS["auc"], 3, params=QUICK)
+    assert not read.ok and LABEL in read.error
+    learnt = cross_validate(_LearnsAll(), spec_of(table), METRICS["auc"], 3, params=QUICK)
+    assert learnt.ok and abs(learnt.summary.first()["score"] - 0.5) < 0.01
+    out = cv_features(_LearnsAll(), spec_of(table), 3)
+    assert out.filter("best <> 0.5").count() == 0 and out.count() == 600
+
+
 def test_cv_features_hide_the_target(table):
     out = cv_features(PassThrough(), spec_of(table), 3)
     assert feature_names(out) == ["driver", "race", "wide", "num", "pit"]

@@ -9,7 +9,7 @@ from foldmark.functions import features as fx
 from foldmark.functions.moments import adjusted_kurtosis, adjusted_skew
 from foldmark.operators import eda
 from foldmark.operators.encode import fit_levels, level_counts
-from foldmark.operators.evaluate import is_improvement
+from foldmark.operators.evaluate import improves
 from foldmark.operators.metrics import METRICS, score_folds, score_table
 from foldmark.sources.tables import nan_to_null, seeded_sample
 
@@ -134,14 +134,20 @@ def test_labels_are_decoded_for_label_metrics(spark):
     assert score_folds(df, METRICS["accuracy"], "fold", "y", "p", 3).first()["score"] == 1.0
 
 
-def test_accept_rule():
-    assert not is_improvement((0.9, False), None, True)
-    assert is_improvement((0.1, True), None, True)
-    assert is_improvement((0.1, True), (0.5, 0.1, False), True)
-    assert not is_improvement((0.51, True), (0.5, 0.1, True), True)     # on the margin
-    assert is_improvement((0.5101, True), (0.5, 0.1, True), True)
-    assert is_improvement((0.4899, True), (0.5, 0.1, True), False)
-    assert is_improvement((0.5 + 1e-9, True), (0.5, 0.0, True), True)   # floor of the noise
+def test_accept_rule(spark):
+    def better(score, ok, best, std, best_ok, up):
+        row = spark.range(1).select(improves(
+            F.lit(score), F.lit(ok), F.lit(best).cast("double"), F.lit(std).cast("double"),
+            F.lit(best_ok), up).alias("b"))
+        return row.first()["b"]
+
+    assert not better(0.9, False, None, None, None, True)
+    assert better(0.1, True, None, None, None, True)
+    assert better(0.1, True, 0.5, 0.1, False, True)
+    assert not better(0.51, True, 0.5, 0.1, True, True)     # on the margin
+    assert better(0.5101, True, 0.5, 0.1, True, True)
+    assert better(0.4899, True, 0.5, 0.1, True, False)
+    assert better(0.5 + 1e-9, True, 0.5, 0.0, True, True)   # floor of the noise
 
 
 def test_sample_is_exact(spark):
