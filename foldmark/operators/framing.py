@@ -89,11 +89,11 @@ def problem_type(df: DataFrame, target: str) -> tuple[str, int, list | None]:
     y = F.col(target)
     dtype = df.schema[target].dataType
     text = isinstance(dtype, T.StringType)
-    floating = isinstance(dtype, (T.FloatType, T.DoubleType))
+    floating = isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType))
     present = df.filter(y.isNotNull())
     levels = present.groupBy(y.alias("level")).agg(F.count(F.lit(1)).alias("n"))
     # tolerance of a closeness test against 0
-    broken = (F.coalesce(F.max((F.abs(F.pmod(F.col("level"), F.lit(1.0))) > 1e-8).cast("int")),
+    broken = (F.coalesce(F.max((F.abs(F.pmod(F.col("level").cast("double"), F.lit(1.0))) > 1e-8).cast("int")),
                          F.lit(0)) if floating else F.lit(0))
     facts = levels.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes"),
                        broken.alias("broken")).first()

@@ -157,10 +157,18 @@ def metric_name(text: Column, problem_type: Column) -> Column:
 
 
 def score_table(df: DataFrame, metric: Metric, fold: str, y: str, p: str) -> DataFrame:
-    """``(fold, score)`` of one metric."""
-    if metric.table is not None:
-        return metric.table(df, fold, y, p)
-    return df.groupBy(fold).agg(metric.aggregate(F.col(y), F.col(p)).alias("score"))
+    """``(fold, score)`` of one metric, a row for every fold.
+
+    A fold in which a labelled row has no prediction, or for which the metric
+    is not defined, has a null score: it must not look better than it is.
+    """
+    missing = F.count_if(F.col(y).isNotNull() & F.col(p).isNull())
+    if metric.table is None:
+        return df.groupBy(fold).agg(
+            F.when(missing == 0, metric.aggregate(F.col(y), F.col(p))).alias("score"))
+    folds = df.groupBy(fold).agg(missing.alias("_missing"))
+    return (folds.join(metric.table(df, fold, y, p), fold, "left")
+            .select(fold, F.when(F.col("_missing") == 0, F.col("score")).alias("score")))
 
 
 def score_folds(df: DataFrame, metric: Metric, fold: str, label: str, pred: str,

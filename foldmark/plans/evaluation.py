@@ -121,7 +121,10 @@ def cross_validate(solution: Solution, spec: ProblemSpec, metric: Metric,
         oof = reduce(DataFrame.unionByName, parts)
         scores = score_folds(oof, metric, FOLD, LABEL, "pred", spec.n_classes) \
             .withColumnRenamed(FOLD, "fold")
-        return EvalResult(True, score_summary(scores), oof,
+        summary = score_summary(scores)
+        if summary.first()["score"] is None:
+            raise ValueError("a fold has no score")
+        return EvalResult(True, summary, oof,
                           importance_mean(reduce(DataFrame.unionByName, importances), None),
                           width)
     except Exception as error:      # a failing solution is a result, not a crash

@@ -29,7 +29,7 @@ def stream_journal(spark: SparkSession, path: str) -> DataFrame:
     return _reader(spark.readStream, False).json(path)
 
 
-def append_journal(rows: DataFrame, path: str, by_run: bool = True) -> str:
+def append_journal(rows: DataFrame, path: str, by_run: bool = False) -> str:
     """Add events; with ``by_run`` a folder per run, so that one run is read
     without the rest."""
     return write_json(rows, path, mode="append", partition_by=["run"] if by_run else None)

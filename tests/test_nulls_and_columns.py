@@ -9,7 +9,8 @@ from foldmark.functions import features as fx
 from foldmark.functions.moments import adjusted_kurtosis, adjusted_skew
 from foldmark.operators import eda
 from foldmark.operators.encode import fit_levels, level_counts
-from foldmark.operators.evaluate import improves
+from foldmark.operators.evaluate import improves, score_summary
+from foldmark.operators.framing import problem_type
 from foldmark.operators.metrics import METRICS, score_folds, score_table
 from foldmark.sources.tables import nan_to_null, seeded_sample
 
@@ -157,3 +158,20 @@ def test_sample_is_exact(spark):
     want = sorted(range(5000), key=lambda i: (md5(f"42|{i}".encode()).hexdigest(), i))[:100]
     assert got == want
     assert seeded_sample(df, "id", 100, 5000).count() == 5000
+
+
+def test_missing_predictions_and_one_class_folds_have_no_score(spark):
+    df = spark.createDataFrame([(0, 1.0, 1.0), (0, 0.0, None), (1, 1.0, 1.0), (1, 0.0, 0.0)],
+                               "fold int, y double, p double")
+    for name in ("rmse", "r2", "accuracy", "f1", "f1_macro", "auc"):
+        got = {r["fold"]: r["score"] for r in score_table(df, METRICS[name], "fold", "y", "p").collect()}
+        assert got[0] is None and got[1] is not None, name
+    one = spark.createDataFrame([(0, 1.0, 0.3), (1, 1.0, 0.9), (1, 0.0, 0.1)], "fold int, y double, p double")
+    scores = score_table(one, METRICS["auc"], "fold", "y", "p")
+    assert {r["fold"]: r["score"] for r in scores.collect()} == {0: None, 1: 1.0}
+    assert score_summary(scores).first()["score"] is None
+
+
+def test_decimal_targets_are_judged_as_numbers(spark):
+    df = spark.range(50).select((F.col("id") % 5 + 0.25).cast("decimal(12,2)").alias("y"))
+    assert problem_type(df, "y")[0] == problem_type(df.select(F.col("y").cast("double")), "y")[0] == "regression"
