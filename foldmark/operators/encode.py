@@ -100,6 +100,7 @@ class LevelEncoder:
     smoothing: float
     null_level: bool
     with_target: bool
+    sizes: dict[str, tuple[int, int]]   # levels of each column, and their bytes
 
     def _level(self, c: str) -> Column:
         x = self.columns[c]
@@ -120,7 +121,8 @@ class LevelEncoder:
         out = df
         for c in self.columns:
             table = self.levels.table.filter(F.col("feature") == c)
-            one = LevelTable(table, ("level",), self.levels.rows, self.levels.total)
+            n_levels, size = self.sizes.get(c, (0, 0))
+            one = LevelTable(table, ("level",), n_levels, self.levels.total, size)
             values = {"counts": "_counts"}
             if self.with_target:
                 values |= {"ysums": "_ysums", "ycounts": "_ycounts"}
@@ -163,8 +165,12 @@ def fit_levels(df: DataFrame, columns: dict[str, Column] | list[str],
     means = [sums[f"ysums{k}"] / sums[f"ycounts{k}"] if sums[f"ycounts{k}"] else None
              for k in range(slots.count)] if y is not None else []
     levels = table.filter(F.col("level").isNotNull())
-    return LevelEncoder(columns, LevelTable(levels, ("feature", "level"), table.count(), rows[-1]),
-                        slots, rows, means, smoothing, null_level, y is not None)
+    # a wide column must not keep the short ones from being broadcast
+    sizes = {r["feature"]: (r["n"], r["size"] or 0) for r in levels.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("level")).alias("size")).collect()}
+    whole = LevelTable(levels, ("feature", "level"), sum(n for n, _ in sizes.values()), rows[-1],
+                       sum(b for _, b in sizes.values()))
+    return LevelEncoder(columns, whole, slots, rows, means, smoothing, null_level, y is not None, sizes)
 
 
 def smoothed_levels(df: DataFrame, column: str, y: Column, weight: float,

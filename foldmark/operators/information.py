@@ -97,20 +97,21 @@ def target_relation(df: DataFrame, target: str, top: int = RELATION_TOP,
         F.desc("mutual_info"), "column").limit(top)
 
 
-def interaction_pairs(df: DataFrame, columns: list[str],
-                      max_pairs: int = INTERACTION_PAIRS) -> list[tuple[str, str]]:
+def interaction_pairs(df: DataFrame, columns: list[str], max_pairs: int = INTERACTION_PAIRS,
+                      max_columns: int = INTERACTION_COLUMNS) -> list[tuple[str, str]]:
     kind = kinds(df.select(*columns))
-    nums = [c for c in columns if kind[c] in ("integer", "float")][:INTERACTION_COLUMNS]
+    nums = [c for c in columns if kind[c] in ("integer", "float")][:max_columns]
     pairs = [(a, b) for i, a in enumerate(nums) for b in nums[i + 1:]]
     return pairs[:max_pairs]
 
 
 def interaction_scan(df: DataFrame, target: str, columns: list[str],
-                     max_pairs: int = INTERACTION_PAIRS, bins: int = BINS) -> DataFrame:
+                     max_pairs: int = INTERACTION_PAIRS, bins: int = BINS,
+                     max_columns: int = INTERACTION_COLUMNS) -> DataFrame:
     """Products and ratios of numeric pairs, by information on the target."""
     classify = is_classification(df, target, share=0.0, limit=INTERACTION_CLASS_LIMIT)
     exprs: dict[str, Column] = {}
-    for a, b in interaction_pairs(df, columns, max_pairs):
+    for a, b in interaction_pairs(df, columns, max_pairs, max_columns):
         zero = F.lit(0.0)
         exprs[f"{a}*{b}"] = product(F.coalesce(F.col(a).cast("double"), zero),
                                     F.coalesce(F.col(b).cast("double"), zero))
