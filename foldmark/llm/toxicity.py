@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from foldmark.llm.order import written
 
+KNOWN = 20_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -71,7 +72,7 @@ class BlockMaxIndex:
         self.at = np.array([f[1] for f in found], np.int64)
         self.weight = np.array([f[2] for f in found], np.float64)
         self.cut = np.searchsorted(term, np.arange(n_terms + 1))
-        home = self.at // block
+        home = self.home = self.at // block
         new = np.ones(len(found), bool)
         new[1:] = (term[1:] != term[:-1]) | (home[1:] != home[:-1])
         heads = np.flatnonzero(new)
@@ -88,27 +89,26 @@ class BlockMaxIndex:
         for t, w in query.items():
             a, z = self.top_cut[t], self.top_cut[t + 1]
             bound[self.top_block[a:z]] += w * self.top[a:z]
-        ranked = np.argsort(-bound, kind="stable")
-        ranked = ranked[bound[ranked] > 0]
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        opened, step = 0, max(2, -(-4 * k // self.block))
-        while opened < len(ranked):
-            if len(best) == k and bound[ranked[opened]] < best[-1] * (1 - 1e-12):
-                break
-            chosen = np.zeros(self.blocks, bool)
-            chosen[ranked[opened:opened + step]] = True
-            opened, step = opened + step, step * 4
-            scores = np.zeros(self.n)
-            for t, w in query.items():
-                a, z = self.cut[t], self.cut[t + 1]
-                at = self.at[a:z]
-                inside = chosen[at // self.block]
-                scores[at[inside]] += w * self.weight[a:z][inside]
+        # the blocks with the best bounds first, then all that may still hold a neighbour
+        chosen = np.zeros(self.blocks, bool)
+        chosen[np.argsort(-bound, kind="stable")[:max(2, -(-4 * k // self.block))]] = True
+        scores = np.zeros(self.n)
+        self.open(query, chosen, scores)
+        hit = np.flatnonzero(scores > 0)
+        least = np.partition(scores[hit], -k)[-k] * (1 - 1e-12) if len(hit) >= k else 0.0
+        rest = ~chosen & (bound >= least) & (bound > 0)
+        if rest.any():
+            self.open(query, rest, scores)
             hit = np.flatnonzero(scores > 0)
-            at, value = np.concatenate([best_at, hit]), np.concatenate([best, scores[hit]])
-            keep = np.lexsort((at, -value))[:k]
-            best_at, best = at[keep], value[keep]
-        return best_at, best
+        best = hit[np.lexsort((hit, -scores[hit]))[:k]]
+        return best, scores[best]
+
+    def open(self, query: dict[int, float], chosen: np.ndarray, scores: np.ndarray) -> None:
+        """Add the cosines of the examples in the chosen blocks."""
+        for t, w in query.items():
+            a, z = self.cut[t], self.cut[t + 1]
+            inside = chosen[self.home[a:z]]
+            scores[self.at[a:z][inside]] += w * self.weight[a:z][inside]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,6 +138,7 @@ class Scorer:
                  shares: dict[int, float], settings: Settings):
         """``examples``: (id, toxic, {term: count}); ``shares``: documents per class."""
         self.vocabulary, self.idf, self.settings = vocabulary, idf, settings
+        self.known: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}  # answers given before
         rows = [self.vector(c) for _, _, c in examples]
         self.index = BlockMaxIndex(rows, len(vocabulary), settings.block)
         order = self.index.order
@@ -159,7 +160,12 @@ class Scorer:
         k = self.settings.neighbours
         if not query or not self.index.n:
             return 0.0, np.zeros(0, np.int64), np.zeros(0)
-        at, near = self.index.nearest(query, k + 1)
+        asked = tuple(query.items())
+        if asked not in self.known:
+            if len(self.known) > KNOWN:
+                self.known.clear()
+            self.known[asked] = self.index.nearest(query, k + 1)
+        at, near = self.known[asked]
         other = at != own if own is not None else self.ids[at] != own_id
         at, near = at[other][:k], near[other][:k]
         return float((near * self.toxic[at]).sum() / (near.sum() + self.settings.smoothing)), at, near
