@@ -39,7 +39,7 @@ WORD = re.compile(r"[^\W\d_]+")
 
 @dataclass(frozen=True)
 class Settings:
-    per_class: int = 4000
+    per_class: int = 1500
     terms: int = 1000
     least_documents: int = 5
     least_chi_square: float = 15.0
