@@ -88,10 +88,9 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     words, lines, windows = F.col("_words"), F.col("_lines"), F.col("_windows")
     marks = F.col("_marks")
     # Each projection names what later ones use several times, so that nothing
-    # is split twice; the row number keeps filters from being moved below.
+    # is split twice.
     parts = (docs.select(F.col(key).alias("_key"), F.col(text).alias("_t"))
-             .select("_key", F.monotonically_increasing_id().alias("_at_row"),
-                     F.array_remove(F.split(t, SPACES), "").alias("_words"),
+             .select("_key", F.array_remove(F.split(t, SPACES), "").alias("_words"),
                      F.regexp_replace(t, r"[^#*$%&|<>!\p{Lu}]+", "").alias("_marks"),
                      F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
                      .alias("_lines"))
@@ -167,4 +166,7 @@ def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text",
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
     rows = judged(ledger(packed.select("_row", F.col(f"_row.`{text}`").alias("_text")),
                          "_row", "_text"), policy)
-    return rows.filter("kept").select("_row.*")
+    # the row number keeps the filter here: moved below, it would repeat the
+    # measuring expressions many times over
+    rows = rows.withColumn("_at_row", F.monotonically_increasing_id())
+    return rows.filter("kept AND _at_row >= 0").select("_row.*")
