@@ -15,9 +15,10 @@ its trigger depends on its own bytes only.
 
 Phrases and strings travel as packed arrays, dealt by hash into buckets whose
 number follows the bytes of the corpus.  Before they travel, each task keeps
-one entry per phrase or string and settles later documents of its own; a
-trigger with many phrases in a task is dealt by phrase instead, so a passage
-in a third of all documents loads no single bucket.
+one entry per phrase or string and settles later documents of its own.  What is
+settled depends on the borders of tasks, so it travels with the entries of the
+same run.  A trigger with many phrases in a task is dealt by phrase instead, so
+a passage in a third of all documents loads no single bucket.
 
 Texts are taken as UTF-8 bytes; hashes are 64 bits wide, phrases being compared
 together with 32 bits of their trigger.
@@ -31,6 +32,7 @@ smaller than all others; without rows there is no result.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -156,6 +158,13 @@ def by_document(ids: np.ndarray, kind: int, hashes: np.ndarray) -> Iterator[tupl
         yield int(i[a]), kind, hashes[order[a:z]].tobytes()
 
 
+def settled(ids: np.ndarray, kind: int, hashes: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """Decisions as entries, one row per document, in buckets below 0."""
+    for i, k, h in by_document(ids, kind, hashes):
+        of = i.to_bytes(8, "little", signed=True)
+        yield -1 - zlib.crc32(h[:8] + of) % buckets, k, None, h, of
+
+
 ENTRIES = "bucket int, kind int, trigger binary, hash binary, ids binary"
 DECISIONS = "_id long, kind int, hashes binary"
 WHOLE, OPEN, STRING = 0, 1, 2
@@ -181,8 +190,9 @@ def frames(rows: Iterable[tuple], names: str, limit: int = 4000) -> Iterator[pa.
         yield made()
 
 
-def phrase_entries(batches: Iterable[pa.RecordBatch], buckets: int, width: int) -> Iterator[tuple]:
-    """Rows of both kinds: (bucket, kind, ...) entries; bucket -1 is settled here, its id as text."""
+def phrase_entries(batches: Iterable[pa.RecordBatch], buckets: int, width: int,
+                   limit: int = FLUSH) -> Iterator[tuple]:
+    """Entries (bucket, kind, ...) of all kinds, with what is settled here among them."""
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
 
@@ -195,8 +205,7 @@ def phrase_entries(batches: Iterable[pa.RecordBatch], buckets: int, width: int)
         trigger, value, ids = trigger[order], value[order], ids[order]
         first = np.repeat(ids[new], np.diff(np.append(np.flatnonzero(new), len(ids))))
         late = ids > first
-        for i, kind, h in by_document(ids[late], WHOLE, value[late]):
-            yield -1, kind, None, h, str(i).encode()
+        yield from settled(ids[late], WHOLE, value[late], buckets)
         trigger, value, ids = trigger[new], value[new], ids[new]
         start = np.append(True, trigger[1:] != trigger[:-1])
         group = np.cumsum(start) - 1
@@ -218,7 +227,7 @@ def phrase_entries(batches: Iterable[pa.RecordBatch], buckets: int, width: int)
             p = Phrases(b.column("_text"), width)
             held.append((p.trigger, p.hash, ids[p.owner]))
             size += len(p.hash)
-            if size >= FLUSH:
+            if size >= limit:
                 yield from flush()
                 size = 0
     if held:
@@ -250,15 +259,19 @@ def met_phrases(pdf: pd.DataFrame) -> Iterator[tuple]:
 
 
 def decisions(entries: DataFrame, met) -> DataFrame:
-    """(_id, kind, hashes) from packed entries, bucket by bucket."""
+    """(_id, kind, hashes) from packed entries, bucket by bucket.
+
+    Entries are made once: a second run could settle others than the first.
+    """
+    def here(pdf: pd.DataFrame) -> Iterator[tuple]:
+        for kind, h, i in pdf[["kind", "hash", "ids"]].itertuples(index=False):
+            yield int.from_bytes(i, "little", signed=True), kind, h
+
     def grouped(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(met(pdf)), columns=["_id", "kind", "hashes"])
+        found = here if pdf["bucket"].iat[0] < 0 else met
+        return pd.DataFrame(list(found(pdf)), columns=["_id", "kind", "hashes"])
 
-    here = (entries.filter("bucket < 0")
-            .select(F.col("ids").cast("string").cast("long").alias("_id"),
-                    "kind", F.col("hash").alias("hashes")))
-    return (entries.filter("bucket >= 0").groupBy("bucket")
-            .applyInPandas(grouped, DECISIONS).unionByName(here))
+    return entries.groupBy("bucket").applyInPandas(grouped, DECISIONS)
 
 
 def decided(docs: DataFrame, found: DataFrame, pack) -> DataFrame:
@@ -322,7 +335,8 @@ def among(hashes: np.ndarray, owner: np.ndarray, lists: list[np.ndarray]) -> np.
     return out
 
 
-def string_entries(batches: Iterable[pa.RecordBatch], buckets: int, width: int) -> Iterator[tuple]:
+def string_entries(batches: Iterable[pa.RecordBatch], buckets: int, width: int,
+                   limit: int = FLUSH) -> Iterator[tuple]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
@@ -335,8 +349,7 @@ def string_entries(batches: Iterable[pa.RecordBatch], buckets: int, width: int)
         value, ids = value[order], ids[order]
         first = np.repeat(ids[new], np.diff(np.append(np.flatnonzero(new), len(ids))))
         late = ids > first
-        for i, kind, h in by_document(ids[late], STRING, value[late]):
-            yield -1, kind, None, h, str(i).encode()
+        yield from settled(ids[late], STRING, value[late], buckets)
         value, ids = value[new], ids[new]
         yield from packed(0, (bt.mix(value, 43) % np.uint64(buckets)).astype(np.int64),
                           [np.zeros(len(value), np.uint8), value, ids])
@@ -348,7 +361,7 @@ def string_entries(batches: Iterable[pa.RecordBatch], buckets: int, width: int)
         ids = b.column("_id").to_numpy(zero_copy_only=False)
         held.append((value, np.repeat(ids[p.owner[still]], p.count[still])))
         size += len(value)
-        if size >= FLUSH:
+        if size >= limit:
             yield from flush()
             size = 0
     if held:
@@ -382,10 +395,11 @@ def removals(b: pa.RecordBatch, width: int) -> Iterator[tuple[bytes, np.ndarray]
 
 
 def repeats(docs: DataFrame, row, apply, schema: str, key: str = "doc_id", text: str = "text",
-            width: int = WIDTH) -> DataFrame:
+            width: int = WIDTH, flush: int = FLUSH) -> DataFrame:
     """``apply(slice, removals)`` over all documents, joined with their decisions.
 
-    ``row`` is a binary column that travels with each text.
+    ``row`` is a binary column that travels with each text; a task settles after
+    ``flush`` phrases or strings.
     """
     plain = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-2 ** 63)).alias("_id"),
                         row.alias("_row"), F.col(f"`{text}`").alias("_text"))
@@ -394,10 +408,10 @@ def repeats(docs: DataFrame, row, apply, schema: str, key: str = "doc_id", text:
     buckets = max(2, -(-bytes_in * 5 // 4 // BUCKET_BYTES))
 
     def first(batches):
-        yield from frames(phrase_entries(batches, buckets, width), ENTRIES)
+        yield from frames(phrase_entries(batches, buckets, width, flush), ENTRIES)
 
     def second(batches):
-        yield from frames(string_entries(batches, buckets, width), ENTRIES)
+        yield from frames(string_entries(batches, buckets, width, flush), ENTRIES)
 
     entries = plain.select("_id", "_text").mapInArrow(first, ENTRIES)
     whole = written(decisions(entries, met_phrases), "repeat-phrases")
@@ -412,7 +426,7 @@ def repeats(docs: DataFrame, row, apply, schema: str, key: str = "doc_id", text:
 
 
 def removal_counts(docs: DataFrame, key: str = "doc_id", text: str = "text",
-                   width: int = WIDTH) -> DataFrame:
+                   width: int = WIDTH, flush: int = FLUSH) -> DataFrame:
     """Key, n_bytes, n_removed, n_spans and kept_sha256 per row."""
     def counts(b, found):
         rows = []
@@ -428,7 +442,7 @@ def removal_counts(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     out = repeats(docs, F.col(f"`{key}`").cast("string").cast("binary"), counts,
                   "_row binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string",
-                  key, text, width)
+                  key, text, width, flush)
     return out.withColumn(key, F.col("_row").cast("string").cast("long")).select(
         key, "n_bytes", "n_removed", "n_spans", "kept_sha256")
 

@@ -1,6 +1,8 @@
 import hashlib
+import os
 import random
 
+import pyarrow as pa
 import pytest
 
 from foldmark.llm import repeats
@@ -99,3 +101,34 @@ def test_texts_keep_their_other_columns(spark):
     got = {r.doc_id: r for r in repeats.without_repeats(docs).collect()}
     assert got[1].text == "a " + p and got[2].text == " b" and got[2].n_chars == 2
     assert got[3].text == "" and got[3].source == "t" and got[2].source is None
+
+
+def test_small_flushes(spark):
+    rows = corpus(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for flush in (1, 7, 300):
+        got = sorted(tuple(r) for r in repeats.removal_counts(docs, flush=flush).collect())
+        assert got == brute(rows, 50)
+
+
+def test_entries_of_runs_with_other_borders(spark, tmp_path):
+    """Every run of the entries has borders of its own, as tasks have after a shuffle."""
+    text = "".join(random.Random(6).choices("abcdefgh ", k=200))
+    seen = str(tmp_path / "run")
+
+    def entries(batches):
+        try:
+            os.close(os.open(seen, os.O_CREAT | os.O_EXCL))
+            begin = 0
+        except FileExistsError:
+            begin = 1
+        table = pa.Table.from_batches(list(batches)).sort_by("_id")
+        cuts = [0, *range(2 - begin, table.num_rows, 2), table.num_rows]
+        for a, z in zip(cuts, cuts[1:]):
+            flush = table.slice(a, z - a).combine_chunks().to_batches()
+            yield from repeats.frames(repeats.phrase_entries(flush, 3, 50), repeats.ENTRIES)
+
+    docs = spark.createDataFrame([(i, text) for i in range(24)], "_id long, _text string")
+    made = docs.repartition(1).mapInArrow(entries, repeats.ENTRIES)
+    found = repeats.decisions(made, repeats.met_phrases).collect()
+    assert {r._id for r in found if r.kind == repeats.WHOLE} == set(range(1, 24))
