@@ -17,7 +17,9 @@ members outside the largest component of their list, is compared with
 every other component.  So no link between components is missed, and groups
 of thousands of copies cost one comparison per member and round.
 
-Documents with equal sets are one class from the start.
+Documents with equal sets are one class from the start.  Rows have a written
+number of their own, by which classes and components are named, so rows that
+share an id, or have none, stay apart.
 
 Defined results: a null or empty text, or one without words, has an empty set
 and is linked with nothing; fewer words than a shingle give one shingle; rows
@@ -37,6 +39,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from foldmark.llm import bytetools as bt
 from foldmark.llm.order import small, written
 
+NO_ID = 2 ** 63 - 1
 PIVOT_ROUNDS = 6
 NEED = 8
 CHUNK_BYTES = 4_000_000
@@ -102,7 +105,7 @@ def lists_of(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def sketches(docs: DataFrame, like: Likeness) -> DataFrame:
-    """``_id``, set size, two digests of the set, and the sketch."""
+    """``_id``, ``_key``, set size, two digests of the set, and the sketch."""
     def made(batches):
         for big in batches:
             for b in chunks(big, "_text"):
@@ -112,11 +115,12 @@ def sketches(docs: DataFrame, like: Likeness) -> DataFrame:
                     two = np.array([np.bitwise_xor.reduce(bt.mix(s, 22)) if len(s) else 0
                                     for s in sets], np.uint64)
                 yield pa.RecordBatch.from_arrays([
-                    b.column("_id"), pa.array([len(s) for s in sets], pa.int64()),
+                    b.column("_id"), b.column("_key"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
-                    lists_of([s[:like.k] for s in sets])], ["_id", "n", "d1", "d2", "sketch"])
-    return docs.select("_id", "_text").mapInArrow(
-        made, "_id long, n long, d1 long, d2 long, sketch array<long>")
+                    lists_of([s[:like.k] for s in sets])],
+                    ["_id", "_key", "n", "d1", "d2", "sketch"])
+    return docs.select("_id", "_key", "_text").mapInArrow(
+        made, "_id long, _key long, n long, d1 long, d2 long, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, like: Likeness) -> DataFrame:
@@ -198,13 +202,23 @@ def contracted(links: DataFrame) -> DataFrame:
     return names
 
 
-def components(docs: DataFrame, like: Likeness, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Written rows (_id, n, d1, d2), and (n, d1, d2, component) per class."""
-    ids = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(2 ** 63 - 1))
-    docs = docs.select(ids.alias("_id"), F.col(f"`{text}`").alias("_text"))
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` written with a number of its own per row, ``_row``."""
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
+def components(rows: DataFrame, like: Likeness, key: str, text: str) -> DataFrame:
+    """Of numbered rows: (_row, _key, n, component, least).
+
+    A component has the smallest row number of it as its name; ``least`` is
+    its smallest id.  An empty set is a component of its own.
+    """
+    ids = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID))
+    docs = rows.select(F.col("_row").alias("_id"), ids.alias("_key"), F.col(f"`{text}`").alias("_text"))
     base = written(sketches(docs, like), "sketches")
     classes = written(base.filter("n > 0").groupBy("n", "d1", "d2")
-                      .agg(F.min("_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
+                      .agg(F.min("_id").alias("rep"), F.min("_key").alias("least"),
+                           F.first("sketch").alias("sketch")), "classes")
     lists = inverted_lists(classes, like)
     lists = written(lists, "lists")
     shared = lists.groupBy("v").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("v")
@@ -232,9 +246,14 @@ def components(docs: DataFrame, like: Likeness, key: str, text: str) -> tuple[Da
         at = written(at.join(several, "v"), "open")
     if names is None:
         names = lists.select("rep", F.col("rep").alias("component")).limit(0)
-    label = classes.join(names, "rep", "left").select(
-        "n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
-    return base.select("_id", "n", "d1", "d2"), label
+    label = written(classes.join(names, "rep", "left").select(
+        "n", "d1", "d2", "least", F.coalesce("component", "rep").alias("component")), "labels")
+    least = label.groupBy("component").agg(F.min("least").alias("least"))
+    label = label.drop("least").join(small(written(least, "least")), "component")
+    return (base.join(label, ["n", "d1", "d2"], "left")
+            .select(F.col("_id").alias("_row"), "_key", "n",
+                    F.coalesce("component", "_id").alias("component"),
+                    F.coalesce("least", "_key").alias("least")))
 
 
 def ordered_pair(a: str, b: str) -> tuple[Column, Column]:
@@ -281,22 +300,22 @@ def against_others(at: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), key: str = "doc_id",
                     text: str = "text") -> DataFrame:
     """Key, n_shingles, component_id and kept, one row per row of ``docs``."""
-    base, label = components(docs, like, key, text)
-    shown = F.when(F.col("_id") < F.lit(2 ** 63 - 1), F.col("_id"))
-    found = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_id"))
-    return (base.join(label, ["n", "d1", "d2"], "left")
-            .select(shown.alias(key), F.col("n").alias("n_shingles"),
-                    F.when(found < F.lit(2 ** 63 - 1), found).alias("component_id"),
-                    (F.col("_id") == found).alias("kept")))
+    rows = numbered(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")))
+    found = components(rows, like, key, text)
+    shown = {c: F.when(F.col(c) < F.lit(NO_ID), F.col(c)) for c in ("_key", "least")}
+    return found.select(shown["_key"].alias(key), F.col("n").alias("n_shingles"),
+                        shown["least"].alias("component_id"),
+                        (F.col("_key") == F.col("least")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, like: Likeness = Likeness(), key: str = "doc_id",
                 text: str = "text") -> DataFrame:
     """Rows of ``docs`` without those that have a kept near-duplicate.
 
-    Of rows with the kept id, one stays.
+    Of each component the row with the smallest id stays, of such rows the
+    first by number; a row goes only for one of its own component.
     """
-    kept = (near_duplicates(docs, like, key, text).filter("kept")
-            .select(F.col(key).alias("_kept")).distinct())
-    rows = docs.join(kept, F.col(f"`{key}`").eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.dropDuplicates([key])
+    rows = numbered(docs)
+    kept = written(components(rows, like, key, text).filter(F.col("_key") == F.col("least"))
+                   .groupBy("component").agg(F.min("_row").alias("_row")), "kept").select("_row")
+    return rows.join(small(kept), "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -90,3 +90,18 @@ def test_very_long_text(spark):
     long = " ".join(f"w{i}" for i in range(60000))
     got = {r.doc_id: r.component_id for r in result(spark, [(1, long), (2, long + " end"), (3, "a b")])}
     assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_rows_without_an_id_stay_apart(spark):
+    text = {c: " ".join(f"{c}{i}" for i in range(80)) for c in "abcdef"}
+    rows = [(None, text["a"]), (None, text["b"]), (None, text["b"] + " end"), (1, text["a"] + " end"),
+            (2, text["c"]), (7, text["d"]), (7, text["c"] + " end"), (7, text["e"]), (None, text["f"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    like = Likeness(shingle=4)
+    got = sorted((r.doc_id or 0, r.text) for r in near_dups.one_of_each(docs, like).collect())
+    free = [r for r in got if r[1].startswith("b")]
+    assert len(free) == 1 and free[0][0] == 0
+    assert [r for r in got if r not in free] == sorted(
+        (i or 0, t) for i, t in (rows[3], rows[4], rows[5], rows[7], rows[8]))
+    named = {(r.doc_id, r.component_id) for r in result(spark, rows)}
+    assert named == {(None, 1), (None, None), (1, 1), (2, 2), (7, 7), (7, 2)}
