@@ -74,7 +74,8 @@ def prefix_sums(raw: np.ndarray) -> np.ndarray:
     return sums
 
 
-def word_spans(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(raw: np.ndarray, starts: np.ndarray,
+               space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin and end of every run of non-space bytes, and the text it lies in.
 
     Words never run across two texts.
@@ -82,7 +83,7 @@ def word_spans(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     if not len(raw):
         none = np.zeros(0, np.int64)
         return none, none, none
-    solid = ~SPACE[raw]
+    solid = ~space[raw]
     begin = solid.copy()
     begin[1:] &= ~solid[:-1]
     end = np.zeros(len(raw) + 1, dtype=bool)

@@ -8,8 +8,8 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 
 from foldmark.llm import (
-    fingerprints, mixing, near_dups, pieces, quality, repeats, shards, token_files, toxicity,
-    url_rules,
+    fingerprints, manifest, mixing, near_dups, pieces, quality, repeats, search, shards, token_files,
+    toxicity, url_rules, warc,
 )
 from foldmark.sources.tables import read_table
 
@@ -137,3 +137,118 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_report(read_table(spark, folder, "documents"),
                                     path("word_bpe_49k.json"), end=1)
+
+
+# CRC-32 bit by bit: each byte, then seven steps without one.
+CRC = """list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+    range(1, length(doc_id::VARCHAR) + 1),
+    lambda i: [ascii((doc_id::VARCHAR)[i])::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, x: xor(xor(c, x) >> 1, CASE WHEN xor(c, x) & 1 = 1 THEN 3988292384 ELSE 0 END))"""
+
+
+def leaf_sql(text: str) -> str:
+    values = [c if c == text else f"{c}::VARCHAR" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return "sha256(" + " || ".join(f"coalesce(strlen({v})::VARCHAR || ':' || {v}, '-')" for v in values) + ")"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT *, CASE WHEN xor({CRC}, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed
+  FROM documents
+), leaves AS (
+  SELECT doc_id, source, {leaf_sql('text')} AS leaf, {leaf_sql('changed')} AS candidate FROM d
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k FROM leaves
+), low AS (
+  SELECT source, 0 AS lvl, list(leaf ORDER BY k) AS d FROM placed GROUP BY source
+  UNION ALL
+  SELECT source, lvl + 1, list_transform(range(0, (len(d) + 2) // 3),
+    lambda i: sha256(array_to_string(d[3 * i + 1:3 * i + 3], ''))) FROM low WHERE len(d) > 1
+), subs AS (
+  SELECT source, d[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place
+  FROM low WHERE len(d) = 1
+), high AS (
+  SELECT 0 AS lvl, list(subroot ORDER BY place) AS d FROM subs
+  UNION ALL
+  SELECT lvl + 1, list_transform(range(0, (len(d) + 2) // 3),
+    lambda i: sha256(array_to_string(d[3 * i + 1:3 * i + 3], ''))) FROM high WHERE len(d) > 1
+), steps AS (
+  SELECT doc_id, leaf, k, source, lvl, d[k // (3 ** lvl)::BIGINT // 3 * 3 + 1:k // (3 ** lvl)::BIGINT // 3 * 3 + 3] AS run,
+    k // (3 ** lvl)::BIGINT % 3 + 1 AS own
+  FROM (SELECT doc_id, leaf, k::BIGINT AS k, source FROM placed) JOIN low USING (source)
+  WHERE len(d) > 1
+  UNION ALL
+  SELECT p.doc_id, p.leaf, p.k, p.source, 1000 + lvl,
+    d[place // (3 ** lvl)::BIGINT // 3 * 3 + 1:place // (3 ** lvl)::BIGINT // 3 * 3 + 3], place // (3 ** lvl)::BIGINT % 3 + 1
+  FROM placed p JOIN subs s ON p.source IS NOT DISTINCT FROM s.source, high WHERE len(d) > 1
+), pieces AS (
+  SELECT *, array_to_string(run[1:own::BIGINT - 1], '') AS before,
+    array_to_string(run[own::BIGINT + 1:3], '') AS after FROM steps
+), paths AS (
+  SELECT source, k, list({{'b': before, 'a': after}} ORDER BY lvl) AS path FROM pieces GROUP BY source, k
+)
+SELECT p.doc_id, p.leaf, s.subroot, h.d[1] AS root,
+  sha256(coalesce(array_to_string(list_transform(path, lambda x: x.b || x.a), ''), '')) AS proof_sha256,
+  list_reduce(coalesce(path, []), lambda acc, x: {{'b': '', 'a': sha256(x.b || acc.a || x.a)}},
+              {{'b': '', 'a': candidate}}).a AS folded_root,
+  list_reduce(coalesce(path, []), lambda acc, x: {{'b': '', 'a': sha256(x.b || acc.a || x.a)}},
+              {{'b': '', 'a': candidate}}).a = h.d[1] AS verified
+FROM placed p JOIN subs s ON p.source IS NOT DISTINCT FROM s.source
+LEFT JOIN paths ON paths.source IS NOT DISTINCT FROM p.source AND paths.k = p.k
+JOIN high h ON len(h.d) = 1
+"""
+
+
+@registered("op11_merkle_manifest", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.audit(read_table(spark, folder, "documents"))
+
+
+OP12_SQL = r"""
+WITH words AS (
+  SELECT doc_id, rowid_, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM (SELECT *, row_number() OVER () AS rowid_ FROM documents)
+), tf AS (
+  SELECT doc_id, rowid_, t, count(*)::BIGINT AS tf FROM words GROUP BY ALL
+), sizes AS (
+  SELECT rowid_, count(*)::BIGINT AS n FROM words GROUP BY ALL
+), whole AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM sizes
+), df AS (
+  SELECT t, count(*)::BIGINT AS df FROM tf GROUP BY t
+), wanted AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark
+), parts AS (
+  SELECT item_id, doc_id, rowid_, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT
+    * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms))) AS part
+  FROM wanted JOIN tf USING (t) JOIN df USING (t) JOIN sizes USING (rowid_), whole
+), scored AS (
+  SELECT item_id, doc_id, rowid_, sum(part)::BIGINT AS score FROM parts GROUP BY ALL HAVING sum(part) > 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM scored)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 20
+"""
+
+
+@registered("op12_ranked_search", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return search.search(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
+OP13_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body FROM pages
+), last AS (
+  SELECT body, max(page_id) AS last FROM p WHERE strlen(body) >= 1000 GROUP BY body)
+SELECT page_id, strlen(p.body)::BIGINT AS payload_bytes, sha1(p.body) AS payload_digest,
+  CASE WHEN last IS DISTINCT FROM page_id AND last IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN last IS DISTINCT FROM page_id THEN last END AS refers_to
+FROM p LEFT JOIN last USING (body)
+"""
+
+
+@registered("op13_warc", OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_report(read_table(spark, folder, "pages"))
