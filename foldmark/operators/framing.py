@@ -164,13 +164,18 @@ def guard_all_null(features: DataFrame) -> None:
         raise ValueError(f"feature columns without any value: {bad}")
 
 
-def check_features(train: DataFrame, test: DataFrame, target: str,
-                   id_column: str | None) -> None:
-    """All guards; those that need only the schema come first."""
+def check_schemas(train: DataFrame, test: DataFrame, target: str, id_column: str | None) -> None:
+    """The guards that need no pass over the rows."""
     guard_target(train, target)
     guard_id(train, id_column)
     guard_same_columns(train, test)
     guard_nonempty(train)
+
+
+def check_features(train: DataFrame, test: DataFrame, target: str,
+                   id_column: str | None) -> None:
+    """All guards; those that need only the schema come first."""
+    check_schemas(train, test, target, id_column)
     guard_all_null(train)
 
 

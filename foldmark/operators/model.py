@@ -1,68 +1,70 @@
-"""The frozen model: MLlib boosted trees, or a forest for many classes."""
+"""The frozen model: boosted trees on numbers, dates and categories of any width."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from foldmark.constants import (
-    MODEL_DEPTH, MODEL_RATE, MODEL_SEED, MODEL_SUBSAMPLE,
-)
 from foldmark.functions.features import null_token
-from foldmark.functions.kinds import categorical_columns, numeric_columns
-from foldmark.operators.eda import distinct_counts
+from foldmark.functions.kinds import categorical_columns
+from foldmark.operators.boosting import Boosted, ModelParams, boosted, predicted
+from foldmark.operators.ordered import OrderedStatistics, fit_ordered, piece_of
+from foldmark.session import discard, stored
 
+__all__ = ["FittedModel", "ModelParams", "fit_model", "fit_models", "prepare"]
 
-@dataclass(frozen=True)
-class ModelParams:
-    """Depth, rate and sampling are fixed; rounds are for the user to choose.
-
-    A boosted round is one pass over the data here, so the default is far
-    below what a single-machine trainer would use.
-    """
 
-    rounds: int = 20
-    depth: int = MODEL_DEPTH
-    rate: float = MODEL_RATE
-    subsample: float = MODEL_SUBSAMPLE
-    seed: int = MODEL_SEED
-    max_levels: int = 32
-    max_bins: int = 64
-    extra: dict = field(default_factory=dict)
+def as_double(df: DataFrame, column: str) -> Column:
+    """Numbers as they are, dates and times as microseconds."""
+    dtype, x = df.schema[column].dataType, F.col(f"`{column}`")
+    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        x = F.unix_micros(x.cast("timestamp"))
+    return x.cast("double")
 
 
 @dataclass(frozen=True)
 class FittedModel:
-    pipeline: PipelineModel
-    features: list[str]
+    """Features are the numeric columns, then the categories."""
+
+    boosted: Boosted
+    numbers: list[str]
+    categories: OrderedStatistics | None
     problem_type: str
 
+    @property
+    def features(self) -> list[str]:
+        return [*self.numbers, *(self.categories.columns if self.categories else [])]
+
+    @property
+    def n_trees(self) -> int:
+        return len(self.boosted.trees)
+
+    @property
+    def n_leaves(self) -> int:
+        return sum(len(t.values) for t in self.boosted.trees)
+
+    def inputs(self, df: DataFrame) -> list[Column]:
+        made = [n for c in self.categories.columns for n in self.categories.names(c)] \
+            if self.categories else []
+        return [*[as_double(df, c) for c in self.numbers], *[F.col(c) for c in made]]
+
     def predict(self, df: DataFrame, name: str = "pred") -> DataFrame:
         """Value, probability of class 1, or array of class probabilities."""
-        keep = df.columns
-        out = self.pipeline.transform(prepare(df))
-        if self.problem_type == "regression":
-            pred = F.col("_prediction")
-        else:
-            probs = vector_to_array("_probability")
-            pred = F.element_at(probs, 2) if self.problem_type == "binary" else probs
-        # other columns as they came in, before preparation
-        originals = [F.col(f"_in.{c}").alias(c) if c in categorical_columns(df)
-                     else F.col(f"`{c}`") for c in keep]
-        return out.select(*originals, pred.alias(name))
+        rows = df if self.categories is None else self.categories.transform(
+            df, F.xxhash64(*[F.col(f"`{c}`") for c in self.features]))
+        return rows.select(*[F.col(f"`{c}`") for c in df.columns if c != name], predicted(
+            self.boosted, self.inputs(rows), self.problem_type).alias(name))
 
     def importance(self, spark: SparkSession) -> DataFrame:
-        """``(feature, importance)``; the list is as long as the schema."""
-        stage = self.pipeline.stages[-1]
-        pairs = [(f, float(v)) for f, v in
-                 zip(self.features, stage.featureImportances.toArray())]
-        return spark.createDataFrame(pairs, "feature string, importance double")
+        """``(feature, importance)``: shares of the gain; the list is as long as the schema."""
+        shares = self.boosted.gains().tolist()
+        each = dict(zip(self.numbers, shares))
+        if self.categories:
+            k, at = self.categories.outputs, len(self.numbers)
+            for i, c in enumerate(self.categories.columns):
+                each[c] = sum(shares[at + i * k:at + (i + 1) * k])
+        return spark.createDataFrame(list(each.items()), "feature string, importance double")
 
 
 def prepare(df: DataFrame) -> DataFrame:
@@ -74,57 +76,54 @@ def prepare(df: DataFrame) -> DataFrame:
             .withColumns({c: null_token(F.col(f"`{c}`")) for c in texts}))
 
 
-def fit_model(df: DataFrame, features: list[str], label: str, problem_type: str,
-              params: ModelParams = ModelParams(),
-              holdout: DataFrame | None = None) -> FittedModel:
-    """Fit on numeric features and on categories of few levels.
-
-    With a ``holdout`` the number of boosting rounds is the one of least loss
-    there; the trees are refitted when that is fewer than asked for.
+def fit_models(parts: dict[int, tuple[DataFrame, DataFrame | None]], features: list[str], label: str,
+               problem_type: str, params: ModelParams = ModelParams(),
+               n_classes: int | None = None, key: str | None = None) -> dict[int, FittedModel]:
+    """A model for each part, boosted in step.
 
-    A tree needs as many bins as a category has levels, so columns of more
-    than ``max_levels`` levels enter only through their encodings.
+    A part is the rows to learn from and, perhaps, rows held out to decide how
+    many rounds count.  Categories of any number of levels become ordered
+    target statistics, learnt from the part's own rows in the order of the
+    hash of ``key`` (without one, of the features).  Rows without a label are
+    left out.
     """
-    inputs = df.select(*features)
+    if not features:
+        raise ValueError("no feature columns")
+    tables = None
+    for p, sides in parts.items():
+        for rows, held in zip(sides, (False, True)):
+            if rows is not None:
+                one = rows.select(
+                    F.lit(p).alias("_part"), F.lit(held).alias("_held"),
+                    F.col(f"`{label}`").cast("double").alias("_y"),
+                    F.xxhash64(*[F.col(f"`{c}`") for c in ([key] if key else features)]).alias("_hash"),
+                    *[F.col(f"`{c}`") for c in features]).filter("_y IS NOT NULL")
+                tables = one if tables is None else tables.unionByName(one)
+    inputs = tables.select(*[F.col(f"`{c}`") for c in features])
     texts = categorical_columns(inputs)
-    numbers = numeric_columns(inputs)
-    if texts:
-        small = (distinct_counts(df, texts, approximate=0.05)
-                 .filter(F.col("n_unique") <= params.max_levels).collect())
-        found = {r["column"] for r in small}
-        texts = [c for c in texts if c in found]
-    stages = []
+    numbers = [c for c in features if c not in texts]
+    outputs = 1
+    if problem_type == "multiclass":
+        outputs = n_classes or int(tables.agg(F.max("_y")).first()[0] or 0) + 1
+    made, stats = [as_double(inputs, c) for c in numbers], None
     if texts:
-        stages.append(StringIndexer(inputCols=texts, outputCols=[f"{c}__ix" for c in texts],
-                                    handleInvalid="keep", stringOrderType="alphabetAsc"))
-    if numbers:
-        stages.append(Imputer(inputCols=numbers, outputCols=[f"{c}__im" for c in numbers],
-                              strategy="median"))
-    stages.append(VectorAssembler(inputCols=[f"{c}__im" for c in numbers]
-                                  + [f"{c}__ix" for c in texts], outputCol="_features"))
-    common = dict(featuresCol="_features", labelCol=label, predictionCol="_prediction",
-                  maxDepth=params.depth, maxBins=params.max_bins, seed=params.seed,
-                  subsamplingRate=params.subsample, checkpointInterval=10)
-    if problem_type == "regression":
-        trees = GBTRegressor(maxIter=params.rounds, stepSize=params.rate, **common)
-    elif problem_type == "binary":
-        trees = GBTClassifier(maxIter=params.rounds, stepSize=params.rate, **common)
-        trees = trees.setProbabilityCol("_probability").setRawPredictionCol("_raw")
-    else:
-        trees = RandomForestClassifier(numTrees=params.rounds, probabilityCol="_probability",
-                                       rawPredictionCol="_raw", **common)
-    stages.append(trees)
-    columns = [*numbers, *texts, label]
-    rows = prepare(df.select(*columns))
-    fitted = Pipeline(stages=stages).fit(rows)
-    if holdout is not None and problem_type in ("regression", "binary"):
-        ready = PipelineModel(fitted.stages[:-1])
-        held = ready.transform(prepare(holdout.select(*columns)))
-        losses = (fitted.stages[-1].evaluateEachIteration(held, "squared")
-                  if problem_type == "regression"
-                  else fitted.stages[-1].evaluateEachIteration(held))
-        best = min(range(len(losses)), key=lambda i: losses[i]) + 1
-        if best < len(losses):
-            fewer = trees.setMaxIter(best).fit(ready.transform(rows))
-            fitted = PipelineModel([*ready.stages, fewer])
-    return FittedModel(fitted, [*numbers, *texts], problem_type)
+        piece = piece_of([F.col("_hash")])
+        stats = fit_ordered(tables.filter("NOT _held"), texts, F.col("_y"), piece, outputs,
+                            part=F.col("_part"))
+        tables = stats.transform(tables, F.col("_hash"), F.when(~F.col("_held"), piece), F.col("_part"))
+        made += [F.col(n) for c in texts for n in stats.names(c)]
+    width = len(made)
+    tables = tables.select(
+        F.col("_part").alias("part"), F.col("_held").alias("held"), F.col("_y").alias("y"),
+        F.col("_hash").alias("key"), *[x.alias(f"x{j}") for j, x in enumerate(made)])
+    table, path = stored(tables, "model-rows")
+    grown = boosted(table, width, problem_type, outputs, params)
+    discard(table.sparkSession, path)
+    return {p: FittedModel(grown[p], numbers, stats and stats.only(p), problem_type) for p in parts}
+
+
+def fit_model(df: DataFrame, features: list[str], label: str, problem_type: str,
+              params: ModelParams = ModelParams(), holdout: DataFrame | None = None,
+              n_classes: int | None = None, key: str | None = None) -> FittedModel:
+    """One model; with a ``holdout``, its rounds up to the one of least loss there."""
+    return fit_models({0: (df, holdout)}, features, label, problem_type, params, n_classes, key)[0]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from foldmark.constants import CV_FOLDS, HOLDOUT_SHARE, SEED
@@ -14,14 +13,14 @@ from foldmark.functions.labels import label_index
 from foldmark.operators import folds as fold_ops
 from foldmark.operators.slots import Slots
 from foldmark.operators.evaluate import importance_mean, score_summary
-from foldmark.operators.framing import ProblemSpec, check_features
+from foldmark.operators.framing import ProblemSpec, check_schemas
 from foldmark.operators.metrics import Metric, score_folds
-from foldmark.operators.model import ModelParams, fit_model
+from foldmark.operators.model import ModelParams, fit_model, fit_models
 from foldmark.operators.submission import submission
 from foldmark.plans.contract import (
     FOLD, KEY, LABEL, NONE, OWN_FOLD, Solution, feature_names, features_only, keeps_slots,
 )
-from foldmark.session import materialize
+from foldmark.session import discard, materialize, stored
 
 
 @dataclass(frozen=True)
@@ -53,11 +52,19 @@ def with_folds(spec: ProblemSpec, folds: int = CV_FOLDS, seed: int = SEED,
     if key is None:
         raise ValueError("a key column is needed to assign folds")
     rows = with_label(spec.train, spec).withColumn(KEY, F.col(key)).drop(spec.target)
+    guard_key(rows)
     if spec.problem_type == "regression":
         return fold_ops.kfold(rows, KEY, folds, seed, FOLD)
     return fold_ops.stratified_kfold(rows, KEY, LABEL, folds, seed, FOLD)
 
 
+def guard_key(rows: DataFrame) -> None:
+    """Labels are joined back by the key, so every row needs one of its own."""
+    bad = rows.groupBy(KEY).count().filter((F.col("count") > 1) | F.col(KEY).isNull())
+    if bad.limit(1).count():
+        raise ValueError("the key has nulls or repeats")
+
+
 def labelled_features(solution: Solution, rows: DataFrame, holdout: int | None) -> DataFrame:
     """Features of rows, made without their label, which is joined by key."""
     made = solution.transform(rows.drop(LABEL), holdout).drop(LABEL)
@@ -87,46 +94,63 @@ def cv_features(solution: Solution, spec: ProblemSpec, folds: int = CV_FOLDS,
         for k, holdout in fold_views(solution, rows, spec, folds)])
 
 
+def guard_values(parts: DataFrame, names: list[str]) -> None:
+    """No part may have a feature without any value: one pass for all parts."""
+    found = parts.groupBy("_part").agg(
+        *[F.count(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(names)]).collect()
+    bad = sorted({c for r in found for i, c in enumerate(names) if r[f"_{i}"] == 0})
+    if bad:
+        raise ValueError(f"feature columns without any value: {bad}")
+
+
 def cross_validate(solution: Solution, spec: ProblemSpec, metric: Metric,
                    folds: int = CV_FOLDS, seed: int = SEED,
                    params: ModelParams = ModelParams(),
                    key: str | None = None) -> EvalResult:
-    """One model per fold.
+    """One model per fold, all boosted in step.
 
     The model of fold k is trained on the other rows, with statistics that
     leave fold k out, and predicts fold k with the same statistics.  Training
     and held-out rows are transformed apart, so the guards compare two frames.
-    One fold's feature table is kept at a time.  Errors come back as a failed
-    result.
+    The features of all folds' training rows are written once.  Where rounds
+    may end early, a tenth of a fold's training rows decides; the held-out fold
+    never does.  Errors come back as a failed result.
     """
     try:
         rows = materialize(with_folds(spec, folds, seed, key))
-        parts, importances, width = [], [], 0
+        parts, held, names = None, {}, {}
         for k, holdout in fold_views(solution, rows, spec, folds):
-            train, held = (
-                labelled_features(solution, rows.filter(part), holdout)
-                .persist(StorageLevel.MEMORY_AND_DISK)
-                for part in (F.col(FOLD) != k, F.col(FOLD) == k))
-            check_features(features_only(train), features_only(held), spec.target, spec.id)
-            names = feature_names(train)
-            width = width or len(names)
-            model = fit_model(train, names, LABEL, spec.problem_type, params)
-            scored = model.predict(held).withColumn(
-                "pred", solution.postprocess(F.col("pred"), holdout))
-            parts.append(materialize(scored.select(KEY, FOLD, LABEL, "pred")))
-            train.unpersist()
-            held.unpersist()
-            importances.append(model.importance(rows.sparkSession)
-                               .withColumn("fold", F.lit(k)))
-        oof = reduce(DataFrame.unionByName, parts)
+            train, out = (labelled_features(solution, rows.filter(part), holdout)
+                          for part in (F.col(FOLD) != k, F.col(FOLD) == k))
+            check_schemas(features_only(train), features_only(out), spec.target, spec.id)
+            names[k] = feature_names(train)
+            if names[k] != names[0]:
+                raise ValueError("features differ between folds")
+            held[k] = out, solution.postprocess(F.col("pred"), holdout)
+            train = train.withColumn("_part", F.lit(k))
+            parts = train if parts is None else parts.unionByName(train)
+        table, path = stored(parts, "fold-features")
+        guard_values(table, names[0])
+        stops = params.patience < params.rounds
+        marked = holdout_split(table, KEY) if stops else table.withColumn("is_holdout", F.lit(False))
+        sides = {k: (marked.filter((F.col("_part") == k) & ~F.col("is_holdout")),
+                     marked.filter((F.col("_part") == k) & F.col("is_holdout")) if stops else None)
+                 for k in held}
+        models = fit_models(sides, names[0], LABEL, spec.problem_type, params, spec.n_classes, KEY)
+        scored = [models[k].predict(out).withColumn("pred", post).select(KEY, FOLD, LABEL, "pred")
+                  for k, (out, post) in held.items()]
+        oof = materialize(reduce(DataFrame.unionByName, scored))
+        discard(rows.sparkSession, path)
         scores = score_folds(oof, metric, FOLD, LABEL, "pred", spec.n_classes) \
             .withColumnRenamed(FOLD, "fold")
         summary = score_summary(scores)
         if summary.first()["score"] is None:
             raise ValueError("a fold has no score")
+        importances = [m.importance(rows.sparkSession).withColumn("fold", F.lit(k))
+                       for k, m in models.items()]
         return EvalResult(True, summary, oof,
                           importance_mean(reduce(DataFrame.unionByName, importances), None),
-                          width)
+                          len(names[0]))
     except Exception as error:      # a failing solution is a result, not a crash
         return EvalResult(False, error=f"{type(error).__name__}: {error}")
 
@@ -154,13 +178,14 @@ def refit_predict(solution: Solution, spec: ProblemSpec,
     # the label is joined by key, so rows without an id get numbers of their own
     train = materialize(train.withColumn(
         KEY, F.col(spec.id) if spec.id else F.monotonically_increasing_id()))
+    guard_key(train)
     test = _keyed(spec.test, spec.id)
     solution.fit(train, spec, Slots())
     table = materialize(holdout_split(labelled_features(solution, train, NONE), KEY))
     names = [c for c in feature_names(table) if c != "is_holdout"]
     kept = table.filter(~F.col("is_holdout")) if early_stop else table
     model = fit_model(kept, names, LABEL, spec.problem_type, params,
-                      table.filter("is_holdout") if early_stop else None)
+                      table.filter("is_holdout") if early_stop else None, spec.n_classes, KEY)
     scored = model.predict(solution.transform(test, NONE))
     pred = solution.postprocess(F.col("pred"), NONE).alias("pred")
     if spec.id is None:

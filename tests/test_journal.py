@@ -42,8 +42,8 @@ def test_noise_is_dropped(spark, place):
 def test_append_keeps_runs_apart(spark, place):
     rows = spark.createDataFrame([("r1", "START"), ("r2", "DONE")], "run string, event string")
     path = f"{place}/runs"
-    append_journal(rows, path)
-    append_journal(rows, path)
+    append_journal(rows, path, by_run=True)
+    append_journal(rows, path, by_run=True)
     assert read_journal(spark, path).count() == 4
     assert read_journal(spark, f"{path}/run=r1").count() == 2
 
