@@ -26,17 +26,29 @@ def s_journal_counts(spark, folder):
                        .alias("window_start"), "n")
 
 
+# The watermark stays this far behind the latest event; later rows are still open.
+_DELAY = "INTERVAL 1 HOUR"
+
+
+_VALID = "(event = 'RESULT' OR event = 'BASELINE') AND ok"
+
+
 @query("s_incumbent", _REPLAY.replace("true AS accepted", "round(score, 6) AS score")
        .replace("SELECT run, iter, i, bar FROM", "SELECT run, iter, i, bar, score FROM")
-       .replace("v.i, v.bar, row", "v.i, v.bar, v.score, row"))
+       .replace("v.i, v.bar, row", "v.i, v.bar, v.score, row")
+       .replace(f"{_VALID})", f"""{_VALID} AND CAST(t AS TIMESTAMP) <
+    (SELECT max(CAST(t AS TIMESTAMP)) FROM journal WHERE {_VALID}) - {_DELAY})"""))
 def s_incumbent(spark, folder):
+    """Every result that became the incumbent, up to the watermark."""
     stream = stream_incumbent(fx.journal_of(source_table(spark, folder, "events")))
     return rounded(drain(stream, "incumbent"))
 
 
 @query("s_since_last", f"""WITH {HISTORY} SELECT CAST(user_id AS VARCHAR) AS entity, event_id AS key,
-  CAST(cum AS BIGINT) AS cum_count, since AS since_last FROM h""")
+  CAST(cum AS BIGINT) AS cum_count, since AS since_last FROM h
+WHERE ts < (SELECT max(ts) FROM events) - {_DELAY}""")
 def s_since_last(spark, folder):
-    events = source_table(spark, folder, "events").withColumn(
-        "hit", (F.col("event_type") == "purchase").cast("int"))
-    return drain(stream_history(events, "user_id", "ts", "event_id", "hit"), "history")
+    """Running history of every event that the watermark has passed."""
+    hit = (F.col("event_type") == "purchase").cast("int")
+    return drain(stream_history(source_table(spark, folder, "events"), "user_id", "ts", "event_id", hit),
+                 "history")

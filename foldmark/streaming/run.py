@@ -15,15 +15,29 @@ def source_table(spark: SparkSession, folder: str, name: str,
             .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process all available input into a parquet table and read it back.
+def drain_counted(stream: DataFrame, name: str, mode: str = "append") -> tuple[DataFrame, int]:
+    """Process all available input into a parquet table and read it back; and
+    how many rows came behind the watermark and were dropped.
 
     Progress and state are kept in the shared folder, so a restart resumes.
+    The counts come from the query's progress, which is kept for every batch.
     """
     spark = stream.sparkSession
     base = scratch_path(spark, name)
-    query = (stream.writeStream.outputMode(mode).format("parquet")
-             .option("path", f"{base}/data").option("checkpointLocation", f"{base}/progress")
-             .trigger(availableNow=True).start())
+    kept = "spark.sql.streaming.numRecentProgressUpdates"
+    before = spark.conf.get(kept)
+    spark.conf.set(kept, 1_000_000)
+    try:
+        query = (stream.writeStream.outputMode(mode).format("parquet")
+                 .option("path", f"{base}/data").option("checkpointLocation", f"{base}/progress")
+                 .trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(kept, before)
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/data")
+    late = sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+    return spark.read.schema(stream.schema).parquet(f"{base}/data"), late
+
+
+def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """The table that :func:`drain_counted` leaves."""
+    return drain_counted(stream, name, mode)[0]

@@ -1,73 +1,143 @@
-"""Per-run and per-entity state: the incumbent, and the running history.
+"""Per-run and per-entity state in event time: the incumbent, the running history.
 
-A micro-batch is ordered inside each group before it is applied, so the rows
-of one batch may come in any order; batches must follow each other in time.
-A group's rows within one batch are bounded by the trigger's input limit.
+Rows may come in any order within ``delay``.  They are kept in a group's state
+until the watermark, the latest time seen less the delay, has passed them; only
+then are they applied, in order of time and key, so the result does not depend
+on how rows were dealt to files and batches.  A timer at the earliest row kept
+brings a group back when nothing new comes for it.  Rows that arrive behind the
+watermark are dropped by the engine, which counts them (``drain_counted``).
+
+With ``expire``, a group that has been silent for that long in event time is
+forgotten, and starts anew should it return.  A group's state holds its memory
+and the rows of one delay.
+
+Rows without a time or a group cannot be placed and are left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from foldmark.constants import JOURNAL_TIME_FORMAT, MIN_IMPROVEMENT_SIGMAS, SIGMA_FLOOR
 
+# From the group, its memory (None at first) and its next rows in order, to the
+# new memory and the rows to emit.
+Step = Callable[[str, float | None, float | None, pd.DataFrame], tuple[float, float, pd.DataFrame]]
+
+
+def packed(rows: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_all().to_pandas()
+
+
+def milliseconds(text: str) -> int:
+    return int(pd.Timedelta(text).total_seconds() * 1000)
+
+
+def in_event_time(rows: DataFrame, step: Step, schema: str, delay: str,
+                  expire: str | None = None) -> DataFrame:
+    """Apply ``step`` to each group's rows in order of ``at`` and ``key``.
+
+    ``rows`` has ``entity``, ``at`` (a timestamp), ``key`` and what the step
+    needs.  The memory is a pair of numbers.
+    """
+    kept = None if expire is None else milliseconds(expire)
+
+    def apply(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        buffer, a, b, latest = state.get if state.exists else (None, None, None, None)
+        held = [] if buffer is None else [unpacked(buffer)]
+        if not state.hasTimedOut:
+            held += [d for d in batches if len(d)]
+        mark = state.getCurrentWatermarkMs()
+        rows = pd.concat(held, ignore_index=True) if held else None
+        out = None
+        rest = None
+        if rows is not None and len(rows):
+            due = rows["us"] < mark * 1000
+            ready, rest = rows[due], rows[~due]
+            if len(ready):
+                ready = ready.sort_values(["us", "key"], kind="stable").reset_index(drop=True)
+                a, b, out = step(key[0], a, b, ready)
+                latest = int(ready["us"].iloc[-1])
+        if rest is not None and len(rest):
+            state.update((packed(rest), a, b, latest))
+            state.setTimeoutTimestamp(max(int(-(-rest["us"].min() // 1000)), mark + 1))
+        elif kept is not None and latest is not None and latest // 1000 + kept < mark:
+            if state.exists:
+                state.remove()
+        elif a is not None or b is not None:
+            state.update((None, a, b, latest))
+            if kept is not None:
+                state.setTimeoutTimestamp(max(latest // 1000 + kept, mark + 1))
+        if out is not None and len(out):
+            yield out
+
+    timed = (rows.filter(F.col("at").isNotNull() & F.col("entity").isNotNull())
+             .withWatermark("at", delay).withColumn("us", F.unix_micros("at")))
+    return timed.groupBy("entity").applyInPandasWithState(
+        apply, schema, "buffer binary, a double, b double, latest bigint", "append",
+        GroupStateTimeout.EventTimeTimeout)
+
 
 def stream_incumbent(journal: DataFrame, greater_is_better: bool = True,
-                     sigmas: float = MIN_IMPROVEMENT_SIGMAS) -> DataFrame:
+                     sigmas: float = MIN_IMPROVEMENT_SIGMAS, delay: str = "1 hour",
+                     expire: str | None = None) -> DataFrame:
     """Emit a row for every result that becomes the incumbent of its run."""
     sign = 1.0 if greater_is_better else -1.0
     valid = (journal.filter(F.col("event").isin("BASELINE", "RESULT"))
              .filter(F.coalesce(F.col("ok"), F.lit(False)) & F.col("score").isNotNull())
-             .select("run", F.coalesce("iter", F.lit(-1)).alias("iter"),
+             .select(F.col("run").alias("entity"),
+                     F.coalesce("iter", F.lit(-1)).cast("bigint").alias("key"),
                      F.to_timestamp("t", JOURNAL_TIME_FORMAT).alias("at"),
                      (F.col("score") * sign).alias("value"), "std",
                      (F.col("event") == "BASELINE").alias("is_baseline")))
 
-    def apply(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        bar = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["at", "iter"])
+    def step(run, bar, _, rows):
         taken = []
         for r in rows.itertuples():
             if bar is None or r.value > bar:
                 noise = 0.0 if pd.isna(r.std) else r.std
                 bar = r.value + sigmas * max(noise, SIGMA_FLOOR)
                 if not r.is_baseline:
-                    taken.append((key[0], r.iter, sign * r.value))
-        if bar is not None:
-            state.update((bar,))
-        if taken:
-            yield pd.DataFrame(taken, columns=["run", "iter", "score"])
+                    taken.append((run, r.key, sign * r.value))
+        out = pd.DataFrame(taken, columns=["run", "iter", "score"])
+        return bar, None, out.astype({"iter": "int32"})
 
-    return valid.groupBy("run").applyInPandasWithState(
-        apply, "run string, iter int, score double", "bar double", "append",
-        GroupStateTimeout.NoTimeout)
+    return in_event_time(valid, step, "run string, iter int, score double", delay, expire)
 
 
-def stream_history(events: DataFrame, entity: str, order: str, key: str,
-                   flag: str) -> DataFrame:
+def stream_history(events: DataFrame, entity: str, order: str, key: str, flag: str | Column,
+                   delay: str = "1 hour", expire: str | None = None) -> DataFrame:
     """Running count of flagged rows and rows since the last, per entity."""
+    hit = F.col(flag) if isinstance(flag, str) else flag
     rows = events.select(F.col(entity).cast("string").alias("entity"),
                          F.col(order).cast("timestamp").alias("at"),
                          F.col(key).cast("bigint").alias("key"),
-                         F.coalesce(F.col(flag).cast("int"), F.lit(0)).alias("flag"))
+                         F.coalesce(hit.cast("int"), F.lit(0)).alias("flag"))
 
-    def apply(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def step(name, count, since, rows):
         # flags so far, and rows since the last flag (-1 before the first row)
-        count, since = state.get if state.exists else (0, -1)
-        rows = pd.concat(list(batches)).sort_values(["at", "key"])
+        count, since = (0, -1) if count is None else (count, since)
         hit = rows["flag"].to_numpy() == 1
-        cum = hit.cumsum() + count
+        cum = hit.cumsum() + int(count)
         place = pd.Series(range(len(rows)))
         last = place.where(hit).ffill()
-        gap = (place - last).where(last.notna(), place + since + 1).astype("int64")
-        state.update((int(cum[-1]), int(gap.iloc[-1])))
-        yield pd.DataFrame({"entity": group[0], "key": rows["key"].to_numpy(),
+        gap = (place - last).where(last.notna(), place + int(since) + 1).astype("int64")
+        out = pd.DataFrame({"entity": name, "key": rows["key"].to_numpy(),
                             "cum_count": cum.astype("int64"), "since_last": gap.to_numpy()})
+        return float(cum[-1]), float(gap.iloc[-1]), out
 
-    return rows.groupBy("entity").applyInPandasWithState(
-        apply, "entity string, key bigint, cum_count bigint, since_last bigint",
-        "n bigint, since bigint", "append", GroupStateTimeout.NoTimeout)
+    return in_event_time(rows, step, "entity string, key bigint, cum_count bigint, since_last bigint",
+                         delay, expire)
