@@ -8,6 +8,8 @@ from foldmark.operators import eda
 from foldmark.operators import information as info
 from foldmark.plans import fixtures as fx
 from foldmark.plans.catalog.base import query, rounded, union_sql
+from foldmark.operators.neighbours import neighbour_information
+from foldmark.operators.ranks import spearman_top
 from foldmark.sources.tables import read_table
 
 LINE_NUMBERS = ["quantity", "price", "discount", "tax", "line"]
@@ -184,6 +186,33 @@ def mi_regression_discrete(spark, folder):
     return rounded(info.mutual_information(table, columns, "price").drop("n"))
 
 
+# psi of an integer, and the nearest-neighbour estimate from the definition
+_PSI = "(-0.5772156649015329 + coalesce(list_sum(list_transform(range(1, {n}), lambda i: 1.0 / i)), 0))"
+
+
+def neighbours_sql(x: str, y: str, table: str, k: int = 3) -> str:
+    near = ", ".join(f"x - lag(x, {i}) OVER w, lead(x, {i}) OVER w - x" for i in range(1, k + 1))
+    return f"""SELECT '{x}' AS "column", count(*) AS n, round(greatest({_PSI.format(n='count(*)')} + avg(
+      {_PSI.format(n='k')} - {_PSI.format(n='n')} - {_PSI.format(n='m')}), 0), 6) AS mutual_info FROM (
+    SELECT a.row, any_value(a.k) AS k, any_value(a.n) AS n, count(*) AS m
+    FROM (SELECT *, list_sort(list_filter(gaps, lambda g: g IS NOT NULL))[k] AS r FROM (
+      SELECT {x} AS x, {y} AS y, row_number() OVER () AS row, count(*) OVER (PARTITION BY {y}) AS n,
+        least({k}, count(*) OVER (PARTITION BY {y}) - 1) AS k,
+        [{near.replace('lag(x', f'lag({x}').replace('lead(x', f'lead({x}').replace('x -', f'{x} -').replace('- x', f'- {x}')}] AS gaps
+      FROM {table} WHERE {x} IS NOT NULL WINDOW w AS (PARTITION BY {y} ORDER BY {x})) WHERE n > 1) a
+    JOIN (SELECT {x} AS z FROM {table} WHERE {x} IS NOT NULL AND {y} IN (
+      SELECT {y} FROM {table} WHERE {x} IS NOT NULL GROUP BY 1 HAVING count(*) > 1)) b
+      ON abs(z - a.x) < a.r OR z = a.x GROUP BY a.row)"""
+
+
+@query("mi_neighbours", union_sql([neighbours_sql("c_acctbal", "c_mktsegment", "customer"),
+                                   neighbours_sql("c_custkey", "c_mktsegment", "customer")]))
+def mi_neighbours(spark, folder):
+    """Nearest-neighbour information of continuous columns with a class."""
+    return rounded(neighbour_information(read_table(spark, folder, "customer"),
+                                         ["c_acctbal", "c_custkey"], "c_mktsegment"))
+
+
 _RELATION = ["quantity", "price", "discount", "tax", "line", "status"]
 _RELATION_SQL = f"{_FILLED}, {mi_sql({c: c for c in _RELATION}, 'flag', 'binned')}"
 
@@ -245,6 +274,22 @@ def corr_top(spark, folder):
     return rounded(eda.correlation_top(fx.lines(spark, folder), "price", 3))
 
 
+def _spearman_sql(columns: list[str], y: str, table: str) -> str:
+    average = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
+    return union_sql([
+        f"""SELECT '{c}' AS "column", abs(corr(a, b)) AS abs_corr FROM (
+        SELECT {average.format(c=c)} AS a, {average.format(c=y)} AS b FROM {table}
+        WHERE {c} IS NOT NULL AND {y} IS NOT NULL)""" for c in columns])
+
+
+@query("corr_spearman", f"""WITH {fx.LINES} SELECT "column", round(abs_corr, 6) AS abs_corr FROM ({_spearman_sql(
+    ['l_orderkey', 'quantity', 'discount', 'tax', 'line'], 'price', 'lines')})
+ORDER BY round(abs_corr, 9) DESC LIMIT 4""")
+def corr_spearman(spark, folder):
+    """Correlations of average ranks, with ties and nulls."""
+    return rounded(spearman_top(fx.lines(spark, folder).drop("fold"), "price", 4))
+
+
 @query("leak_corr", f"""WITH {_LEAKY} SELECT "column", round(abs_corr, 6) AS abs_corr FROM ({_PART_CORR})
 WHERE abs_corr > 0.98 AND (SELECT count(DISTINCT p_retailprice) FROM part) > 2""")
 def leak_corr(spark, folder):

@@ -8,6 +8,7 @@ from foldmark.operators import folds, metrics
 from foldmark.operators.encode import fit_levels
 from foldmark.operators.slots import Slots
 from foldmark.operators.evaluate import improves, residual_segments, score_summary
+from foldmark.operators.ranks import percent_ranks
 from foldmark.plans import fixtures as fx
 from foldmark.plans.catalog.base import query, rounded
 from foldmark.sources.tables import read_table
@@ -191,3 +192,13 @@ def flagship(spark, folder):
     scored = encoder.transform(rows, "order_id", -1, target="_te")
     scores = metrics.auc(scored, "fold", "y", "segment_te")
     return rounded(score_summary(scores).drop("fold_scores"))
+
+
+@query("rank_transform", f"""WITH {fx.SCORED}
+SELECT l_orderkey, fold, round(p, 6) AS p, round(percent_rank() OVER (PARTITION BY fold ORDER BY p), 6) AS by_fold,
+  round(percent_rank() OVER (ORDER BY p), 6) AS overall FROM scored""")
+def rank_transform(spark, folder):
+    """Predictions as shares of smaller ones, in each fold and over all rows."""
+    rows = fx.scored(spark, folder).select("l_orderkey", "fold", "p")
+    ranked = percent_ranks(rows, "p", "by_fold", ["fold"])
+    return rounded(percent_ranks(ranked, "p", "overall"))
