@@ -88,11 +88,26 @@ def numeric_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def top_values(df: DataFrame, columns: list[str] | None = None,
                top: int = TOP_VALUES) -> DataFrame:
-    """Most frequent values of text and bool columns, ties by value."""
+    """Most frequent values of text and bool columns.
+
+    Ties go by value, those of long texts by length and digest: texts are
+    counted by digest, and only the few that come out on top are fetched.
+    """
     cols = columns or [c for c, k in kinds(df).items() if k in ("categorical", "bool")]
     order = W.partitionBy("column").orderBy(F.desc("n"), "value")
-    return (value_counts(df, cols).withColumn("place", F.row_number().over(order))
-            .filter(F.col("place") <= top).select("column", "value", "n", "place"))
+    best = (value_counts(df, cols, compact=True).withColumn("place", F.row_number().over(order))
+            .filter(F.col("place") <= top))
+    texts = [c for c in cols if isinstance(df.schema[c].dataType, T.StringType)]
+    if not texts:
+        return best.select("column", "value", "n", "place")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), _compact(df, c).alias("value"),
+                               F.col(f"`{c}`").alias("whole")) for c in texts])
+    long = df.select(F.explode(cells).alias("c")).select("c.*").filter(F.length("whole") > 64)
+    # at most ``top`` rows per column are broadcast
+    whole = (long.join(F.broadcast(best.select("column", "value")), ["column", "value"])
+             .groupBy("column", "value").agg(F.min("whole").alias("whole")))
+    return best.join(F.broadcast(whole), ["column", "value"], "left").select(
+        "column", F.coalesce("whole", "value").alias("value"), "n", "place")
 
 
 def high_cardinality(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -145,10 +160,10 @@ def profile(df: DataFrame, target: str | None = None) -> DataFrame:
     rows = df.agg(F.count(F.lit(1)))
     for cols in filter(None, (others, texts)):
         unique = F.col("n_unique").cast("string")
-        parts.append(distinct_counts(df, cols, compact=cols is others).select(
+        parts.append(distinct_counts(df, cols).select(
             "column", F.lit("n_unique").alias("stat"), unique.alias("value")))
     if texts:
-        parts.append(distinct_counts(df, texts, compact=False).select(
+        parts.append(distinct_counts(df, texts).select(
             "column", F.lit("high_cardinality").alias("stat"),
             (F.col("n_unique") > rows.scalar() * 0.5).cast("string").alias("value")))
         parts.append(top_values(df, texts).select(

@@ -64,12 +64,15 @@ def discrete(df: DataFrame, columns: list[str], bins: int = BINS,
              also: list[str] = ()) -> DataFrame:
     """Columns as levels, beside untouched others.
 
-    Floats, and any further column named in ``also``, are cut into
-    equal-frequency bins after filling nulls with the median; other columns
-    stay as they are and dates are left out.
+    Floats, dates and times, and any further column named in ``also``, are cut
+    into equal-frequency bins after filling nulls with the median; other
+    columns stay as they are.
     """
     kind = kinds(df)
-    floats = [c for c in [*columns, *also] if kind[c] == "float" or c in also]
+    dates = [c for c in [*columns, *also] if kind[c] == "datetime"]
+    if dates:
+        df = df.withColumns({c: F.unix_micros(F.col(c).cast("timestamp")).cast("double") for c in dates})
+    floats = [c for c in [*columns, *also] if kind[c] in ("float", "datetime") or c in also]
     gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"{i}")
                     for i, c in enumerate(floats)]).first() if floats else []
     holed = {c: F.col(c) for c, n in zip(floats, gaps) if n}
@@ -77,8 +80,7 @@ def discrete(df: DataFrame, columns: list[str], bins: int = BINS,
     filled = df.withColumns({c: F.coalesce(x.cast("double"), F.lit(medians[c][0]))
                              for c, x in holed.items()}) if holed else df
     cuts = cut_points(filled, {c: F.col(c) for c in floats}, bins)
-    out = with_bins(filled, {c: (F.col(c), cuts[c]) for c in floats})
-    return out.drop(*[c for c in columns if kind[c] == "datetime"])
+    return with_bins(filled, {c: (F.col(c), cuts[c]) for c in floats})
 
 
 def target_relation(df: DataFrame, target: str, top: int = RELATION_TOP,

@@ -2,12 +2,14 @@
 
 For a row of a class with n rows, k is the lesser of ``neighbours`` and n - 1
 and r the distance to the k-th nearest row of the class; m counts the rows of
-any class nearer than r, the row itself among them (where r is 0, the equal
-ones).  Over the rows of classes with two rows or more, N of them,
+any class nearer than r, the row itself among them.  Where r is 0, m counts the
+equal rows and k those of them in the class, so that columns with repeated
+values are measured by their levels.  Over the rows of classes with two rows or
+more, N of them,
 
     I = psi(N) + mean psi(k) - mean psi(n) - mean psi(m)
 
-and at least 0.  Values are not jittered, so equal values are at distance 0.
+and at least 0.  Values are not jittered.
 
 Neighbours are sought inside ranges of (column, class, value); the last and
 first k rows of the ranges around travel along, so borders change nothing.
@@ -25,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from foldmark.operators.ranks import in_ranges
+from foldmark.operators.ranks import in_ranges, with_counts
 from foldmark.session import stored
 
 NEIGHBOURS = 3
@@ -42,27 +44,34 @@ def psi(n: Column) -> Column:
                                           F.least(n, F.lit(EXACT - 1)).cast("int"))).otherwise(series)
 
 
+def _flipped(bits: np.ndarray) -> np.ndarray:
+    """Bits of doubles as integers in the same order, and back."""
+    return bits ^ ((bits >> 63) & np.int64(2 ** 63 - 1))
+
+
 def interval(x: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The least value above x, and the greatest below, at r or more from it.
 
-    Found on the differences as computed, so that rounding cannot move a row
-    from one side to the other; next to x itself where r is 0.
+    Bisected over all doubles by the differences as computed, so that rounding
+    cannot move a row from one side to the other; next to x itself where r is 0.
     """
     out = []
     for sign in (1.0, -1.0):
-        t = x + sign * r
-        away, back = sign * np.inf, -sign * np.inf
-        for _ in range(4):
-            near = np.nextafter(t, back)
-            t = np.where(np.abs(near - x) >= r, near, t)
-        for _ in range(4):
-            t = np.where(np.abs(t - x) < r, np.nextafter(t, away), t)
-        out.append(np.where(r == 0, np.nextafter(x, away), t))
+        u = sign * x                            # the lower end is the upper one mirrored
+        low = _flipped(u.view(np.int64).copy())
+        high = _flipped((u + 2 * r).view(np.int64).copy())
+        for _ in range(64):
+            middle = (low >> 1) + (high >> 1) + (low & high & 1)
+            far = _flipped(middle).view(np.float64) - u >= r
+            high = np.where(far, middle, high)
+            low = np.where(far, low, middle)
+        t = _flipped(high).view(np.float64)
+        out.append(sign * np.where(r == 0, np.nextafter(u, np.inf), t))
     return out[0], out[1]
 
 
 def radii(rows: DataFrame, k: int) -> DataFrame:
-    """(column, y, x, k, n, r) over (column, y, x)."""
+    """(column, y, x, k, n, r) over (column, y, x, ties): the equal rows of the class."""
     sizes = rows.groupBy("column", "y").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     sizes, _ = stored(sizes, "class-sizes")
     place = W.partitionBy("_piece", "column", "y")
@@ -83,7 +92,8 @@ def radii(rows: DataFrame, k: int) -> DataFrame:
             order.rowsBetween(1, k)))), 1, k)})
     ghosts = around.select("column", "y", "_piece", F.explode(F.concat("before", "after")).alias("x"),
                            F.lit(True).alias("ghost"))
-    whole = cut.select("column", "y", "_piece", "x", F.lit(False).alias("ghost")).unionByName(ghosts)
+    ghosts = ghosts.withColumn("ties", F.lit(0).cast("bigint"))
+    whole = cut.select("column", "y", "_piece", "x", F.lit(False).alias("ghost"), "ties").unionByName(ghosts)
     near = W.partitionBy("_piece", "column", "y").orderBy("x")
     x = F.col("x")
     gaps = F.array(*[g for i in range(1, k + 1)
@@ -91,7 +101,9 @@ def radii(rows: DataFrame, k: int) -> DataFrame:
     wanted = F.least(F.lit(k), F.col("n") - 1).cast("int")
     return (whole.withColumn("_gaps", F.sort_array(F.array_compact(gaps))).filter(~F.col("ghost"))
             .join(sizes, ["column", "y"]).withColumn("k", wanted)
-            .select("column", "y", "x", "k", "n", F.element_at("_gaps", F.col("k")).alias("r")))
+            .withColumn("r", F.element_at("_gaps", F.col("k")))
+            .withColumn("k", F.when(F.col("r") == 0, F.col("ties")).otherwise(F.col("k")))
+            .select("column", "y", "x", "k", "n", "r"))
 
 
 def counted_within(rows: DataFrame) -> DataFrame:
@@ -135,6 +147,7 @@ def neighbour_information(df: DataFrame, features: list[str], y: str,
                       for c in features])
     rows = (df.select(level.alias("y"), F.explode(cells).alias("c")).select("c.column", "y", "c.x")
             .filter("x IS NOT NULL AND NOT isnan(x)"))
+    rows = with_counts(rows, "x", ["column", "y"]).drop("less")
     found, _ = stored(radii(rows, neighbours).withColumn("row", F.monotonically_increasing_id()),
                       "neighbour-radii")
     within = counted_within(found.select("column", "row", "x", "r"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from foldmark.operators import eda
 from foldmark.operators import information as info
@@ -14,7 +16,7 @@ from foldmark.sources.tables import read_table
 
 LINE_NUMBERS = ["quantity", "price", "discount", "tax", "line"]
 LINE_COLUMNS = [*LINE_NUMBERS, "flag", "status"]
-DOC_COLUMNS = ["doc_id", "lang", "source", "n_chars", "quality", "toxic"]
+DOC_COLUMNS = ["doc_id", "lang", "source", "n_chars", "quality", "toxic", "text"]
 
 
 def per_column(columns, body: str, table: str) -> str:
@@ -23,7 +25,7 @@ def per_column(columns, body: str, table: str) -> str:
                       for c in columns])
 
 
-@query("profile_shape", f"WITH {fx.DOCS} SELECT count(*) AS n_rows, 6 AS n_cols FROM docs")
+@query("profile_shape", f"WITH {fx.DOCS} SELECT count(*) AS n_rows, 7 AS n_cols FROM docs")
 def profile_shape(spark, folder):
     return eda.shape(fx.docs(spark, folder))
 
@@ -55,11 +57,14 @@ def profile_numeric(spark, folder):
 
 
 def _top_sql(columns, table, top=5) -> str:
-    parts = per_column(columns, "CAST({c} AS VARCHAR) AS value, count(*) AS n", table)
+    """Ties go by value, those of long texts by length and digest."""
+    parts = per_column(columns, "any_value(CAST({c} AS VARCHAR)) AS whole, count(*) AS n, "
+                       "CASE WHEN length(CAST({c} AS VARCHAR)) > 64 THEN length(CAST({c} AS VARCHAR)) || '#' "
+                       "|| sha256(CAST({c} AS VARCHAR)) ELSE CAST({c} AS VARCHAR) END AS value", table)
     parts = "\nUNION ALL ".join(
         f"{p} WHERE {c} IS NOT NULL GROUP BY ALL"
         for p, c in zip(parts.split("\nUNION ALL "), columns))
-    return f"""SELECT "column", value, n, CAST(place AS INTEGER) AS place FROM (
+    return f"""SELECT "column", whole AS value, n, CAST(place AS INTEGER) AS place FROM (
       SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS place
       FROM ({parts})) WHERE place <= {top}"""
 
@@ -96,19 +101,20 @@ def profile_target(spark, folder):
 @query("profile", f"""WITH {fx.DOCS},
 m AS ({_MISSING}), u AS ({_UNIQUE}), nums AS ({per_column(
     ["doc_id", "n_chars", "quality", "toxic"], _NUMERIC, "docs")}),
-tops AS ({_top_sql(["lang", "source"], "docs")}),
+tops AS ({_top_sql(["lang", "source", "text"], "docs")}),
 kinds("column", kind) AS (VALUES ('doc_id', 'integer'), ('lang', 'categorical'),
   ('source', 'categorical'), ('n_chars', 'integer'), ('quality', 'integer'),
-  ('toxic', 'integer'), ('', 'table')),
+  ('toxic', 'integer'), ('text', 'categorical'), ('', 'table')),
 long AS (
   SELECT '' AS "column", 'n_rows' AS stat, CAST(count(*) AS DOUBLE) AS value FROM docs
-  UNION ALL SELECT '', 'n_cols', 6
+  UNION ALL SELECT '', 'n_cols', 7
   UNION ALL SELECT "column", 'missing_frac', missing_frac FROM m
   UNION ALL SELECT "column", 'n_unique', n_unique FROM u
   UNION ALL SELECT "column", stat, value FROM nums
     UNPIVOT (value FOR stat IN (min, max, mean, std, skew, zeros_frac))
   UNION ALL SELECT "column", 'high_cardinality', CASE WHEN count(DISTINCT v) > 0.5 * count(*) THEN 1 ELSE 0 END
-    FROM (SELECT 'lang' AS "column", lang AS v FROM docs UNION ALL SELECT 'source', source FROM docs)
+    FROM (SELECT 'lang' AS "column", lang AS v FROM docs UNION ALL SELECT 'source', source FROM docs
+      UNION ALL SELECT 'text', text FROM docs)
     GROUP BY "column"
   UNION ALL SELECT "column", 'top:' || value, n FROM tops
   UNION ALL SELECT 'quality', 'target:' || coalesce(CAST(quality AS VARCHAR), 'null'), count(*)
@@ -194,9 +200,10 @@ def neighbours_sql(x: str, y: str, table: str, k: int = 3) -> str:
     near = ", ".join(f"x - lag(x, {i}) OVER w, lead(x, {i}) OVER w - x" for i in range(1, k + 1))
     return f"""SELECT '{x}' AS "column", count(*) AS n, round(greatest({_PSI.format(n='count(*)')} + avg(
       {_PSI.format(n='k')} - {_PSI.format(n='n')} - {_PSI.format(n='m')}), 0), 6) AS mutual_info FROM (
-    SELECT a.row, any_value(a.k) AS k, any_value(a.n) AS n, count(*) AS m
+    SELECT a.row, any_value(CASE WHEN a.r = 0 THEN a.ties ELSE a.k END) AS k, any_value(a.n) AS n, count(*) AS m
     FROM (SELECT *, list_sort(list_filter(gaps, lambda g: g IS NOT NULL))[k] AS r FROM (
       SELECT {x} AS x, {y} AS y, row_number() OVER () AS row, count(*) OVER (PARTITION BY {y}) AS n,
+        count(*) OVER (PARTITION BY {y}, {x}) AS ties,
         least({k}, count(*) OVER (PARTITION BY {y}) - 1) AS k,
         [{near.replace('lag(x', f'lag({x}').replace('lead(x', f'lead({x}').replace('x -', f'{x} -').replace('- x', f'- {x}')}] AS gaps
       FROM {table} WHERE {x} IS NOT NULL WINDOW w AS (PARTITION BY {y} ORDER BY {x})) WHERE n > 1) a
@@ -222,6 +229,21 @@ def target_relation(spark, folder):
     return rounded(info.target_relation(fx.lines(spark, folder), "flag", columns=_RELATION))
 
 
+_DATED = {"o_orderdate": "epoch_us(CAST(o_orderdate AS TIMESTAMP))", "o_totalprice": "o_totalprice"}
+
+
+@query("target_relation_dates", f"""WITH dated AS (SELECT o_orderstatus, o_orderpriority, {', '.join(
+    f'CAST({e} AS DOUBLE) AS {c}' for c, e in _DATED.items())} FROM orders),
+{', '.join(bins_sql(f'c_{c}', c, 'dated') for c in _DATED)},
+binned AS (SELECT o_orderstatus, o_orderpriority, {', '.join(f"{in_bin(c, f'c_{c}')} AS {c}" for c in _DATED)} FROM dated),
+{mi_sql({c: c for c in [*_DATED, 'o_orderpriority']}, 'o_orderstatus', 'binned')}
+SELECT f AS "column", mi AS mutual_info FROM mi""")
+def target_relation_dates(spark, folder):
+    """Dates are measured like numbers."""
+    return rounded(info.target_relation(read_table(spark, folder, "orders"), "o_orderstatus",
+                                        columns=[*_DATED, "o_orderpriority"]))
+
+
 @query("topk_mi", f"""{_RELATION_SQL} SELECT f AS "column", mi AS mutual_info FROM mi
 ORDER BY mi DESC, f LIMIT 3""")
 def topk_mi(spark, folder):
@@ -334,15 +356,19 @@ def leakage_scan(spark, folder):
 # -- digest --------------------------------------------------------------------------
 
 @query("dup_rows", """
-SELECT 'documents' AS tab, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS n_duplicates
-FROM (SELECT count(*) AS n FROM documents GROUP BY text, lang)
-UNION ALL SELECT 'lineitem', CAST(coalesce(sum(n - 1), 0) AS BIGINT)
-FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)""")
+SELECT 'documents' AS tab, CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM documents)) AS BIGINT)
+  AS n_duplicates FROM documents
+UNION ALL SELECT 'lineitem', CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS BIGINT)
+FROM lineitem
+UNION ALL SELECT 'documents without id', CAST(count(*) - (SELECT count(*) FROM (
+  SELECT DISTINCT text, lang, source, n_chars FROM documents)) AS BIGINT) FROM documents""")
 def dup_rows(spark, folder):
-    texts = read_table(spark, folder, "documents").select("text", "lang")
-    keys = read_table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber")
-    return (eda.duplicate_rows(texts).select(F.lit("documents").alias("tab"), "n_duplicates")
-            .unionAll(eda.duplicate_rows(keys).select(F.lit("lineitem"), "n_duplicates")))
+    """Whole rows that repeat; ids are unique, so documents also without theirs."""
+    documents = read_table(spark, folder, "documents")
+    tables = {"documents": documents, "lineitem": read_table(spark, folder, "lineitem"),
+              "documents without id": documents.drop("doc_id")}
+    return reduce(DataFrame.unionAll, [
+        eda.duplicate_rows(t).select(F.lit(name).alias("tab"), "n_duplicates") for name, t in tables.items()])
 
 
 @query("digest_missing", f"""WITH {fx.DOCS}, m AS ({_MISSING})

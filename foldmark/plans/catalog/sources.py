@@ -89,7 +89,8 @@ UNION ALL SELECT 'lang', 'categorical', CAST(count(DISTINCT lang) AS VARCHAR) FR
 UNION ALL SELECT 'source', 'categorical', CAST(count(DISTINCT source) AS VARCHAR) FROM docs
 UNION ALL SELECT 'n_chars', 'integer', CAST(count(DISTINCT n_chars) AS VARCHAR) FROM docs
 UNION ALL SELECT 'quality', 'integer', CAST(count(DISTINCT quality) AS VARCHAR) FROM docs
-UNION ALL SELECT 'toxic', 'integer', CAST(count(DISTINCT toxic) AS VARCHAR) FROM docs""")
+UNION ALL SELECT 'toxic', 'integer', CAST(count(DISTINCT toxic) AS VARCHAR) FROM docs
+UNION ALL SELECT 'text', 'categorical', CAST(count(DISTINCT text) AS VARCHAR) FROM docs""")
 def snk_profile(spark, folder):
     """The written profile, read back: the distinct counts in it."""
     path = tables.write_json(eda.profile(fx.docs(spark, folder)),

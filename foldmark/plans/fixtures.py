@@ -70,7 +70,7 @@ def orders_base(spark: SparkSession, folder: str) -> DataFrame:
 
 DOCS = """docs AS (
   SELECT d.doc_id, d.lang, d.source, d.n_chars,
-         l.quality, l.toxic
+         l.quality, l.toxic, d.text
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
@@ -78,7 +78,7 @@ def docs(spark: SparkSession, folder: str) -> DataFrame:
     documents = read_table(spark, folder, "documents")
     labels = read_table(spark, folder, "labels")
     return documents.join(labels, "doc_id", "left").select(
-        "doc_id", "lang", "source", "n_chars", "quality", "toxic")
+        "doc_id", "lang", "source", "n_chars", "quality", "toxic", "text")
 
 
 # -- line items: numeric columns, and discounts with nulls ------------------------------

@@ -9,15 +9,16 @@ from foldmark.functions.hashing import seeded_md5
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
-    """NaN and NULL mean the same thing: keep only NULL."""
+    """NaN and NULL mean the same thing: keep only NULL; -0.0 becomes 0.0."""
     floats = [f.name for f in df.schema.fields
               if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
-    return df.withColumns(
-        {c: F.when(~F.isnan(c), F.col(c)) for c in floats}) if floats else df
+    zero = {f.name: F.lit(0.0).cast(f.dataType) for f in df.schema.fields if f.name in floats}
+    return df.withColumns({c: F.when(~F.isnan(f"`{c}`"), F.col(f"`{c}`") + zero[c])
+                           for c in floats}) if floats else df
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return nan_to_null(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def read_csv(spark: SparkSession, path: str | list[str],

@@ -175,3 +175,31 @@ def test_missing_predictions_and_one_class_folds_have_no_score(spark):
 def test_decimal_targets_are_judged_as_numbers(spark):
     df = spark.range(50).select((F.col("id") % 5 + 0.25).cast("decimal(12,2)").alias("y"))
     assert problem_type(df, "y")[0] == problem_type(df.select(F.col("y").cast("double")), "y")[0] == "regression"
+
+
+def test_read_tables_have_no_nan_and_one_zero(spark, tmp_path):
+    from foldmark.operators import eda
+    from foldmark.sources.tables import read_table
+    rows = spark.createDataFrame([(float("nan"), 1), (-0.0, 2), (0.0, 3), (2.5, 4), (None, 5)], "x double, id int")
+    rows.write.parquet(f"{tmp_path}/t.parquet")
+    table = read_table(spark, str(tmp_path), "t")
+    stats = eda.numeric_stats(table, ["x"]).first()
+    assert (stats["min"], stats["max"], stats["zeros_frac"]) == (0.0, 2.5, 0.6667)
+    assert eda.missing(table, ["x"]).first()["missing_frac"] == 0.4
+    assert eda.distinct_counts(table, ["x"]).first()["n_unique"] == 2
+
+
+def test_long_texts_on_top_come_back_whole(spark):
+    from foldmark.operators.eda import top_values
+    long = "word " * 500
+    rows = spark.createDataFrame([(long,)] * 3 + [("a",)] * 2 + [(long + "b",), (None,)], "t string")
+    got = [(r["value"], r["n"], r["place"]) for r in top_values(rows, ["t"], 3).orderBy("place").collect()]
+    assert got == [(long, 3, 1), ("a", 2, 2), (long + "b", 1, 3)]
+
+
+def test_dates_are_related_to_the_target(spark):
+    from foldmark.operators.information import target_relation
+    rows = spark.range(400).select(F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("day"),
+                                   F.when(F.col("id") < 200, "a").otherwise("b").alias("y"))
+    best = target_relation(rows, "y").first()
+    assert best["column"] == "day" and best["mutual_info"] > 0.6
