@@ -14,7 +14,7 @@ from foldmark.operators import folds as fold_ops
 from foldmark.operators.slots import Slots
 from foldmark.operators.evaluate import importance_mean, score_summary
 from foldmark.operators.framing import ProblemSpec, check_schemas
-from foldmark.operators.metrics import Metric, score_folds
+from foldmark.operators.metrics import METRICS, Metric, score_folds
 from foldmark.operators.model import ModelParams, fit_model, fit_models
 from foldmark.operators.submission import submission
 from foldmark.plans.contract import (
@@ -42,17 +42,31 @@ def with_label(df: DataFrame, spec: ProblemSpec) -> DataFrame:
     return df.withColumn(LABEL, label)
 
 
+@dataclass(frozen=True)
+class Splits:
+    """How rows are split: by key, with ``groups`` kept together, or in
+    expanding windows of ``time``, where a fold is trained on what came before."""
+
+    groups: str | None = None
+    time: str | None = None
+
+
 def with_folds(spec: ProblemSpec, folds: int = CV_FOLDS, seed: int = SEED,
-               key: str | None = None) -> DataFrame:
+               key: str | None = None, splits: Splits = Splits()) -> DataFrame:
     """The training table with key, label and fold; the target itself gone.
 
-    Classes are spread evenly over folds; regression rows go by their hash.
+    By key, classes are spread evenly over folds and regression rows go by
+    their hash.
     """
     key = key or spec.id
     if key is None:
         raise ValueError("a key column is needed to assign folds")
     rows = with_label(spec.train, spec).withColumn(KEY, F.col(key)).drop(spec.target)
     guard_key(rows)
+    if splits.time is not None:
+        return fold_ops.time_blocks(rows, splits.time, folds, FOLD)
+    if splits.groups is not None:
+        return fold_ops.group_kfold(rows, splits.groups, KEY, folds, seed, FOLD)
     if spec.problem_type == "regression":
         return fold_ops.kfold(rows, KEY, folds, seed, FOLD)
     return fold_ops.stratified_kfold(rows, KEY, LABEL, folds, seed, FOLD)
@@ -71,15 +85,18 @@ def labelled_features(solution: Solution, rows: DataFrame, holdout: int | None)
     return made.join(rows.select(KEY, LABEL), KEY)
 
 
-def fold_views(solution: Solution, rows: DataFrame, spec: ProblemSpec, folds: int):
-    """Per fold: the solution is fitted without it; then (k, holdout) is given."""
-    aware = keeps_slots(solution)
+def fold_views(solution: Solution, rows: DataFrame, spec: ProblemSpec, folds: int,
+               splits: Splits = Splits()):
+    """Per fold, the condition of its training rows and the holdout to transform
+    with; the solution is fitted on those rows, or on all with a slot per fold."""
+    aware = keeps_slots(solution) and splits.time is None
     if aware:
         solution.fit(rows, spec, Slots(FOLD, folds))
-    for k in range(folds):
+    for k in range(1, folds + 1) if splits.time is not None else range(folds):
+        part = F.col(FOLD) < k if splits.time is not None else F.col(FOLD) != k
         if not aware:
-            solution.fit(rows.filter(F.col(FOLD) != k), spec, Slots())
-        yield k, (k if aware else NONE)
+            solution.fit(rows.filter(part), spec, Slots())
+        yield k, part, (k if aware else NONE)
 
 
 def cv_features(solution: Solution, spec: ProblemSpec, folds: int = CV_FOLDS,
@@ -91,7 +108,7 @@ def cv_features(solution: Solution, spec: ProblemSpec, folds: int = CV_FOLDS,
         return labelled_features(solution, rows, OWN_FOLD)
     return reduce(DataFrame.unionByName, [
         materialize(labelled_features(solution, rows.filter(F.col(FOLD) == k), holdout))
-        for k, holdout in fold_views(solution, rows, spec, folds)])
+        for k, _, holdout in fold_views(solution, rows, spec, folds)])
 
 
 def guard_values(parts: DataFrame, names: list[str]) -> None:
@@ -106,7 +123,7 @@ def guard_values(parts: DataFrame, names: list[str]) -> None:
 def cross_validate(solution: Solution, spec: ProblemSpec, metric: Metric,
                    folds: int = CV_FOLDS, seed: int = SEED,
                    params: ModelParams = ModelParams(),
-                   key: str | None = None) -> EvalResult:
+                   key: str | None = None, splits: Splits = Splits()) -> EvalResult:
     """One model per fold, all boosted in step.
 
     The model of fold k is trained on the other rows, with statistics that
@@ -117,26 +134,26 @@ def cross_validate(solution: Solution, spec: ProblemSpec, metric: Metric,
     never does.  Errors come back as a failed result.
     """
     try:
-        rows = materialize(with_folds(spec, folds, seed, key))
-        parts, held, names = None, {}, {}
-        for k, holdout in fold_views(solution, rows, spec, folds):
-            train, out = (labelled_features(solution, rows.filter(part), holdout)
-                          for part in (F.col(FOLD) != k, F.col(FOLD) == k))
+        rows = materialize(with_folds(spec, folds, seed, key, splits))
+        parts, held, names = None, {}, []
+        for k, part, holdout in fold_views(solution, rows, spec, folds, splits):
+            train, out = (labelled_features(solution, rows.filter(side), holdout)
+                          for side in (part, F.col(FOLD) == k))
             check_schemas(features_only(train), features_only(out), spec.target, spec.id)
-            names[k] = feature_names(train)
-            if names[k] != names[0]:
+            names = names or feature_names(train)
+            if feature_names(train) != names:
                 raise ValueError("features differ between folds")
             held[k] = out, solution.postprocess(F.col("pred"), holdout)
             train = train.withColumn("_part", F.lit(k))
             parts = train if parts is None else parts.unionByName(train)
         table, path = stored(parts, "fold-features")
-        guard_values(table, names[0])
+        guard_values(table, names)
         stops = params.patience < params.rounds
         marked = holdout_split(table, KEY) if stops else table.withColumn("is_holdout", F.lit(False))
         sides = {k: (marked.filter((F.col("_part") == k) & ~F.col("is_holdout")),
                      marked.filter((F.col("_part") == k) & F.col("is_holdout")) if stops else None)
                  for k in held}
-        models = fit_models(sides, names[0], LABEL, spec.problem_type, params, spec.n_classes, KEY)
+        models = fit_models(sides, names, LABEL, spec.problem_type, params, spec.n_classes, KEY)
         scored = [models[k].predict(out).withColumn("pred", post).select(KEY, FOLD, LABEL, "pred")
                   for k, (out, post) in held.items()]
         oof = materialize(reduce(DataFrame.unionByName, scored))
@@ -150,7 +167,7 @@ def cross_validate(solution: Solution, spec: ProblemSpec, metric: Metric,
                        for k, m in models.items()]
         return EvalResult(True, summary, oof,
                           importance_mean(reduce(DataFrame.unionByName, importances), None),
-                          len(names[0]))
+                          len(names))
     except Exception as error:      # a failing solution is a result, not a crash
         return EvalResult(False, error=f"{type(error).__name__}: {error}")
 
@@ -196,3 +213,23 @@ def refit_predict(solution: Solution, spec: ProblemSpec,
 def solve(solution: Solution, spec: ProblemSpec, params: ModelParams = ModelParams()) -> DataFrame:
     """Train and test tables to a submission table."""
     return submission(refit_predict(solution, spec, params), spec)
+
+
+def adversarial_validation(spec: ProblemSpec, solution: Solution, folds: int = CV_FOLDS,
+                           seed: int = SEED, params: ModelParams = ModelParams()) -> EvalResult:
+    """Can training and test rows be told apart by the solution's features?
+
+    The AUC of a model that predicts which table a row is from: about 0.5 where
+    both come from one source, near 1 where they differ.  Its importances name
+    the features that differ.  Target and id are not shown to it.
+    """
+    shared = [c for c in spec.test.columns if c in spec.train.columns and c not in (spec.target, spec.id)]
+    both = spec.train.select(*shared, F.lit(0).alias("_is_test")).unionAll(
+        spec.test.select(*shared, F.lit(1).alias("_is_test")))
+    # the rows' numbers have to be written before anything depends on them
+    rows, path = stored(both.withColumn("_number", F.monotonically_increasing_id()), "adversarial")
+    membership = ProblemSpec("", "", "_is_test", "_number", "binary", 2, [0, 1], rows,
+                             rows.drop("_is_test").limit(0))
+    result = cross_validate(solution, membership, METRICS["auc"], folds, seed, params)
+    discard(rows.sparkSession, path)
+    return result
