@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldmark.operators import folds, metrics
+from foldmark.operators.boosting import ModelParams
+from foldmark.operators.calibrate import calibrated
 from foldmark.operators.encode import fit_levels
+from foldmark.operators.folds import group_kfold, time_blocks
 from foldmark.operators.slots import Slots
 from foldmark.operators.evaluate import improves, residual_segments, score_summary
 from foldmark.operators.ranks import percent_ranks
 from foldmark.plans import fixtures as fx
 from foldmark.plans.catalog.base import query, rounded
+from foldmark.plans.evaluation import adversarial_validation
+from foldmark.plans.recipes import PassThrough
 from foldmark.sources.tables import read_table
 
 
@@ -202,3 +207,49 @@ def rank_transform(spark, folder):
     rows = fx.scored(spark, folder).select("l_orderkey", "fold", "p")
     ranked = percent_ranks(rows, "p", "by_fold", ["fold"])
     return rounded(percent_ranks(ranked, "p", "overall"))
+
+
+@query("fold_time", """SELECT event_id,
+  CAST(floor((rank() OVER (ORDER BY ts) - 1) * 6 / count(*) OVER ()) AS INTEGER) AS block FROM events""")
+def fold_time(spark, folder):
+    """Six blocks that follow each other: five expanding windows."""
+    return time_blocks(fx.events(spark, folder).select("event_id", "ts"), "ts", 5, "block").drop("ts")
+
+
+@query("fold_group", """SELECT o_custkey, count(*) AS n, 1 AS n_folds, true AS even FROM orders GROUP BY o_custkey""")
+def fold_group(spark, folder):
+    """A customer's orders share a fold, and folds differ by few rows."""
+    rows = group_kfold(read_table(spark, folder, "orders"), "o_custkey", "o_orderkey", 5)
+    sizes = rows.groupBy("fold").agg(F.count(F.lit(1)).alias("k"))
+    spread = sizes.agg((F.max("k") - F.min("k") <= 0.02 * F.sum("k")).alias("even"))
+    groups = rows.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"),
+                                           F.count_distinct("fold").cast("int").alias("n_folds"))
+    return groups.join(F.broadcast(spread))
+
+
+@query("calibrate_isotonic", f"""WITH {fx.SCORED}, slots AS (SELECT unnest(range(5)) AS k),
+cells AS (SELECT k, p, sum(y) AS s, count(*) AS n FROM scored, slots WHERE fold <> k GROUP BY k, p),
+cum AS (SELECT *, sum(s) OVER w AS cs, sum(n) OVER w AS cn, row_number() OVER w AS i FROM cells
+  WINDOW w AS (PARTITION BY k ORDER BY p)),
+least_after AS (SELECT a.k, a.i AS lo, c.i AS at, min((b.cs - a.cs + a.s) / (b.cn - a.cn + a.n)) AS m
+  FROM cum a JOIN cum c ON a.k = c.k AND c.i >= a.i JOIN cum b ON b.k = a.k AND b.i >= c.i GROUP BY ALL),
+fit AS (SELECT l.k, c.p, max(m) AS fitted FROM least_after l JOIN cum c ON c.k = l.k AND c.i = l.at GROUP BY l.k, c.p)
+SELECT fold, round(fit.p, 6) AS p, round(fitted, 6) AS calibrated, count(*) AS n
+FROM scored JOIN fit ON fit.k = fold AND fit.p = scored.p GROUP BY ALL""")
+def calibrate_isotonic(spark, folder):
+    """Every prediction by the isotonic function of the other folds."""
+    rows = calibrated(fx.scored(spark, folder), "p", "y", "fold", 5)
+    return rounded(rows.groupBy("fold", "p", "calibrated").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("adversarial", f"""WITH {fx.ORDERS}
+SELECT true AS alike, count(*) AS n_rows FROM orders_base""")
+def adversarial(spark, folder):
+    """Rows dealt by a hash cannot be told apart: their AUC is about a half."""
+    result = adversarial_validation(fx.order_spec(spark, folder), PassThrough(), 3,
+                                    params=ModelParams(rounds=5))
+    if not result.ok:
+        raise RuntimeError(result.error)
+    rows = result.oof.agg(F.count("pred").alias("n_rows"))
+    return result.summary.join(F.broadcast(rows)).select(
+        (F.abs(F.col("score") - 0.5) < 0.06).alias("alike"), "n_rows")

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from foldmark.functions import features as fn
 from foldmark.functions.hashing import hash_fold
-from foldmark.operators import encode
+from foldmark.operators import encode, text_parts
 from foldmark.operators.slots import Slots
 from foldmark.operators.framing import ProblemSpec
 from foldmark.plans import fixtures as fx
 from foldmark.plans.catalog.base import query, rounded
 from foldmark.plans.contract import FOLD, KEY, LABEL, OWN_FOLD
 from foldmark.plans.recipes import Curriculum, RecordedFeatures
+from foldmark.sources.tables import read_table
 
 KEYS = ["order_id"]
 
@@ -251,3 +252,35 @@ def udf_contract(spark, folder):
     mine.fit(rows, spec, Slots())
     return rounded(mine.transform(rows).withColumnRenamed(KEY, "order_id").drop(LABEL),
                    6, nation_te_acctbal=4)
+
+
+_DATED = """dated AS (SELECT o_orderkey, strftime(o_orderdate, '%d.%m.%Y') AS day,
+  o_custkey || '-' || o_orderstatus || '-' || o_orderkey AS code, o_orderpriority AS plain FROM orders)"""
+
+
+@query("f_date_parts", f"""WITH {_DATED}
+SELECT o_orderkey, CAST(year(d) AS INTEGER) AS day_year, CAST(month(d) AS INTEGER) AS day_month,
+  CAST(day(d) AS INTEGER) AS day_day, CAST(isodow(d) - 1 AS INTEGER) AS day_weekday,
+  CAST(dayofyear(d) AS INTEGER) AS day_yearday, 0 AS day_hour
+FROM (SELECT o_orderkey, strptime(day, '%d.%m.%Y') AS d FROM dated)""")
+def f_date_parts(spark, folder):
+    """Parts of dates kept as text, whose format is found by votes."""
+    rows = _dated(spark, folder).select("o_orderkey", "day", "plain")
+    formats = text_parts.date_formats(rows, ["day", "plain"])
+    return text_parts.with_date_parts(rows, formats).drop("day", "plain")
+
+
+@query("f_composite", f"""WITH {_DATED}
+SELECT o_orderkey, CAST(split_part(code, '-', 1) AS DOUBLE) AS code_part0, split_part(code, '-', 2) AS code_part1,
+  CAST(split_part(code, '-', 3) AS DOUBLE) AS code_part2 FROM dated""")
+def f_composite(spark, folder):
+    """Parts of composite ids, whose separator is found by votes."""
+    rows = _dated(spark, folder).select("o_orderkey", "code")
+    return text_parts.with_composite_parts(rows, text_parts.composites(rows, ["code"])).drop("code")
+
+
+def _dated(spark, folder):
+    return read_table(spark, folder, "orders").select(
+        "o_orderkey", F.date_format("o_orderdate", "dd.MM.yyyy").alias("day"),
+        F.concat_ws("-", "o_custkey", "o_orderstatus", "o_orderkey").alias("code"),
+        F.col("o_orderpriority").alias("plain"))

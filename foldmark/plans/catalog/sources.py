@@ -97,3 +97,32 @@ def snk_profile(spark, folder):
                              scratch_path(spark, "profile"))
     back = spark.read.schema("column string, kind string, stat string, value string").json(path)
     return back.filter(F.col("stat") == "n_unique").drop("stat")
+
+
+@query("src_texts", """WITH files AS (SELECT item_id % 3 AS f,
+  string_agg(text || chr(10), '' ORDER BY item_id) AS t FROM benchmark GROUP BY 1)
+SELECT string_agg(t, chr(10) || chr(10) ORDER BY f) AS whole FROM files""")
+def src_texts(spark, folder):
+    """Several text files, joined by blank lines in the order given."""
+    rows = tables.read_table(spark, folder, "benchmark")
+    paths = []
+    for f in range(3):
+        paths.append(scratch_path(spark, "texts"))
+        (rows.filter(F.col("item_id") % 3 == f).coalesce(1).sortWithinPartitions("item_id")
+         .select("text").write.text(paths[-1]))
+    return spark.createDataFrame([(tables.read_texts(spark, paths),)], "whole string")
+
+
+@query("src_journal_followed", f"""WITH {fx.JOURNAL}
+SELECT event, count(*) AS n FROM journal GROUP BY event
+UNION ALL SELECT 'bad line', count(*) FROM events WHERE event_id % 50 = 0""")
+def src_journal_followed(spark, folder):
+    """Event counts of a followed journal, and its bad lines."""
+    path = scratch_path(spark, "followed")
+    good = fx.journal(spark, folder).select(F.to_json(F.struct("*")).alias("value"))
+    bad = tables.read_table(spark, folder, "events").filter("event_id % 50 = 0").select(
+        F.concat(F.lit('{"event": "RESULT", "score": '), F.col("event_id").cast("string")))
+    good.unionAll(bad).write.text(path)
+    rows, lines = journal_source.follow_journal(spark, path)
+    return (rows.groupBy("event").agg(F.count(F.lit(1)).alias("n"))
+            .unionAll(lines.agg(F.count(F.lit(1)).alias("n")).select(F.lit("bad line"), "n")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from foldmark.session import scratch_path
 from foldmark.sources.tables import nan_to_null, write_json
 
 JOURNAL_SCHEMA = (
@@ -29,6 +30,34 @@ def stream_journal(spark: SparkSession, path: str) -> DataFrame:
     return _reader(spark.readStream, False).json(path)
 
 
+def follow_journal(spark: SparkSession, path: str, place: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Take in all new lines of a journal folder: its rows so far, and the lines
+    that are none.
+
+    Lines are read as a file stream, whose progress is kept under ``place``;
+    called again, only new files are read.  Rows and bad lines are written per
+    batch, and a batch that is done again replaces what it wrote before.
+    """
+    place = place or scratch_path(spark, "journal")
+
+    def take(batch: DataFrame, number: int) -> None:
+        parsed = batch.filter(F.trim("value") != "").select(
+            "value", F.from_json("value", JOURNAL_SCHEMA + ", _bad string", {
+                "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad",
+                "allowNonNumericNumbers": "true"}).alias("r"))
+        bad = F.col("r").isNull() | F.col("r._bad").isNotNull() | F.col("r.event").isNull()
+        marked = parsed.withColumn("bad", bad).persist()
+        nan_to_null(marked.filter("NOT bad").select("r.*").drop("_bad")).write.mode("overwrite").parquet(
+            f"{place}/rows/batch={number}")
+        marked.filter("bad").select("value").write.mode("overwrite").parquet(f"{place}/bad/batch={number}")
+        marked.unpersist()
+
+    (spark.readStream.text(path).writeStream.foreachBatch(take).trigger(availableNow=True)
+     .option("checkpointLocation", f"{place}/progress").start().awaitTermination())
+    rows = spark.read.schema(JOURNAL_SCHEMA + ", batch int").parquet(f"{place}/rows")
+    return rows.drop("batch"), spark.read.schema("value string, batch int").parquet(f"{place}/bad").drop("batch")
+
+
 def append_journal(rows: DataFrame, path: str, by_run: bool = False) -> str:
     """Add events; with ``by_run`` a folder per run, so that one run is read
     without the rest."""
