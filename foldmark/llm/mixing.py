@@ -16,9 +16,10 @@ Only column functions are used.  A source may hold a third of all rows: running
 totals are taken in pieces of the permutation, never over a whole source.
 
 Defined results: a text counts its words and one end mark, so null and empty
-texts count 1; a null source is a source of its own; rows that share an id are
-separate rows, ties of the permutation being settled by their number of
-tokens; without rows, or without a budget, there is no result.
+texts count 1; a null source is a source of its own; rows that share an id, or
+have none, are separate rows with written numbers of their own, which settle
+ties of the permutation; names of other columns never clash; without rows, or
+with a budget of 0, there is no result.
 """
 
 from __future__ import annotations
@@ -114,48 +115,55 @@ def weights(sizes: DataFrame, mix: Mixture) -> DataFrame:
     return sources.select("_source", "_held", weight.alias("_weight"), owed.alias("_owed"))
 
 
-def mixed(docs: DataFrame, mix: Mixture = Mixture(), key: str = "doc_id", text: str = "text",
-          source: str = "source") -> DataFrame:
-    """Key, source, tokens, weight, pass, block and slot: one row per copy.
-
-    Blocks are in reading order, slots number the documents of a block.
-    """
-    sizes = written(docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{source}`").alias("_source"),
-                                tokens_of(F.col(f"`{text}`")).alias("_tokens")), "mix-sizes")
-    owed = written(weights(sizes, mix), "mix-weights")
+def placed(rows: DataFrame, mix: Mixture) -> DataFrame:
+    """Of numbered rows (_row, _key, _source, _tokens): _row, tokens, weight,
+    pass, block and slot of every copy that is read."""
+    owed = written(weights(rows, mix), "mix-weights")
     passes = F.ceil(F.col("_owed") / F.col("_held")).cast("int")
     own = owed.withColumnRenamed("_source", "_s")
-    copies = (sizes.join(small(own), F.col("_source").eqNullSafe(F.col("_s")))
+    copies = (rows.join(small(own), F.col("_source").eqNullSafe(F.col("_s"))).filter(passes > 0)
               .withColumn("_pass", F.explode(F.sequence(F.lit(0), passes - 1)))
-              .select("_key", "_source", "_tokens", "_pass", "_held", "_weight", "_owed",
+              .select("_row", "_key", "_source", "_tokens", "_pass", "_held", "_weight", "_owed",
                       F.xxhash64(F.lit(mix.seed), "_pass", "_key", "_tokens").alias("_turn")))
-    order = ["_turn", "_key", "_tokens"]
-    placed = running(in_pieces(copies, order, "mix-copies"), order,
-                     {"_before": F.col("_tokens")}, ["_source", "_pass"])
+    # rows that are alike in all that is hashed go by their number
+    order = ["_turn", "_key", "_tokens", "_row"]
+    found = running(in_pieces(copies, order, "mix-copies"), order,
+                    {"_before": F.col("_tokens")}, ["_source", "_pass"])
     at = F.col("_pass") * F.col("_held") + F.col("_before")
-    taken = (placed.filter(at < F.col("_owed"))
+    taken = (found.filter(at < F.col("_owed"))
              .withColumn("_block", F.floor(at / (F.col("_weight") * F.lit(mix.block_tokens)))))
     shuffled = F.xxhash64(F.lit(mix.seed), "_block", "_pass", "_key", "_tokens")
     taken = in_pieces(taken.withColumn("_shuffled", shuffled).select(
-        "_key", "_source", "_tokens", "_weight", "_pass", "_block", "_shuffled"),
-        ["_block", "_shuffled", "_key"], "mix-taken")
-    out = running(taken, ["_shuffled", "_key"], {"_slot": F.lit(1)}, ["_block"])
-    return out.select(
+        "_row", "_key", "_source", "_tokens", "_weight", "_pass", "_block", "_shuffled"),
+        ["_block", "_shuffled", "_row"], "mix-taken")
+    return running(taken, ["_shuffled", "_row"], {"_slot": F.lit(1)}, ["_block"])
+
+
+def mixed(docs: DataFrame, mix: Mixture = Mixture(), key: str = "doc_id", text: str = "text",
+          source: str = "source") -> DataFrame:
+    """Key, source, tokens, weight, pass, block and slot: one row per copy.
+
+    Blocks are in reading order, slots number the documents of a block.
+    """
+    rows = written(docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{source}`").alias("_source"),
+                               tokens_of(F.col(f"`{text}`")).alias("_tokens"),
+                               F.monotonically_increasing_id().alias("_row")), "mix-sizes")
+    return placed(rows, mix).select(
         F.col("_key").alias(key), F.col("_source").alias(source), F.col("_tokens").alias("tokens"),
         F.col("_weight").alias("weight"), F.col("_pass").alias("pass"),
         F.col("_block").cast("long").alias("block"), F.col("_slot").cast("long").alias("slot"))
 
 
-def mixed_documents(docs: DataFrame, mix: Mixture, key: str = "doc_id", text: str = "text",
+def mixed_documents(docs: DataFrame, mix: Mixture = Mixture(), key: str = "doc_id", text: str = "text",
                     source: str = "source") -> DataFrame:
-    """Rows of ``docs``, each as often as the mixture reads it.
-
-    Rows that share an id and a number of tokens are taken together.
-    """
-    copies = (mixed(docs, mix, key, text, source)
-              .groupBy(F.col(key).alias("_key"), F.col("tokens").alias("_tokens"))
-              .agg(F.count_distinct("pass").cast("int").alias("_copies")))
-    match = F.col(f"`{key}`").eqNullSafe(F.col("_key")) & (tokens_of(F.col(f"`{text}`")) == F.col("_tokens"))
-    return (docs.join(copies, match)
+    """Rows of ``docs``, each as often as the mixture reads it, whatever their names."""
+    whole = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
+                                F.monotonically_increasing_id().alias("_row")), "mix-documents")
+    rows = written(whole.select(
+        "_row", F.col("_doc")[key].alias("_key"), F.col("_doc")[source].alias("_source"),
+        tokens_of(F.col("_doc")[text]).alias("_tokens")), "mix-sizes")
+    copies = written(placed(rows, mix).groupBy("_row").agg(F.count(F.lit(1)).cast("int").alias("_copies")),
+                     "mix-counts")
+    return (whole.join(small(copies), "_row")
             .withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies"))))
-            .select(*[docs[f"`{c}`"] for c in docs.columns]))
+            .select("_doc.*"))

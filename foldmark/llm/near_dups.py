@@ -203,8 +203,9 @@ def contracted(links: DataFrame) -> DataFrame:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` written with a number of its own per row, ``_row``."""
-    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    """The rows of ``docs`` as ``_doc``, written with a number of their own, ``_row``."""
+    return written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
+                               F.monotonically_increasing_id().alias("_row")), "numbered")
 
 
 def components(rows: DataFrame, like: Likeness, key: str, text: str) -> DataFrame:
@@ -213,8 +214,8 @@ def components(rows: DataFrame, like: Likeness, key: str, text: str) -> DataFram
     A component has the smallest row number of it as its name; ``least`` is
     its smallest id.  An empty set is a component of its own.
     """
-    ids = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID))
-    docs = rows.select(F.col("_row").alias("_id"), ids.alias("_key"), F.col(f"`{text}`").alias("_text"))
+    ids = F.coalesce(F.col("_doc")[key].cast("long"), F.lit(NO_ID))
+    docs = rows.select(F.col("_row").alias("_id"), ids.alias("_key"), F.col("_doc")[text].alias("_text"))
     base = written(sketches(docs, like), "sketches")
     classes = written(base.filter("n > 0").groupBy("n", "d1", "d2")
                       .agg(F.min("_id").alias("rep"), F.min("_key").alias("least"),
@@ -318,4 +319,4 @@ def one_of_each(docs: DataFrame, like: Likeness = Likeness(), key: str = "doc_id
     rows = numbered(docs)
     kept = written(components(rows, like, key, text).filter(F.col("_key") == F.col("least"))
                    .groupBy("component").agg(F.min("_row").alias("_row")), "kept").select("_row")
-    return rows.join(small(kept), "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(small(kept), "_row", "left_semi").select("_doc.*")

@@ -155,8 +155,8 @@ class Scorer:
         norm = sum(w * w for w in raw.values()) ** 0.5
         return {t: w / norm for t, w in sorted(raw.items())} if norm else {}
 
-    def vote(self, query: dict[int, float], own: int | None = None,
-             own_id: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    def vote(self, query: dict[int, float], own: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+        """Over the nearest examples; for calibration without the example itself."""
         k = self.settings.neighbours
         if not query or not self.index.n:
             return 0.0, np.zeros(0, np.int64), np.zeros(0)
@@ -166,13 +166,14 @@ class Scorer:
                 self.known.clear()
             self.known[asked] = self.index.nearest(query, k + 1)
         at, near = self.known[asked]
-        other = at != own if own is not None else self.ids[at] != own_id
-        at, near = at[other][:k], near[other][:k]
+        if own is not None:
+            at, near = at[at != own], near[at != own]
+        at, near = at[:k], near[:k]
         return float((near * self.toxic[at]).sum() / (near.sum() + self.settings.smoothing)), at, near
 
-    def score(self, text: str | None, own_id: int | None) -> tuple[float, list[tuple]]:
+    def score(self, text: str | None) -> tuple[float, list[tuple]]:
         counts = {self.vocabulary[w]: n for w, n in terms_of(text).items() if w in self.vocabulary}
-        vote, at, near = self.vote(self.vector(counts), own_id=own_id)
+        vote, at, near = self.vote(self.vector(counts))
         step = max(np.searchsorted(self.steps, vote, side="right") - 1, 0)
         return float(self.values[step]), [
             (int(self.ids[a]), float(s), int(self.toxic[a])) for a, s in zip(at[:3], near[:3])]
@@ -250,7 +251,7 @@ def scored(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(),
         for big in batches:
             for at in range(0, big.num_rows, 500):
                 b = big.slice(at, 500)
-                rows = [s.score(t, i) for i, t in zip(b.column("_id").to_pylist(), b.column("_text").to_pylist())]
+                rows = [s.score(t) for t in b.column("_text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([
                     b.column("_id"), pa.array([r[0] for r in rows], pa.float64()),
                     pa.array([[dict(zip(("doc_id", "cosine", "toxic"), e)) for e in r[1]] for r in rows], kind)],

@@ -68,3 +68,31 @@ def test_edges(spark):
     assert mixing.mixed(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         Mixture(budget=2.0, max_repeats=1.0)
+
+
+def test_rows_without_an_id_are_taken_as_often_as_the_mixture_reads_them(spark):
+    rows = [(None, "w " * 4, "a", i, i) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _key int, _row int")
+    mix = Mixture(budget=0.3, max_repeats=1.0)
+    n = mixing.mixed(docs, mix).count()
+    got = mixing.mixed_documents(docs, mix)
+    assert got.columns == docs.columns and got.count() == n and 29 <= n <= 31
+    assert len({r["_key"] for r in got.collect()}) == n
+
+
+def test_no_budget_reads_nothing(spark):
+    docs = table(spark, {"a": 20, "b": 5})
+    assert mixing.mixed(docs, Mixture(budget=0.0)).count() == 0
+    assert mixing.mixed_documents(docs, Mixture(budget=0.0)).count() == 0
+
+
+def test_documents_are_the_copies_of_the_mixture(spark):
+    docs = table(spark, {"big": 200, "low": 7}).unionAll(spark.createDataFrame(
+        [(9, "long " * 200_000, "low", 1)], "doc_id long, text string, source string, slot int"))
+    mix = Mixture(budget=1.0, max_repeats=3.0)
+    want, got = {}, {}
+    for r in mixing.mixed(docs, mix).collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + 1
+    for r in mixing.mixed_documents(docs, mix).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + 1
+    assert sum(got.values()) == sum(want.values()) and set(got) == set(want)

@@ -105,3 +105,11 @@ def test_rows_without_an_id_stay_apart(spark):
         (i or 0, t) for i, t in (rows[3], rows[4], rows[5], rows[7], rows[8]))
     named = {(r.doc_id, r.component_id) for r in result(spark, rows)}
     assert named == {(None, 1), (None, None), (1, 1), (2, 2), (7, 7), (7, 2)}
+
+
+def test_columns_named_like_our_own_come_back(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 10, "k"), (2, "a b c d e f", 20, None), (3, None, 30, "x")],
+                                 "doc_id long, text string, _row long, _doc string")
+    got = near_dups.one_of_each(docs, Likeness(shingle=4))
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == [(1, "a b c d e f", 10, "k"), (3, None, 30, "x")]
