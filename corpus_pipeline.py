@@ -18,11 +18,6 @@ from foldmark.sources.tables import read_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-# Nine tenths of the tokens, no document twice: the sources are brought as near
-# to equal as that allows, and the large ones give up what is over.
-MIXTURE = mixing.Mixture(budget=0.9, max_repeats=1.0)
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every rule of the current policy."""
     return quality.keep_good(docs)
@@ -39,8 +34,8 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mixture reads."""
-    return mixing.mixed_documents(docs, MIXTURE)
+    """The documents that the mixture reads, each as often as it does."""
+    return mixing.mixed_documents(docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
