@@ -10,12 +10,17 @@ retained values, so many more than may differ that linked documents meet in
 documents that consist of little else.
 
 Lists generate candidates without pairing their members with one another.
-Every list compares its members with one pivot; links that hold on the full
-sets form components, and lists whose members all lie in one component are
-done.  Other lists go on with another pivot while that pays; what is left,
-members outside the largest component of their list, is compared with
-every other component.  So no link between components is missed, and groups
-of thousands of copies cost one comparison per member and round.
+Every list compares its members with one pivot, first the one whose values are
+the most common; links that hold on the full sets form components, and lists
+whose members all lie in one component are done.  Other lists go on with
+another pivot while that pays.  In what is left, lists with few members outside
+their largest component compare those with every other component.  Members of
+other lists get deeper sketches (k = 512), which are whole sets for most texts,
+and lists of them under their rarest values, two kinds of places each: a pair
+must meet where the smaller set is among its first ninth of values, roughly, so
+texts that share only a passage do not meet, however many there are.  No link
+between components is missed, and groups of thousands of copies cost one
+comparison per member and round.
 
 Documents with equal sets are one class from the start.  Rows have a written
 number of their own, by which classes and components are named, so rows that
@@ -30,7 +35,7 @@ as larger than every other id.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +45,12 @@ from foldmark.llm import bytetools as bt
 from foldmark.llm.order import small, written
 
 NO_ID = 2 ** 63 - 1
-PIVOT_ROUNDS = 6
+PIVOT_ROUNDS = 2
+FEW = 8  # members outside the largest component that a list compares with all others
+DEEP = 512  # retained values of the deeper sketches
 NEED = 8
+HOT_SHARE = 1000  # a class with more than this part of the rows is not shuffled
+HOT_LEAST = 10_000
 CHUNK_BYTES = 4_000_000
 
 
@@ -55,13 +64,18 @@ class Likeness:
     def shared(self, n: Column) -> Column:
         """Retained values that linked sets share at least, for a set of n.
 
-        A set of at most this size, and every set linked with it, is retained
-        whole, so the bound is exact; else it is six deviations below the mean.
+        A set of at most ``whole()`` values, and every set linked with it, is
+        retained whole, so the bound is exact; else it is six deviations below
+        the mean, or the exact one where that is less.
         """
         p = self.percent / 100
         exact = F.ceil(n * F.lit(self.percent) / F.lit(100))
         bound = max(1, int(self.k * p - 6 * (self.k * p * (1 - p)) ** 0.5))
-        return F.when(n <= int(self.k * p), exact).otherwise(F.lit(bound))
+        return F.when(n <= self.whole(), exact).otherwise(F.least(exact, F.lit(bound)))
+
+    def whole(self) -> int:
+        """Largest size of a set that is retained whole like all sets linked with it."""
+        return self.k * self.percent // 100
 
 
 def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -135,9 +149,9 @@ def full_sets(docs: DataFrame, like: Likeness) -> DataFrame:
 
 
 def inverted_lists(classes: DataFrame, like: Likeness) -> DataFrame:
-    """(value, rep, need) under the rarest retained values, lists of one left out.
+    """(value, rep, need, central) under the rarest retained values, lists of one left out.
 
-    Sets that share c retained values share ``need`` of their s - c + need rarest.
+    ``central`` says how common the retained values of a set are.  Sets that share c retained values share ``need`` of their s - c + need rarest.
     """
     kept = classes.select("rep", "n", F.explode("sketch").alias("v"))
     often = kept.groupBy("v").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
@@ -146,11 +160,41 @@ def inverted_lists(classes: DataFrame, like: Likeness) -> DataFrame:
     # values of one document come first, but have no list: they only use up places
     places = size - like.shared(F.col("n")) + need
     found = (kept.join(often, "v").groupBy("rep", "n")
-             .agg(F.sort_array(F.collect_list(F.struct("often", "v"))).alias("vs"))
+             .agg(F.sort_array(F.collect_list(F.struct("often", "v"))).alias("vs"),
+                  F.sum("often").alias("common"))
+             .withColumn("central", F.col("common") / size)
              .withColumn("places", F.greatest(places - (size - F.size("vs")), F.lit(0)).cast("int")))
-    listed = found.select("rep", need.cast("int").alias("need"),
+    listed = found.select("rep", need.cast("int").alias("need"), "central",
                           F.explode(F.slice("vs", F.lit(1), F.col("places"))).alias("x"))
-    return listed.select(F.col("x.v").alias("v"), "rep", "need")
+    return listed.select(F.col("x.v").alias("v"), "rep", "need", "central")
+
+
+def deeper_lists(members: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+    """(v, rep, component, n, place, first) under the rarest values of deeper sketches.
+
+    ``members``: (rep, component).  The rarest value that two linked sets share
+    has at most as many values of either before it as they may differ in.
+    ``first`` marks the fewer places where it can lie in a set that is linked
+    with one at least as large.
+    """
+    n = F.size("shingles").cast("long")
+    kept = written(members.join(sets, "rep")
+                   .select("rep", "component", n.alias("n"),
+                           F.explode(F.slice("shingles", 1, like.k)).alias("v")), "deeper")
+    often = kept.groupBy("v").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    size, n = F.least("n", F.lit(like.k)), F.col("n")
+    found = (kept.join(often, "v").groupBy("rep", "component", "n")
+             .agg(F.sort_array(F.collect_list(F.struct("often", "v"))).alias("vs"))
+             # values of one document come first
+             .withColumn("alone", size - F.size("vs")))
+    places = F.greatest(size - like.shared(n) + 1 - F.col("alone"), F.lit(0)).cast("int")
+    listed = found.select("rep", "component", "n", "alone",
+                          F.posexplode(F.slice("vs", F.lit(1), places)).alias("at", "x"))
+    place = F.col("alone") + F.col("at")
+    # with a set at least as large: intersection >= percent / (100 + percent) * 2n
+    first = (n > like.whole()) | ((n - place) * (100 + like.percent) >= 2 * like.percent * n)
+    return listed.select(F.col("x.v").alias("v"), "rep", "component", "n", place.alias("place"),
+                         first.alias("first"))
 
 
 def linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
@@ -219,6 +263,7 @@ def components(rows: DataFrame, like: Likeness, key: str, text: str) -> DataFram
     base = written(sketches(docs, like), "sketches")
     classes = written(base.filter("n > 0").groupBy("n", "d1", "d2")
                       .agg(F.min("_id").alias("rep"), F.min("_key").alias("least"),
+                           F.count(F.lit(1)).alias("copies"),
                            F.first("sketch").alias("sketch")), "classes")
     lists = inverted_lists(classes, like)
     lists = written(lists, "lists")
@@ -234,7 +279,7 @@ def components(rows: DataFrame, like: Likeness, key: str, text: str) -> DataFram
             break
         last = turn == PIVOT_ROUNDS or turn > 0 and crossing(at).agg(
             F.sum("pairs")).first()[0] <= 2 * size
-        pairs = written(against_others(at) if last else against_pivot(at, turn), "pairs")
+        pairs = written(remaining(at, sets, like) if last else against_pivot(at, turn), "pairs")
         found = written(linked(pairs, classes, sets, like), "found")
         links = found if links is None else links.unionByName(found)
         names = contracted(links)
@@ -248,13 +293,25 @@ def components(rows: DataFrame, like: Likeness, key: str, text: str) -> DataFram
     if names is None:
         names = lists.select("rep", F.col("rep").alias("component")).limit(0)
     label = written(classes.join(names, "rep", "left").select(
-        "n", "d1", "d2", "least", F.coalesce("component", "rep").alias("component")), "labels")
+        "n", "d1", "d2", "copies", "least", F.coalesce("component", "rep").alias("component")), "labels")
     least = label.groupBy("component").agg(F.min("least").alias("least"))
-    label = label.drop("least").join(small(written(least, "least")), "component")
-    return (base.join(label, ["n", "d1", "d2"], "left")
-            .select(F.col("_id").alias("_row"), "_key", "n",
-                    F.coalesce("component", "_id").alias("component"),
-                    F.coalesce("least", "_key").alias("least")))
+    label = written(label.drop("least").join(small(written(least, "least")), "component"), "labels")
+    return labelled(base, label)
+
+
+def labelled(base: DataFrame, label: DataFrame) -> DataFrame:
+    """Rows with the component of their class; large classes travel, not their rows."""
+    same = ["n", "d1", "d2"]
+    many = max(HOT_LEAST, base.count() // HOT_SHARE)
+    hot = label.filter(F.col("copies") > many).select(*same, F.struct("component", "least").alias("_of"))
+    # fewer than HOT_SHARE classes hold that many rows each
+    marked = base.select("_id", "_key", *same).join(F.broadcast(hot), same, "left")
+    alone = F.struct(F.col("_id").alias("component"), F.col("_key").alias("least"))
+    done = (marked.filter("_of IS NOT NULL OR n = 0")
+            .withColumn("_of", F.coalesce("_of", alone)))
+    cold = label.filter(F.col("copies") <= many).select(*same, F.struct("component", "least").alias("_of"))
+    rest = marked.filter("_of IS NULL AND n > 0").drop("_of").join(cold, same)
+    return done.unionByName(rest).select(F.col("_id").alias("_row"), "_key", "n", "_of.component", "_of.least")
 
 
 def ordered_pair(a: str, b: str) -> tuple[Column, Column]:
@@ -264,9 +321,10 @@ def ordered_pair(a: str, b: str) -> tuple[Column, Column]:
 def against_pivot(at: DataFrame, turn: int) -> DataFrame:
     """Every member with the pivot that it meets in most of its lists.
 
-    A list's pivot is its smallest member first, then a random one.
+    A list's pivot is its most central member first, then a random one.
     """
-    order = F.col("rep") if turn == 0 else F.xxhash64(F.lit(turn), "v", "rep")
+    order = (F.struct(-F.col("central"), F.col("rep")) if turn == 0
+             else F.xxhash64(F.lit(turn), "v", "rep"))
     pivots = at.groupBy("v").agg(F.min_by(F.struct("rep", "component"), order).alias("p"))
     met = (at.join(pivots, "v").filter("component <> p.component")
            .groupBy("rep", F.col("p.rep").alias("pivot")).agg(F.count(F.lit(1)).alias("m")))
@@ -275,29 +333,60 @@ def against_pivot(at: DataFrame, turn: int) -> DataFrame:
 
 
 def crossing(at: DataFrame) -> DataFrame:
-    """Per list: its largest component, and pairs to compare to be complete."""
+    """Per list: its largest component, members outside it, and pairs to compare to be complete."""
     sizes = at.groupBy("v", "component").agg(F.count(F.lit(1)).alias("m"))
     return (sizes.groupBy("v").agg(F.sum("m").alias("all"),
                                    F.max(F.struct("m", "component")).alias("top"))
-            .select("v", F.col("top.component").alias("main"),
+            .select("v", F.col("top.component").alias("main"), (F.col("all") - F.col("top.m")).alias("minor"),
                     ((F.col("all") - F.col("top.m")) * F.col("all")).alias("pairs")))
 
 
+def remaining(at: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+    """Every pair of different components that may still be linked.
+
+    A pair of which one member is in short lists only meets in those; all
+    other pairs meet in the lists of deeper sketches.
+    """
+    lists = written(crossing(at), "crossing")
+    long = lists.filter(F.col("minor") > FEW).select("v")
+    deep = written(at.join(long, "v").select("rep", "component").distinct(), "long")
+    marked = (at.join(lists.filter(F.col("minor") <= FEW).select("v", "main"), "v")
+              .join(small(deep.select("rep", F.lit(True).alias("deep"))), "rep", "left")
+              .withColumn("deep", F.coalesce("deep", F.lit(False))))
+    return against_others(marked).union(against_deeper(deep, sets, replace(like, k=DEEP))).distinct()
+
+
 def against_others(at: DataFrame) -> DataFrame:
     """Members outside the largest component of a list, with all other components.
 
     Pairs that meet in too few lists to be alike are left out.
     """
-    at = at.join(crossing(at).select("v", "main"), "v")
     minor = (at.filter("component <> main")
              .select("v", F.col("rep").alias("x"), F.col("component").alias("cx"),
-                     F.col("need").alias("nx")))
-    met = minor.join(at, "v").filter("component <> cx AND (component = main OR rep < x)")
+                     F.col("need").alias("nx"), F.col("deep").alias("dx")))
+    met = (minor.join(at, "v").filter("NOT (deep AND dx)")
+           .filter("component <> cx AND (component = main OR rep < x)"))
     return (met.groupBy(*ordered_pair("rep", "x"))
             .agg(F.count(F.lit(1)).alias("m"), F.min(F.least("need", "nx")).alias("need"))
             .filter("m >= need").select("a", "b"))
 
 
+def against_deeper(members: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+    """Pairs that share a value where linked sets would share their rarest one."""
+    lists = written(deeper_lists(members, sets, like), "deeper-lists")
+    x = lists.select("v", F.col("rep").alias("x"), F.col("component").alias("cx"),
+                     F.col("n").alias("nx"), F.col("place").alias("px"))
+    # what comes after the places in whole sets bounds the intersection
+    after = F.least(F.col("n") - F.col("place"), F.col("nx") - F.col("px"))
+    possible = (F.col("nx") > like.k) | (
+        after * (100 + like.percent) >= (F.col("n") + F.col("nx")) * like.percent)
+    pairs = lists.filter("first").join(
+        x, (lists.v == x.v) & (F.col("component") != F.col("cx"))
+        & ((F.col("nx") > F.col("n")) | (F.col("nx") == F.col("n")) & (F.col("x") > F.col("rep")))
+        & (F.col("nx") * like.percent <= F.col("n") * 100) & possible)
+    return pairs.select(*ordered_pair("rep", "x")).distinct()
+
+
 def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), key: str = "doc_id",
                     text: str = "text") -> DataFrame:
     """Key, n_shingles, component_id and kept, one row per row of ``docs``."""

@@ -76,6 +76,47 @@ def test_rounds_give_the_same(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in result(spark, rows)} == want
 
 
+def test_deeper_lists_give_the_same(spark, monkeypatch):
+    """All that pivots leave goes to deeper sketches, of whole sets and of parts."""
+    monkeypatch.setattr(near_dups, "PIVOT_ROUNDS", 1)
+    monkeypatch.setattr(near_dups, "FEW", 0)
+    rows = corpus(3)
+    want = {i: c for i, (_, c) in brute(rows).items()}
+    for deep in (512, 64):
+        monkeypatch.setattr(near_dups, "DEEP", deep)
+        assert {r.doc_id: r.component_id for r in result(spark, rows)} == want
+
+
+def copies_of_one(n, seed=8):
+    """Edited copies of one text, most of which are linked with few others, and a shared passage."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(n):
+        copy = list(base)
+        for _ in range(rng.choice([2, 5, 9, 14])):
+            copy[rng.randrange(len(copy))] = f"e{rng.random()}"
+        rows.append((i, " ".join(copy)))
+    for i in range(n, 2 * n):
+        rows.append((i, " ".join(base[:60] + [f"u{i}-{j}" for j in range(rng.choice([4, 10, 25, 80]))])))
+    rng.shuffle(rows)
+    return rows
+
+
+def test_many_copies_and_a_passage(spark):
+    rows = copies_of_one(120)
+    want = {i: c for i, (_, c) in brute(rows).items()}
+    assert {r.doc_id: r.component_id for r in result(spark, rows)} == want
+
+
+def test_large_classes_travel_to_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "HOT_LEAST", 3)
+    monkeypatch.setattr(near_dups, "HOT_SHARE", 10)
+    rows = [(i, "a b c d e f") for i in range(9, 0, -1)] + [(20, "a b c d e f g h"), (21, None), (22, "")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in result(spark, rows)}
+    assert got == {**{i: (3, 1) for i in range(1, 10)}, 20: (5, 20), 21: (0, 21), 22: (0, 22)}
+
+
 def test_no_rows_nulls_and_repeats(spark):
     assert result(spark, []) == []
     rows = [(None, "x y z w v"), (None, ""), (4, "x y z w v"), (4, "x y z w v"), (9, None)]
