@@ -54,31 +54,24 @@ def draws(terms: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray, np.n
     return -np.log(a * b), np.log(-np.log(c * d)), offset
 
 
-def sampled(terms: np.ndarray, counts: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest key per sample, and the 16 bits of the word and quantum that has it."""
-    best = np.full(samples, np.inf, np.float32)
-    bits = np.zeros(samples, np.uint16)
-    at = np.arange(samples)
+def keys_of(terms: np.ndarray, counts: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray]:
+    """Key and quantum of every weighted word per sample."""
+    keys = np.empty((len(terms), samples), np.float32)
+    quanta = np.empty((len(terms), samples), np.float32)
     for k in range(0, len(terms), TERMS_AT_ONCE):
-        t = terms[k:k + TERMS_AT_ONCE]
-        r, log_c, offset = draws(t, samples)
-        quantum = np.floor(np.log(counts[k:k + TERMS_AT_ONCE].astype(np.float32))[:, None] / r + offset)
-        key = log_c - r * (quantum - offset) - r
-        row = key.argmin(axis=0)
-        least = key[row, at]
-        with np.errstate(over="ignore"):
-            name = bt.mix(t[row] + bt.mix(quantum[row, at].astype(np.int64).view(np.uint64), 64), 65)
-        better = least < best
-        best = np.where(better, least, best)
-        bits = np.where(better, (name >> np.uint64(48)).astype(np.uint16) | np.uint16(1), bits)
-    return best, bits
+        part = slice(k, k + TERMS_AT_ONCE)
+        r, log_c, offset = draws(terms[part], samples)
+        quantum = np.floor(np.log(counts[part].astype(np.float32))[:, None] / r + offset)
+        keys[part] = log_c - r * (quantum - offset) - r
+        quanta[part] = quantum
+    return keys, quanta
 
 
 def signatures(texts: pa.Array, samples: int = SAMPLES) -> np.ndarray:
     """One row of 16-bit samples per text.
 
-    Words seen once in a text have quantum 0 whatever their draws, so their keys
-    depend on the word alone and are drawn once per batch.
+    Keys depend on the word and its weight alone and are drawn once per batch.
+    Words seen once in a text have quantum 0 whatever their draws.
     """
     raw, starts = bt.flat(texts)
     begin, end, owner = bt.word_spans(raw, starts)
@@ -90,21 +83,37 @@ def signatures(texts: pa.Array, samples: int = SAMPLES) -> np.ndarray:
     for k in range(0, len(singles), TERMS_AT_ONCE):
         r, log_c, offset = draws(singles[k:k + TERMS_AT_ONCE], samples)
         keys[k:k + TERMS_AT_ONCE] = log_c + r * offset - r
+    repeated = [(u[c > 1], c[c > 1]) for u, c in sets]
+    pairs = np.zeros(sum(len(u) for u, _ in repeated), [("word", np.uint64), ("count", np.int64)])
+    if sets:
+        pairs["word"] = np.concatenate([u for u, _ in repeated])
+        pairs["count"] = np.concatenate([c for _, c in repeated])
+    weighted, place = np.unique(pairs, return_inverse=True)
+    many_keys, quanta = keys_of(weighted["word"], weighted["count"], samples)
+    ends = np.cumsum([0] + [len(u) for u, _ in repeated])
     at = np.arange(samples)
     out = np.zeros((len(sets), samples), np.uint16)
     with np.errstate(over="ignore"):
         zero = bt.mix(np.zeros(1, np.uint64), 64)
         for i, (u, c) in enumerate(sets):
-            best, bits = sampled(u[c > 1], c[c > 1], samples)
-            rows = np.searchsorted(singles, u[c == 1])
-            for k in range(0, len(rows), TERMS_AT_ONCE):
-                part = keys[rows[k:k + TERMS_AT_ONCE]]
-                row = part.argmin(axis=0)
-                least = part[row, at]
-                name = bt.mix(singles[rows[k:k + TERMS_AT_ONCE]][row] + zero, 65)
-                better = least < best
-                best = np.where(better, least, best)
-                bits = np.where(better, (name >> np.uint64(48)).astype(np.uint16) | np.uint16(1), bits)
+            best = np.full(samples, np.inf, np.float32)
+            bits = np.zeros(samples, np.uint16)
+            often = place[ends[i]:ends[i + 1]]
+            once = np.searchsorted(singles, u[c == 1])
+            for rows, key in ((often, many_keys), (once, keys)):
+                for k in range(0, len(rows), TERMS_AT_ONCE):
+                    some = rows[k:k + TERMS_AT_ONCE]
+                    part = key[some]
+                    row = part.argmin(axis=0)
+                    least = part[row, at]
+                    if rows is often:
+                        chosen = quanta[some[row], at].astype(np.int64).view(np.uint64)
+                        name = bt.mix(weighted["word"][some[row]] + bt.mix(chosen, 64), 65)
+                    else:
+                        name = bt.mix(singles[some[row]] + zero, 65)
+                    better = least < best
+                    best = np.where(better, least, best)
+                    bits = np.where(better, (name >> np.uint64(48)).astype(np.uint16) | np.uint16(1), bits)
             out[i] = bits
     return out
 
@@ -161,25 +170,27 @@ def dealt(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     plain = docs.select(ids.alias("_id"), F.col(f"`{text}`").alias("_text"))
     return (plain.mapInArrow(deal, "piece int, turn int, _id long, _z binary")
-            .repartition(width(spark), "piece").sortWithinPartitions("piece", "turn", "_id", "_z"))
+            .repartitionById(width(spark), "piece").sortWithinPartitions("piece", "turn", "_id", "_z"))
 
 
 def compared(batches, samples: int) -> Iterator[pa.RecordBatch]:
     """Rows of pieces in order, each with its edited text and its next row."""
     held = None
     for b in small_slices(batches):
-        texts = texts_of(b)
-        plain = [t.decode("utf-8", "replace") for t in texts.to_pylist()]
+        plain = [t.decode("utf-8", "replace") for t in texts_of(b).to_pylist()]
         rows = list(zip(b.column("piece").to_pylist(), b.column("turn").to_pylist(),
-                        b.column("_id").to_pylist(), plain, signatures(texts, samples)))
-        if held is not None:
-            rows.insert(0, held)
+                        b.column("_id").to_pylist(), plain))
+        ahead = [held[:4]] if held is not None else []
+        near = [(x, y) for x, y in zip(ahead + rows, (ahead + rows)[1:]) if x[0] == y[0] and x[1] == 0]
+        edited = [x[3][:len(x[3]) - len(x[3]) // 2] + y[3][:len(x[3]) // 2] for x, y in near]
+        # both at once, since an edited text has the words of its neighbours
+        signs = signatures(pa.array(plain + edited, pa.large_string()), samples)
+        rows = ([held] if held is not None else []) + [(*r, g) for r, g in zip(rows, signs)]
+        signs = signs[len(plain):]
         held = rows[-1]
         pairs = [(x, y) for x, y in zip(rows, rows[1:]) if x[0] == y[0] and x[1] == 0]
         if not pairs:
             continue
-        edited = [x[3][:len(x[3]) - len(x[3]) // 2] + y[3][:len(x[3]) // 2] for x, y in pairs]
-        signs = signatures(pa.array(edited, pa.large_string()), samples)
         columns = list(zip(*[
             (x[2], len(x[3]), hashlib.sha256(e.encode()).hexdigest(), shown(x[4]), shown(s),
              likeness(x[4], s), likeness(x[4], y[4])) for (x, y), e, s in zip(pairs, edited, signs)]))
