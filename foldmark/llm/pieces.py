@@ -10,8 +10,10 @@ up to there are final and are given out.
 
 A boundary before a white space that follows another character is always such
 a point, since no piece of the model runs across one (this is checked when the
-model is read).  The stretches between are therefore encoded on their own,
-and stretches that occur again are looked up.
+model is read).  The stretches between are therefore encoded on their own.
+Those that occur again are looked up; new short ones, of fewer characters than
+the window, go through the lattice side by side in arrays, one boundary at a
+time, and longer ones are streamed.
 
 Characters without a piece become byte pieces.  Decoding joins the pieces.
 
@@ -33,7 +35,11 @@ from foldmark.llm import bytetools as bt
 from foldmark.llm.near_dups import chunks
 
 MARK = "▁"
-KNOWN = 300_000
+KNOWN = 300_000  # pairs
+STRETCHES = 600_000  # stretches looked up
+SHORT = 64
+POINTS = 0x110000  # code points
+PLACES = 20  # bits of a place in the cache of pairs
 
 
 class Pieces:
@@ -49,8 +55,8 @@ class Pieces:
         self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
         self.byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         crossing = [p for p in self.ids if any(a != MARK == b for a, b in zip(p, p[1:]))]
-        if crossing or len(self.byte) != 256:
-            raise ValueError("pieces must not run across word starts, and all bytes need a piece")
+        if crossing or len(self.byte) != 256 or any(c not in self.ids for p in self.ids for c in p):
+            raise ValueError("pieces must not run across word starts, and all bytes and characters need a piece")
         self.longest = max(map(len, self.ids))
         self.whole = {p for p in self.ids if len(p) == 1 or self.merged(p) == [p]}
         ends: dict[str, set[int]] = {}
@@ -69,7 +75,28 @@ class Pieces:
         self.flat = np.frombuffer(b"".join(self.texts), np.uint8)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.edges: dict[tuple[str, bool], list[tuple[float, str]]] = {}  # two per piece at most
-        self.known: dict[str, np.ndarray] = {}
+        self.names = {i: p for p, i in self.ids.items()}
+        self.asked = np.full(1 << PLACES, -1, np.int64)  # pairs of ids, by place
+        self.fits = np.zeros(1 << PLACES, bool)
+        self.grown()
+        self.forget()
+
+    def forget(self) -> None:
+        """No stretches are known."""
+        # stretches by whether they open a text; ids of stretch k: stored[at[k]:at[k + 1]]
+        self.known: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        self.stored, self.at = np.zeros(1 << 16, np.int32), np.zeros(1, np.int64)
+
+    def grown(self) -> None:
+        """Pieces as a tree of characters: steps as sorted numbers, the piece that ends at a node."""
+        nodes: dict[str, int] = {"": 0}
+        for p in self.whole:
+            for n in range(1, len(p) + 1):
+                nodes.setdefault(p[:n], len(nodes))
+        step = np.array([nodes[p[:-1]] * POINTS + ord(p[-1]) for p in nodes if p], np.int64)
+        order = np.argsort(step)
+        self.steps, self.node = step[order], order + 1
+        self.ending = np.array([self.ids[p] if p in self.whole else -1 for p in nodes], np.int64)
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short string by its merges, best score first."""
@@ -195,15 +222,102 @@ class Pieces:
         if n > done:
             yield path(n, done)
 
-    def encoded(self, stretch: str) -> np.ndarray:
-        found = self.known.get(stretch)
-        if found is None:
-            if len(self.known) > KNOWN:
-                self.known.clear()
-            found = np.array([i for part in self.stream(stretch) for i in part], np.int32)
-            if len(stretch) <= 64:
-                self.known[stretch] = found
-        return found
+    def compatible_ids(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``compatible`` of pairs of ids; -1, a character without a piece, goes with all."""
+        pair = left * len(self.texts) + right
+        place = (bt.mix(pair.astype(np.uint64), 91) >> np.uint64(64 - PLACES)).astype(np.int64)
+        known = self.asked[place] == pair
+        out = np.where(known, self.fits[place], True)
+        open_ = np.flatnonzero(~known & (left >= 0) & (right >= 0))
+        if len(open_):
+            new, first, back = np.unique(pair[open_], return_index=True, return_inverse=True)
+            names, ask = self.names, open_[first]
+            found = np.array([self.compatible(names[a], names[b])
+                              for a, b in zip(left[ask].tolist(), right[ask].tolist())])
+            out[open_] = found[back]
+            # of several pairs at one place one stays, with its own answer
+            self.asked[place[ask]] = new
+            stays = self.asked[place[ask]] == new
+            self.fits[place[ask[stays]]] = found[stays]
+        return out
+
+    def side_by_side(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of stretches back to back and how many each has; all paths go on one boundary at a time."""
+        sizes = np.array([len(s) for s in stretches], np.int64)
+        points = np.frombuffer("".join(stretches).encode("utf-32-le"), np.uint32).astype(np.int64)
+        n, firsts = len(points), np.cumsum(sizes) - sizes
+        lane = np.repeat(np.arange(len(sizes)), sizes)
+        room = np.repeat(firsts + sizes, sizes) - np.arange(n)
+        # all pieces that lie in the stretches: where, how long, which
+        at, node = np.arange(n), np.zeros(n, np.int64)
+        found = []
+        for size in range(1, self.longest + 1):
+            keep = room[at] >= size
+            at, node = at[keep], node[keep]
+            step = node * POINTS + points[at + size - 1]
+            i = np.minimum(np.searchsorted(self.steps, step), len(self.steps) - 1)
+            hit = self.steps[i] == step
+            if size == 1:
+                lone = at[~hit]
+                found.append((lone, np.ones(len(lone), np.int64), np.full(len(lone), -1)))
+            at, node = at[hit], self.node[i[hit]]
+            ends = self.ending[node] >= 0
+            found.append((at[ends], np.full(ends.sum(), size), self.ending[node[ends]]))
+        start, size, piece = (np.concatenate(c) for c in zip(*found))
+        boundary = start + size - firsts[lane[start]]
+        order = np.lexsort((-size, start + size, boundary))
+        start, size, piece, boundary = start[order], size[order], piece[order], boundary[order]
+        cuts = np.searchsorted(boundary, np.arange(1, sizes.max(initial=0) + 2))
+        last, back = np.zeros(n, np.int64), np.zeros(n, np.int64)  # at the character before a boundary
+        for a, z in zip(cuts[:-1], cuts[1:]):
+            s, k, p = start[a:z], size[a:z], piece[a:z]
+            fits = (k == 1) | (s == firsts[lane[s]])
+            ask = np.flatnonzero(~fits)
+            fits[ask] = self.compatible_ids(last[s[ask] - 1], p[ask])
+            s, k, p = s[fits], k[fits], p[fits]
+            end = s + k - 1
+            head = np.ones(len(end), bool)  # the longest piece that fits
+            head[1:] = end[1:] != end[:-1]
+            last[end[head]], back[end[head]] = p[head], k[head]
+        # back along the pointers
+        on = np.zeros(n, bool)
+        end = (firsts + sizes - 1)[sizes > 0]
+        while len(end):
+            on[end] = True
+            before = end - back[end]
+            end = before[before >= firsts[lane[end]]]
+        ends = np.flatnonzero(on)
+        ids, owner = last[ends], lane[ends]
+        bare = np.flatnonzero(ids < 0)
+        if len(bare):
+            data = [[self.byte[b] for b in chr(c).encode()] for c in points[ends[bare]].tolist()]
+            times = np.ones(len(ids), np.int64)
+            times[bare] = [len(d) for d in data]
+            first = (np.cumsum(times) - times)[bare]
+            ids, owner = np.repeat(ids, times), np.repeat(owner, times)
+            for f, d in zip(first.tolist(), data):
+                ids[f:f + len(d)] = d
+        return ids.astype(np.int32), np.bincount(owner, minlength=len(sizes))
+
+    def numbered(self, words: list[str], opening: bool) -> np.ndarray:
+        """The number of each stretch under which its ids are stored."""
+        known = self.known[opening]
+        new = [w for w in words if w not in known]
+        extra = MARK if opening else ""
+        spelt = [extra + w.replace(" ", MARK) for w in new]
+        short = [i for i, w in enumerate(spelt) if len(w) <= SHORT]
+        long = [i for i, w in enumerate(spelt) if len(w) > SHORT]
+        parts, sizes = self.side_by_side([spelt[i] for i in short])
+        streamed = [np.array([i for part in self.stream(spelt[k]) for i in part], np.int32) for k in long]
+        for i, k in enumerate(short + long, len(self.at) - 1):
+            known[new[k]] = i
+        ends = self.at[-1] + np.cumsum(np.concatenate([sizes, [len(x) for x in streamed]]).astype(np.int64))
+        self.at = np.concatenate([self.at, ends])
+        if self.at[-1] > len(self.stored):
+            self.stored = np.concatenate([self.stored, np.zeros(int(self.at[-1]), np.int32)])
+        added = np.concatenate([parts, *streamed])
+        self.stored[self.at[-1] - len(added):self.at[-1]] = added
+        return np.array([known[w] for w in words], np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts back to back, and where each text's ids start."""
@@ -228,19 +342,17 @@ class Pieces:
             pa.py_buffer(np.ascontiguousarray(raw).tobytes()))
         # a stretch that opens a text gets the space that the model puts there
         opening = head[at]
-        order = np.concatenate([np.flatnonzero(opening), np.flatnonzero(~opening)])
         codes = np.empty(len(at), np.int64)
-        tables, shift = [], 0
-        for chosen, extra in ((np.flatnonzero(opening), MARK), (np.flatnonzero(~opening), "")):
-            coded = stretches.take(pa.array(chosen)).dictionary_encode()
-            codes[chosen] = coded.indices.to_numpy() + shift
-            words = coded.dictionary.to_pylist()
-            tables += [self.encoded(extra + w.replace(" ", MARK)) for w in words]
-            shift += len(words)
-        if not len(order):
+        if not len(at):
             return np.zeros(0, np.int32), np.zeros(len(starts), np.int64)
-        sizes = np.array([len(t) for t in tables])
-        ids = ragged(np.concatenate(tables), np.cumsum(sizes) - sizes, sizes, codes)
+        if len(self.at) > STRETCHES or len(self.stored) > 16 * STRETCHES:
+            self.forget()
+        for chosen, first_one in ((np.flatnonzero(opening), True), (np.flatnonzero(~opening), False)):
+            coded = stretches.take(pa.array(chosen)).dictionary_encode()
+            numbers = self.numbered(coded.dictionary.to_pylist(), first_one)
+            codes[chosen] = numbers[coded.indices.to_numpy()]
+        sizes = np.diff(self.at)
+        ids = ragged(self.stored, self.at[:-1], sizes, codes)
         total = np.concatenate([[0], np.cumsum(sizes[codes])])
         return ids, total[np.searchsorted(at, starts)]
 

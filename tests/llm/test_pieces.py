@@ -44,6 +44,21 @@ def test_window_is_given_out_early():
     assert len(parts) > 20 and sum(parts, []) == sum(p.stream("ab" * 3000), [])
 
 
+def test_arrays_follow_the_same_paths(monkeypatch):
+    p, rng = Pieces(MODEL), random.Random(5)
+    words = ["", "▁", "🙂", "▁🙂é漢"] + ["".join(rng.choice("▁aabcdehilnrstu\n&é漢🙂\x00") for _ in range(rng.randint(1, 64)))
+                                      for _ in range(800)]
+    ids, sizes = p.side_by_side(words)
+    assert np.split(ids, np.cumsum(sizes))[-1].size == 0
+    for w, got in zip(words, np.split(ids, np.cumsum(sizes))):
+        assert got.tolist() == [i for part in p.stream(w) for i in part], w
+    # stretches are forgotten and found anew
+    texts = pa.array([" ".join(words[k:k + 9]) for k in range(0, 800, 9)] * 2)
+    want, _ = p.encode(texts)
+    monkeypatch.setattr(pieces, "STRETCHES", 5)
+    assert all((p.encode(texts)[0] == want).all() for _ in range(2))
+
+
 def test_edges_agree_with_merges():
     p, rng = Pieces(MODEL), random.Random(3)
     names = sorted(x for x in p.whole if x.isascii())
