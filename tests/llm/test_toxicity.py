@@ -25,6 +25,40 @@ def test_index_is_exact():
         assert len(set(at.tolist()) ^ {a for a, _ in want}) == 0 or np.isclose(near[-1], want[-1][1])
 
 
+def test_votes_equal_brute_force():
+    rng = random.Random(7)
+    names = [f"w{i}" for i in range(30)]
+    idf = np.array([1 + rng.random() for _ in names])
+    def counts():
+        return {t: rng.randint(1, 4) for t in rng.sample(range(30), rng.randint(0, 5))}
+    examples = [(i, int(rng.random() < 0.4), counts()) for i in range(300)]
+    settings = Settings(neighbours=5, block=16)
+    s = toxicity.Scorer(dict(zip(names, range(30))), idf, examples, {0: 900.0, 1: 100.0}, settings)
+
+    def unit(c):
+        v = np.zeros(30)
+        for t, n in c.items():
+            v[t] = (1 + np.log(n)) * idf[t]
+        return v / (np.sqrt((v * v).sum()) or 1)
+    rows = np.array([unit(examples[i][2]) for i in s.index.order])
+    toxic = np.array([examples[i][1] for i in s.index.order])
+
+    def vote(query, own=-1):
+        near = np.round(rows @ query, 9)
+        best = [i for i in np.argsort(-near, kind="stable") if near[i] > 0 and i != own][:5]
+        return (near[best] * toxic[best]).sum() / (near[best].sum() + settings.smoothing)
+    votes = np.array([round(vote(r, i), 9) for i, r in enumerate(rows)])
+    n = np.bincount(toxic)
+    steps, values = isotonic(votes, toxic.astype(float), np.array([900 / n[0], 100 / n[1]])[toxic])
+    asked = [counts() for _ in range(700)] + [{}]
+    texts = [" ".join(w for t, k in c.items() for w in [names[t]] * k) + " other" for c in asked]
+    for c, (score, evidence) in zip(asked, s.scores(texts)):
+        want = values[max(np.searchsorted(steps, round(vote(unit(c)), 9), side="right") - 1, 0)]
+        assert np.isclose(score, want)
+        near = np.sort(rows @ unit(c))[::-1][:3]
+        assert np.allclose([e[1] for e in evidence], near[near > 0])
+
+
 def test_isotonic_rises():
     x = np.array([0, 0, 1, 2, 3, 3, 4.0])
     steps, values = isotonic(x, np.array([0, 1, 0, 1, 0, 1, 1.0]), np.ones(7))
