@@ -18,7 +18,7 @@ of documents in ascending order of ids (their ids and lengths) and the blocks
 of their token ids.
 
 Defined results: a null text is empty and has only its end id; rows that share
-an id are ordered by their ids; a null id comes first; without rows there is an
+an id are ordered by their texts; a null id comes first; without rows there is an
 empty file set.
 """
 
@@ -380,10 +380,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 1, key:
         size = tokenizer_of(tokenizer).tokenizer.get_vocab_size()
         yield from packed_rows(batches, TaskContext.get().partitionId(), size)
 
-    ids = token_ids(docs, tokenizer, end, key, text)
-    spark = docs.sparkSession
-    (ids.repartitionByRange(width(spark), "_id").sortWithinPartitions("_id", "ids")
-     .mapInArrow(packed, ROW).write.parquet(path))
+    # ranges are drawn before there are tokens, so that every text is tokenised once
+    plain = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(FIRST)).alias("_id"),
+                        F.col(f"`{text}`").alias("_text"))
+    placed = plain.repartitionByRange(width(docs.sparkSession), "_id").sortWithinPartitions("_id", "_text")
+    token_ids(placed, tokenizer, end, "_id", "_text").mapInArrow(packed, ROW).write.parquet(path)
     return path
 
 
