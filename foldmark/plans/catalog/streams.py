@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from foldmark.plans import fixtures as fx
@@ -9,8 +11,10 @@ from foldmark.plans.catalog.base import query, rounded
 from foldmark.plans.catalog.journal import _REPLAY
 from foldmark.plans.catalog.sequences import HISTORY
 from foldmark.streaming.journal_counts import windowed_counts
-from foldmark.streaming.run import drain, source_table
-from foldmark.streaming.stateful import stream_history, stream_incumbent
+from foldmark.streaming.run import drain, drain_whole, source_table
+from foldmark.streaming.stateful import (
+    HISTORY as HISTORY_ROWS, closed_by_end, history_step, stream_history, stream_incumbent,
+)
 
 
 @query("s_journal_counts", f"""WITH {fx.JOURNAL}, c AS (
@@ -45,10 +49,9 @@ def s_incumbent(spark, folder):
 
 
 @query("s_since_last", f"""WITH {HISTORY} SELECT CAST(user_id AS VARCHAR) AS entity, event_id AS key,
-  CAST(cum AS BIGINT) AS cum_count, since AS since_last FROM h
-WHERE ts < (SELECT max(ts) FROM events) - {_DELAY}""")
+  CAST(cum AS BIGINT) AS cum_count, since AS since_last FROM h""")
 def s_since_last(spark, folder):
-    """Running history of every event that the watermark has passed."""
+    """Running history of every event, also of those still open when the input ends."""
     hit = (F.col("event_type") == "purchase").cast("int")
-    return drain(stream_history(source_table(spark, folder, "events"), "user_id", "ts", "event_id", hit),
-                 "history")
+    stream = stream_history(source_table(spark, folder, "events"), "user_id", "ts", "event_id", hit)
+    return drain_whole(stream, "history", partial(closed_by_end, step=history_step, schema=HISTORY_ROWS))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from foldmark.session import scratch_path
@@ -15,8 +17,8 @@ def source_table(spark: SparkSession, folder: str, name: str,
             .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
 
 
-def drain_counted(stream: DataFrame, name: str, mode: str = "append") -> tuple[DataFrame, int]:
-    """Process all available input into a parquet table and read it back; and
+def _drained(stream: DataFrame, name: str, mode: str) -> tuple[str, int]:
+    """Process all available input: where the table and the progress lie, and
     how many rows came behind the watermark and were dropped.
 
     Progress and state are kept in the shared folder, so a restart resumes.
@@ -34,10 +36,30 @@ def drain_counted(stream: DataFrame, name: str, mode: str = "append") -> tuple[D
     finally:
         spark.conf.set(kept, before)
     query.awaitTermination()
-    late = sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
-    return spark.read.schema(stream.schema).parquet(f"{base}/data"), late
+    return base, sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+
+
+def drain_counted(stream: DataFrame, name: str, mode: str = "append") -> tuple[DataFrame, int]:
+    """Process all available input into a parquet table and read it back; and
+    how many rows came behind the watermark and were dropped."""
+    base, late = _drained(stream, name, mode)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/data"), late
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """The table that :func:`drain_counted` leaves."""
     return drain_counted(stream, name, mode)[0]
+
+
+def drain_whole(stream: DataFrame, name: str, closed: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """Every row of a finite input: those that the watermark has passed, and
+    those still open at its end, which ``closed`` makes from the checkpoint.
+
+    A row that was dropped as late would be missing, so that is an error.
+    """
+    spark = stream.sparkSession
+    base, late = _drained(stream, name, "append")
+    if late:
+        raise ValueError(f"{late} rows came behind the watermark")
+    done = spark.read.schema(stream.schema).parquet(f"{base}/data")
+    return done.unionByName(closed(spark, f"{base}/progress"))
