@@ -30,7 +30,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from foldmark.constants import JOURNAL_TIME_FORMAT, MIN_IMPROVEMENT_SIGMAS, SIGMA_FLOOR
 
-BUCKETS = 512
+BUCKETS = 128
 STATE = "open binary, memory binary"
 
 # From the next rows, in order of their group, time and key, and the memory of
