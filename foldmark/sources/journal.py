@@ -46,16 +46,16 @@ def follow_journal(spark: SparkSession, path: str, place: str | None = None) ->
                 "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad",
                 "allowNonNumericNumbers": "true"}).alias("r"))
         bad = F.col("r").isNull() | F.col("r._bad").isNotNull() | F.col("r.event").isNull()
-        marked = parsed.withColumn("bad", bad).persist()
-        nan_to_null(marked.filter("NOT bad").select("r.*").drop("_bad")).write.mode("overwrite").parquet(
-            f"{place}/rows/batch={number}")
-        marked.filter("bad").select("value").write.mode("overwrite").parquet(f"{place}/bad/batch={number}")
-        marked.unpersist()
+        # parsed and written once, good and bad lines in folders of their own
+        good = nan_to_null(parsed.select(bad.alias("bad"), "value", "r.*").drop("_bad"))
+        (good.withColumn("value", F.when(F.col("bad"), F.col("value")))
+         .write.mode("overwrite").partitionBy("bad").parquet(f"{place}/lines/batch={number}"))
 
     (spark.readStream.text(path).writeStream.foreachBatch(take).trigger(availableNow=True)
      .option("checkpointLocation", f"{place}/progress").start().awaitTermination())
-    rows = spark.read.schema(JOURNAL_SCHEMA + ", batch int").parquet(f"{place}/rows")
-    return rows.drop("batch"), spark.read.schema("value string, batch int").parquet(f"{place}/bad").drop("batch")
+    lines = spark.read.schema("value string, " + JOURNAL_SCHEMA + ", batch int, bad boolean").parquet(
+        f"{place}/lines")
+    return lines.filter("NOT bad").drop("value", "batch", "bad"), lines.filter("bad").select("value")
 
 
 def append_journal(rows: DataFrame, path: str, by_run: bool = False) -> str:
