@@ -42,7 +42,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foldmark.llm import bytetools as bt
-from foldmark.llm.order import small, written
+from foldmark.llm.order import small, tidied, written
+from foldmark.session import discard, stored
 
 NO_ID = 2 ** 63 - 1
 PIVOT_ROUNDS = 2
@@ -252,15 +253,23 @@ def numbered(docs: DataFrame) -> DataFrame:
                                F.monotonically_increasing_id().alias("_row")), "numbered")
 
 
-def components(rows: DataFrame, like: Likeness, key: str, text: str) -> DataFrame:
-    """Of numbered rows: (_row, _key, n, component, least).
+def components(rows: DataFrame, like: Likeness, key: str, text: str) -> tuple[DataFrame, list[str]]:
+    """Of numbered rows: (_row, _key, n, component, least), and the paths of the
+    written tables that it is read from; all others are removed.
 
     A component has the smallest row number of it as its name; ``least`` is
     its smallest id.  An empty set is a component of its own.
     """
     ids = F.coalesce(F.col("_doc")[key].cast("long"), F.lit(NO_ID))
     docs = rows.select(F.col("_row").alias("_id"), ids.alias("_key"), F.col("_doc")[text].alias("_text"))
-    base = written(sketches(docs, like), "sketches")
+    base, at = stored(sketches(docs, like), "sketches")
+    with tidied(rows.sparkSession):
+        label, names = stored(class_labels(docs, base, like), "labels")
+    return labelled(base, label), [at, names]
+
+
+def class_labels(docs: DataFrame, base: DataFrame, like: Likeness) -> DataFrame:
+    """(component, n, d1, d2, copies, least) of every class of equal sets."""
     classes = written(base.filter("n > 0").groupBy("n", "d1", "d2")
                       .agg(F.min("_id").alias("rep"), F.min("_key").alias("least"),
                            F.count(F.lit(1)).alias("copies"),
@@ -295,8 +304,7 @@ def components(rows: DataFrame, like: Likeness, key: str, text: str) -> DataFram
     label = written(classes.join(names, "rep", "left").select(
         "n", "d1", "d2", "copies", "least", F.coalesce("component", "rep").alias("component")), "labels")
     least = label.groupBy("component").agg(F.min("least").alias("least"))
-    label = written(label.drop("least").join(small(written(least, "least")), "component"), "labels")
-    return labelled(base, label)
+    return label.drop("least").join(small(written(least, "least")), "component")
 
 
 def labelled(base: DataFrame, label: DataFrame) -> DataFrame:
@@ -391,7 +399,7 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), key: str = "do
                     text: str = "text") -> DataFrame:
     """Key, n_shingles, component_id and kept, one row per row of ``docs``."""
     rows = numbered(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")))
-    found = components(rows, like, key, text)
+    found, _ = components(rows, like, key, text)
     shown = {c: F.when(F.col(c) < F.lit(NO_ID), F.col(c)) for c in ("_key", "least")}
     return found.select(shown["_key"].alias(key), F.col("n").alias("n_shingles"),
                         shown["least"].alias("component_id"),
@@ -406,6 +414,9 @@ def one_of_each(docs: DataFrame, like: Likeness = Likeness(), key: str = "doc_id
     first by number; a row goes only for one of its own component.
     """
     rows = numbered(docs)
-    kept = written(components(rows, like, key, text).filter(F.col("_key") == F.col("least"))
+    found, paths = components(rows, like, key, text)
+    kept = written(found.filter(F.col("_key") == F.col("least"))
                    .groupBy("component").agg(F.min("_row").alias("_row")), "kept").select("_row")
+    for path in paths:
+        discard(docs.sparkSession, path)
     return rows.join(small(kept), "_row", "left_semi").select("_doc.*")

@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from foldmark.session import MAX_BROADCAST_ROWS, scratch_path
+from foldmark.session import MAX_BROADCAST_ROWS, discard, stored
+
+_TIDIED: list[list[str]] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read from there on."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    found, path = stored(df, name)
+    if _TIDIED:
+        _TIDIED[-1].append(path)
+    return found
+
+
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`written` makes inside are removed at the end; what is
+    read later has to be :func:`~foldmark.session.stored`."""
+    _TIDIED.append([])
+    try:
+        yield
+    finally:
+        for path in _TIDIED.pop():
+            discard(spark, path)
 
 
 def width(spark: SparkSession) -> int:
