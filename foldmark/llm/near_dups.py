@@ -200,7 +200,8 @@ def deeper_lists(members: DataFrame, sets: DataFrame, like: Likeness) -> DataFra
 
 def linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     """Of candidate pairs (a, b): those whose full sets are alike enough."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    # counted, and sent to both sides: written, so that pairs are taken apart once
+    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "needed")
     info = classes.select("rep", "n", "sketch").join(small(needed), "rep", "left_semi")
     a = info.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
     b = info.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))

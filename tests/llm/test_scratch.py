@@ -25,3 +25,10 @@ def test_near_dedup_leaves_only_what_is_read(spark):
     found = near_dups.near_duplicates(docs, Likeness(shingle=4))
     assert sorted(f[:4] for f in tables(spark) - before) == ["labe", "numb", "sket"]
     assert {r.doc_id: r.component_id for r in found.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+
+
+def test_pairs_are_taken_apart_once(spark, monkeypatch):
+    names, plain = [], near_dups.written
+    monkeypatch.setattr(near_dups, "written", lambda df, name: names.append(name) or plain(df, name))
+    near_dups.near_duplicates(spark.createDataFrame(ROWS, "doc_id long, text string"), Likeness(shingle=4))
+    assert names.count("needed") == names.count("found") > 0
