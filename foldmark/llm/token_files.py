@@ -133,7 +133,7 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
 def _encoded(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     n, sizes = len(blocks), np.array([len(b) for b in blocks])
     longest = int(sizes.max(initial=0))
-    starts, widths = np.zeros((longest, n), np.uint64), np.zeros((longest, n), np.uint64)
+    starts, widths = np.zeros((longest, n), np.uint32), np.zeros((longest, n), np.uint32)
     for i, b in enumerate(blocks):
         start, width = intervals(b.astype(np.int64), vocabulary)
         starts[:len(b), i], widths[:len(b), i] = start, width
@@ -318,22 +318,17 @@ def tokenizer_of(path: str) -> WordTokenizer:
     return _READ[path]
 
 
-def token_ids(docs: DataFrame, path: str, end: int, key: str, text: str) -> DataFrame:
-    """``_id`` and its ids as 16-bit numbers."""
-    def made(batches):
-        t = tokenizer_of(path)
-        for big in batches:
-            for b in chunks(big, "_text", 2_000_000):
-                ids, starts = t.encode(b.column("_text"), end)
-                if ids.max(initial=0) > 0xFFFF:
-                    raise ValueError("ids must be below 65,536")
-                data = ids.astype("<u2").tobytes()
-                yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(
-                    [data[2 * a:2 * z] for a, z in zip(starts[:-1], starts[1:])], pa.binary())],
-                    ["_id", "ids"])
-    plain = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(FIRST)).alias("_id"),
-                        F.col(f"`{text}`").alias("_text"))
-    return plain.mapInArrow(made, "_id long, ids binary")
+def token_ids(batches: Iterable[pa.RecordBatch], t: WordTokenizer, end: int) -> Iterator[pa.RecordBatch]:
+    """``_id`` and its ids as 16-bit numbers, a few million bytes of text at a time."""
+    for big in batches:
+        for b in chunks(big, "_text", 2_000_000):
+            ids, starts = t.encode(b.column("_text"), end)
+            if ids.max(initial=0) > 0xFFFF:
+                raise ValueError("ids must be below 65,536")
+            data = ids.astype("<u2").tobytes()
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(
+                [data[2 * a:2 * z] for a, z in zip(starts[:-1], starts[1:])], pa.binary())],
+                ["_id", "ids"])
 
 
 ROW = "piece int, seq int, doc_ids binary, lengths binary, blocks array<binary>"
@@ -377,14 +372,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 1, key:
                  text: str = "text") -> str:
     """Write the ids of all documents, in ascending order of their ids."""
     def packed(batches):
-        size = tokenizer_of(tokenizer).tokenizer.get_vocab_size()
-        yield from packed_rows(batches, TaskContext.get().partitionId(), size)
+        # one worker a task holds both the tokenizer and the blocks
+        t = tokenizer_of(tokenizer)
+        yield from packed_rows(token_ids(batches, t, end), TaskContext.get().partitionId(),
+                               t.tokenizer.get_vocab_size())
 
     # ranges are drawn before there are tokens, so that every text is tokenised once
     plain = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(FIRST)).alias("_id"),
                         F.col(f"`{text}`").alias("_text"))
     placed = plain.repartitionByRange(width(docs.sparkSession), "_id").sortWithinPartitions("_id", "_text")
-    token_ids(placed, tokenizer, end, "_id", "_text").mapInArrow(packed, ROW).write.parquet(path)
+    placed.mapInArrow(packed, ROW).write.parquet(path)
     return path
 
 

@@ -2,7 +2,9 @@
 
 import os
 
-from foldmark.llm import near_dups
+from public_tokenizers import path
+
+from foldmark.llm import near_dups, token_files
 from foldmark.llm.near_dups import Likeness
 from foldmark.session import checkpoint_dir
 
@@ -32,3 +34,12 @@ def test_pairs_are_taken_apart_once(spark, monkeypatch):
     monkeypatch.setattr(near_dups, "written", lambda df, name: names.append(name) or plain(df, name))
     near_dups.near_duplicates(spark.createDataFrame(ROWS, "doc_id long, text string"), Likeness(shingle=4))
     assert names.count("needed") == names.count("found") > 0
+
+
+def test_one_python_worker_tokenises_and_packs(spark, tmp_path, monkeypatch):
+    calls, kind = [], type(spark.range(0))
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **k: calls.append(1) or plain(self, *a, **k))
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
+    token_files.write_tokens(docs, str(tmp_path / "t"), path("word_bpe_49k.json"))
+    assert len(calls) == 1 and spark.read.parquet(str(tmp_path / "t")).count() > 0
