@@ -15,10 +15,12 @@ the most common; links that hold on the full sets form components, and lists
 whose members all lie in one component are done.  Other lists go on with
 another pivot while that pays.  In what is left, lists with few members outside
 their largest component compare those with every other component.  Members of
-other lists get deeper sketches (k = 512), which are whole sets for most texts,
-and lists of them under their rarest values, two kinds of places each: a pair
-must meet where the smaller set is among its first ninth of values, roughly, so
-texts that share only a passage do not meet, however many there are.  No link
+other lists get deeper sketches (k = 65,536), which are whole sets for nearly
+all texts, and lists of them under their rarest values, two kinds of places
+each: a pair must meet where the smaller set is among its first ninth of
+values, roughly, so texts that share only a passage do not meet, however many
+there are.  Whole sets also tell which member of a list is the most central;
+once all others were compared with it, few pairs of components meet.  No link
 between components is missed, and groups of thousands of copies cost one
 comparison per member and round.
 
@@ -36,6 +38,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +51,7 @@ from foldmark.session import discard, stored
 NO_ID = 2 ** 63 - 1
 PIVOT_ROUNDS = 2
 FEW = 8  # members outside the largest component that a list compares with all others
-DEEP = 512  # retained values of the deeper sketches
+DEEP = 1 << 16  # retained values of the deeper sketches
 NEED = 8
 HOT_SHARE = 1000  # a class with more than this part of the rows is not shuffled
 HOT_LEAST = 10_000
@@ -171,7 +174,7 @@ def inverted_lists(classes: DataFrame, like: Likeness) -> DataFrame:
 
 
 def deeper_lists(members: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
-    """(v, rep, component, n, place, first) under the rarest values of deeper sketches.
+    """(v, rep, component, n, central, place, first) under the rarest values of deeper sketches.
 
     ``members``: (rep, component).  The rarest value that two linked sets share
     has at most as many values of either before it as they may differ in.
@@ -185,17 +188,19 @@ def deeper_lists(members: DataFrame, sets: DataFrame, like: Likeness) -> DataFra
     often = kept.groupBy("v").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     size, n = F.least("n", F.lit(like.k)), F.col("n")
     found = (kept.join(often, "v").groupBy("rep", "component", "n")
-             .agg(F.sort_array(F.collect_list(F.struct("often", "v"))).alias("vs"))
+             .agg(F.sort_array(F.collect_list(F.struct("often", "v"))).alias("vs"),
+                  F.sum("often").alias("common"))
+             .withColumn("central", F.col("common") / size)
              # values of one document come first
              .withColumn("alone", size - F.size("vs")))
     places = F.greatest(size - like.shared(n) + 1 - F.col("alone"), F.lit(0)).cast("int")
-    listed = found.select("rep", "component", "n", "alone",
+    listed = found.select("rep", "component", "n", "central", "alone",
                           F.posexplode(F.slice("vs", F.lit(1), places)).alias("at", "x"))
     place = F.col("alone") + F.col("at")
     # with a set at least as large: intersection >= percent / (100 + percent) * 2n
     first = (n > like.whole()) | ((n - place) * (100 + like.percent) >= 2 * like.percent * n)
-    return listed.select(F.col("x.v").alias("v"), "rep", "component", "n", place.alias("place"),
-                         first.alias("first"))
+    return listed.select(F.col("x.v").alias("v"), "rep", "component", "n", "central",
+                         place.alias("place"), first.alias("first"))
 
 
 def linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
@@ -283,20 +288,28 @@ def class_labels(docs: DataFrame, base: DataFrame, like: Likeness) -> DataFrame:
     listed = at.select(F.col("rep").alias("_id")).distinct()
     sets = written(full_sets(docs.join(small(listed), "_id", "left_semi"), like)
                    .withColumnRenamed("_id", "rep"), "sets")
-    links, names = None, None
+    found, names = [], None
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Components by all links found so far and those among ``pairs``."""
+        found.append(written(linked(written(pairs, "pairs"), classes, sets, like), "found"))
+        return contracted(reduce(DataFrame.unionByName, found))
+
     for turn in range(PIVOT_ROUNDS + 1):
         if at.isEmpty():
             break
         last = turn == PIVOT_ROUNDS or turn > 0 and crossing(at).agg(
             F.sum("pairs")).first()[0] <= 2 * size
-        pairs = written(remaining(at, sets, like) if last else against_pivot(at, turn), "pairs")
-        found = written(linked(pairs, classes, sets, like), "found")
-        links = found if links is None else links.unionByName(found)
-        names = contracted(links)
         if last:
+            short, deep = left_over(at)
+            deeper = written(deeper_lists(deep, sets, replace(like, k=DEEP)), "deeper-lists")
+            if not deeper.isEmpty():
+                # what is not linked with the most central set has few places to meet others in
+                deeper = written(renamed(deeper, compared(against_pivot(deeper, 0))), "deeper-lists")
+            names = compared(against_others(short).union(against_deeper(deeper, like)).distinct())
             break
-        at = (at.drop("component").join(names, "rep", "left")
-              .withColumn("component", F.coalesce("component", "rep")))
+        names = compared(against_pivot(at, turn))
+        at = renamed(at, names)
         several = (at.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
                    .filter("lo < hi").select("v"))
         at = written(at.join(several, "v"), "open")
@@ -350,8 +363,14 @@ def crossing(at: DataFrame) -> DataFrame:
                     ((F.col("all") - F.col("top.m")) * F.col("all")).alias("pairs")))
 
 
-def remaining(at: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
-    """Every pair of different components that may still be linked.
+def renamed(at: DataFrame, names: DataFrame) -> DataFrame:
+    """With the component of every member by ``names``; one that has none is its own."""
+    return (at.drop("component").join(names, "rep", "left")
+            .withColumn("component", F.coalesce("component", "rep")))
+
+
+def left_over(at: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Short lists, and the members of the others: (rep, component).
 
     A pair of which one member is in short lists only meets in those; all
     other pairs meet in the lists of deeper sketches.
@@ -362,7 +381,7 @@ def remaining(at: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     marked = (at.join(lists.filter(F.col("minor") <= FEW).select("v", "main"), "v")
               .join(small(deep.select("rep", F.lit(True).alias("deep"))), "rep", "left")
               .withColumn("deep", F.coalesce("deep", F.lit(False))))
-    return against_others(marked).union(against_deeper(deep, sets, replace(like, k=DEEP))).distinct()
+    return marked, deep
 
 
 def against_others(at: DataFrame) -> DataFrame:
@@ -380,14 +399,13 @@ def against_others(at: DataFrame) -> DataFrame:
             .filter("m >= need").select("a", "b"))
 
 
-def against_deeper(members: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+def against_deeper(lists: DataFrame, like: Likeness) -> DataFrame:
     """Pairs that share a value where linked sets would share their rarest one."""
-    lists = written(deeper_lists(members, sets, like), "deeper-lists")
     x = lists.select("v", F.col("rep").alias("x"), F.col("component").alias("cx"),
                      F.col("n").alias("nx"), F.col("place").alias("px"))
     # what comes after the places in whole sets bounds the intersection
     after = F.least(F.col("n") - F.col("place"), F.col("nx") - F.col("px"))
-    possible = (F.col("nx") > like.k) | (
+    possible = (F.col("nx") > DEEP) | (
         after * (100 + like.percent) >= (F.col("n") + F.col("nx")) * like.percent)
     pairs = lists.filter("first").join(
         x, (lists.v == x.v) & (F.col("component") != F.col("cx"))

@@ -109,6 +109,30 @@ def test_many_copies_and_a_passage(spark):
     assert {r.doc_id: r.component_id for r in result(spark, rows)} == want
 
 
+def test_candidates_grow_with_the_group(spark, monkeypatch):
+    """Without earlier rounds, a group of edited copies gives no pairs of all its members."""
+    monkeypatch.setattr(near_dups, "PIVOT_ROUNDS", 0)
+    made = []
+    linked = near_dups.linked
+
+    def counted(pairs, *more):
+        made.append(pairs.count())
+        return linked(pairs, *more)
+
+    monkeypatch.setattr(near_dups, "linked", counted)
+    rng = random.Random(9)
+    base, rows = [f"w{i}" for i in range(700)], []
+    for i in range(150):
+        copy = list(base)
+        for at in rng.sample(range(700), rng.choice([3, 8, 12, 30, 40])):
+            copy[at] = f"e{rng.random()}"
+        rows.append((i, " ".join(copy)))
+    want = {i: c for i, (_, c) in brute(rows).items()}
+    assert len(set(want.values())) > 20
+    assert {r.doc_id: r.component_id for r in result(spark, rows)} == want
+    assert sum(made) <= 5 * len(rows)  # of 11,175 pairs
+
+
 def test_large_classes_travel_to_their_rows(spark, monkeypatch):
     monkeypatch.setattr(near_dups, "HOT_LEAST", 3)
     monkeypatch.setattr(near_dups, "HOT_SHARE", 10)
