@@ -33,6 +33,7 @@ from foldmark.llm.repeats import small_slices, texts_of
 
 SAMPLES = 128
 TERMS_AT_ONCE = 2048
+DRAWN_AT_ONCE = 256  # their draws stay in a core's cache
 FIRST = -2 ** 63
 
 
@@ -58,8 +59,8 @@ def keys_of(terms: np.ndarray, counts: np.ndarray, samples: int) -> tuple[np.nda
     """Key and quantum of every weighted word per sample."""
     keys = np.empty((len(terms), samples), np.float32)
     quanta = np.empty((len(terms), samples), np.float32)
-    for k in range(0, len(terms), TERMS_AT_ONCE):
-        part = slice(k, k + TERMS_AT_ONCE)
+    for k in range(0, len(terms), DRAWN_AT_ONCE):
+        part = slice(k, k + DRAWN_AT_ONCE)
         r, log_c, offset = draws(terms[part], samples)
         quantum = np.floor(np.log(counts[part].astype(np.float32))[:, None] / r + offset)
         keys[part] = log_c - r * (quantum - offset) - r
@@ -67,6 +68,11 @@ def keys_of(terms: np.ndarray, counts: np.ndarray, samples: int) -> tuple[np.nda
     return keys, quanta
 
 
+def sample_bits(names: np.ndarray) -> np.ndarray:
+    """16 bits of names, never all zero."""
+    return (names >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
+
+
 def signatures(texts: pa.Array, samples: int = SAMPLES) -> np.ndarray:
     """One row of 16-bit samples per text.
 
@@ -80,9 +86,9 @@ def signatures(texts: pa.Array, samples: int = SAMPLES) -> np.ndarray:
     sets = [np.unique(words[a:z], return_counts=True) for a, z in zip(cuts[:-1], cuts[1:])]
     singles = np.unique(np.concatenate([u[c == 1] for u, c in sets])) if sets else words[:0]
     keys = np.empty((len(singles), samples), np.float32)
-    for k in range(0, len(singles), TERMS_AT_ONCE):
-        r, log_c, offset = draws(singles[k:k + TERMS_AT_ONCE], samples)
-        keys[k:k + TERMS_AT_ONCE] = log_c + r * offset - r
+    for k in range(0, len(singles), DRAWN_AT_ONCE):
+        r, log_c, offset = draws(singles[k:k + DRAWN_AT_ONCE], samples)
+        keys[k:k + DRAWN_AT_ONCE] = log_c + r * offset - r
     repeated = [(u[c > 1], c[c > 1]) for u, c in sets]
     pairs = np.zeros(sum(len(u) for u, _ in repeated), [("word", np.uint64), ("count", np.int64)])
     if sets:
@@ -95,26 +101,31 @@ def signatures(texts: pa.Array, samples: int = SAMPLES) -> np.ndarray:
     out = np.zeros((len(sets), samples), np.uint16)
     with np.errstate(over="ignore"):
         zero = bt.mix(np.zeros(1, np.uint64), 64)
-        for i, (u, c) in enumerate(sets):
-            best = np.full(samples, np.inf, np.float32)
-            bits = np.zeros(samples, np.uint16)
-            often = place[ends[i]:ends[i + 1]]
-            once = np.searchsorted(singles, u[c == 1])
-            for rows, key in ((often, many_keys), (once, keys)):
-                for k in range(0, len(rows), TERMS_AT_ONCE):
-                    some = rows[k:k + TERMS_AT_ONCE]
-                    part = key[some]
-                    row = part.argmin(axis=0)
-                    least = part[row, at]
-                    if rows is often:
-                        chosen = quanta[some[row], at].astype(np.int64).view(np.uint64)
-                        name = bt.mix(weighted["word"][some[row]] + bt.mix(chosen, 64), 65)
-                    else:
-                        name = bt.mix(singles[some[row]] + zero, 65)
-                    better = least < best
-                    best = np.where(better, least, best)
-                    bits = np.where(better, (name >> np.uint64(48)).astype(np.uint16) | np.uint16(1), bits)
-            out[i] = bits
+        single_bits = sample_bits(bt.mix(singles + zero, 65))
+    # names of samples that repeated words give are made once for all texts
+    picked = np.full((len(sets), samples), -1)
+    for i, (u, c) in enumerate(sets):
+        best = np.full(samples, np.inf, np.float32)
+        often = place[ends[i]:ends[i + 1]]
+        once = np.searchsorted(singles, u[c == 1])
+        for rows, key in ((often, many_keys), (once, keys)):
+            for k in range(0, len(rows), TERMS_AT_ONCE):
+                some = rows[k:k + TERMS_AT_ONCE]
+                part = key.take(some, axis=0)
+                row = part.argmin(axis=0)
+                least = part[row, at]
+                better = least < best
+                best = np.where(better, least, best)
+                if rows is often:
+                    picked[i] = np.where(better, some[row], picked[i])
+                else:
+                    picked[i, better] = -1
+                    out[i] = np.where(better, single_bits[some[row]], out[i])
+    texts_at, samples_at = np.nonzero(picked >= 0)
+    word = picked[texts_at, samples_at]
+    chosen = quanta[word, samples_at].astype(np.int64).view(np.uint64)
+    with np.errstate(over="ignore"):
+        out[texts_at, samples_at] = sample_bits(bt.mix(weighted["word"][word] + bt.mix(chosen, 64), 65))
     return out
 
 

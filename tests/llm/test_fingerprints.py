@@ -25,6 +25,25 @@ def test_collisions_follow_weighted_jaccard():
     assert abs(np.mean(errors)) < 0.015 and np.max(np.abs(errors)) < 0.15
 
 
+def test_hashing_does_not_grow_with_texts(monkeypatch):
+    """Words are hashed once for all texts; every text gets what it gets alone."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(90)]
+    texts = [" ".join(words + rng.choices(words, k=40)) for _ in range(60)] + ["", None, "a a b"]
+    calls = []
+    mix = fp.bt.mix
+
+    def counted(*args, **more):
+        calls.append(1)
+        return mix(*args, **more)
+
+    monkeypatch.setattr(fp.bt, "mix", counted)
+    together = fp.signatures(pa.array(texts))
+    assert len(calls) < len(texts)
+    alone = [fp.signatures(pa.array([t], pa.string()))[0] for t in texts]
+    assert (together == np.array(alone)).all()
+
+
 def report(spark, rows):
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, piece int")
     got = fp.edit_report(docs.repartition(3)).collect()
