@@ -1,17 +1,22 @@
 """Token ids in compressed files: context mixing and a range coder.
 
-A block holds about BLOCK ids and depends on no other block.  Three models
+A block holds at most BLOCK ids and depends on no other block.  Three models
 predict the next id: the id that last followed the last two ids (order 2), the
 one that last followed the last id (order 1), and how often each id occurred
 (order 0).  Their predictions are mixed with weights learnt in the same
-situation (whether the first two have a prediction, and were right last time),
-and the mixture drives a range coder with one step per id.  Predictions follow
-every id; counts and weights are renewed after every STEP ids.  All arithmetic
-is on integers, so files read the same everywhere.
+situation (how often the first two were right in a row, and whether they agree),
+and the mixture drives a range coder (rANS) with one step per id.
+
+A block is cut into lanes of about LANE ids that are coded side by side and
+share the models.  Orders 1 and 2 and the weights are renewed after every STEP
+ids of the lanes (at first after every one, every two, ...), counts whenever
+they have grown by a quarter; both from all lanes.  Between renewals the models
+stand still, so a step is array work over all lanes.  All arithmetic is on
+integers, so files read the same everywhere.
 
 A block record is: magic, number of ids, size of the vocabulary, crc32 of the
-ids as little-endian 32-bit numbers, number of words, then 16-bit words.  Blocks are coded side by
-side, one per lane of the arrays.
+ids as little-endian 32-bit numbers, number of words, then 32-bit words: low and
+high half of each lane's last state, then what decoding reads, in its order.
 
 Files are written by Spark's writer to the shared folder: each row holds a run
 of documents in ascending order of ids (their ids and lengths) and the blocks
@@ -19,14 +24,16 @@ of their token ids.
 
 Defined results: a null text is empty and has only its end id; rows that share
 an id are ordered by their texts; a null id comes first; without rows there is an
-empty file set.
+empty file set.  Ids of 65,536 or more are an error.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,30 +43,31 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from foldmark.llm import bytetools as bt
 from foldmark.llm.near_dups import chunks
 from foldmark.llm.order import small, width
-from foldmark.llm.pieces import ragged
 from foldmark.session import scratch_path
 
-MAGIC = b"FTB1"
+MAGIC = b"FTB2"
 HEAD = struct.Struct("<4sIIII")
-BLOCK = 8192
-LANES = 256
-STEP = 1024
-SLOTS = 1 << 14
+BLOCK = 1 << 20
+LANE = 512
+STEP = 8
+ROW_IDS = 1 << 21
 COUNT = 192
 TOTAL = 24  # bits of a coding interval
 PART = 12  # of them, bits of a weight
-CERTAIN = 3500  # most of 2 ** PART that orders 1 and 2 may get
+PLAIN = 18  # bits of an order 0 interval
+CERTAIN = 4000  # most of 2 ** PART that orders 1 and 2 may get
+LEAST = 1 << 31  # a lane's state lies from here to LEAST << 32
 FIRST = -2 ** 63
-KNOWN = 300_000
-
+KNOWN = 1_000_000
 
-def slots(last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Table places of the contexts of order 1 and 2."""
-    with np.errstate(over="ignore"):
-        one = bt.mix(last.astype(np.uint64), 71)
-        two = bt.mix(one ^ (before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), 72)
-    shift = np.uint64(64 - SLOTS.bit_length() + 1)
-    return (one >> shift).astype(np.int64), (two >> shift).astype(np.int64)
+#: Situations: 4 * state of order 2 + state of order 1, and 16 more where they agree.
+STATES = np.arange(32)
+NO_TWO = STATES % 16 < 4
+NO_ONE = (STATES % 4 == 0) | (STATES >= 16) & ~NO_TWO
+IDS = 0xFFFFFF << 2  # bits of an entry that are the id
+#: State of an entry after an id, by situation and (second half) whether it was right.
+AFTER2, AFTER1 = (np.concatenate([np.ones(32, np.int64), np.where(old == 0, 1, np.minimum(old + 1, 3))])
+                  for old in (STATES % 16 // 4, STATES % 4))
 
 
 def first_counts(vocabulary: int) -> np.ndarray:
@@ -68,245 +76,379 @@ def first_counts(vocabulary: int) -> np.ndarray:
 
 
 def weights(n: np.ndarray, two: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of orders 2 and 1 by situation (last axis: 3 * order 2 + order 1)."""
+    """Weights of orders 2 and 1 by situation."""
     w2 = np.maximum(CERTAIN * (4 * two + 1) // (4 * n + 8), 1)
     w1 = np.maximum(CERTAIN * (4 * one + 1) // (4 * n + 8), 1)
-    w2[..., :3] = 0  # no prediction
-    w1[..., ::3] = 0
+    w2[NO_TWO] = 0  # no prediction
+    w1[NO_ONE] = 0
     return w2, w1
 
 
-def chained(slot: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per id: was it predicted by what last followed its context; situation 0 to 2."""
-    order = np.argsort(slot, kind="stable")
-    same = np.flatnonzero(slot[order[1:]] == slot[order[:-1]])
-    before = np.full(len(ids), -1)
-    before[order[same + 1]] = order[same]
-    hit = (before >= 0) & (ids == ids[before])
-    return hit, np.where(before < 0, 0, 1 + hit[before])
-
-
-def intervals(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and width of every id of a block, of 2 ** TOTAL."""
-    last, before = (np.concatenate([np.full(k, 0xFFFF), ids])[:len(ids)] for k in (1, 2))
-    one, two = slots(last, before)
-    hit1, case1 = chained(one, ids)
-    hit2, case2 = chained(two, ids)
-    hit1 &= ~hit2
-    case = 3 * case2 + case1
-    start, width = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
-    count = first_counts(vocabulary)
-    seen = np.zeros((3, 9), np.int64)
-    for a in range(0, len(ids), STEP):
-        part = slice(a, a + STEP)
-        i, c = ids[part], case[part]
-        w2, w1 = (w[c] << PART for w in weights(*seen))
-        ends = np.cumsum(count)
-        base = w2 + w1
-        rest = (1 << TOTAL) - base
-        low = base + (ends[i] - count[i]) * rest // ends[-1]
-        high = base + ends[i] * rest // ends[-1]
-        start[part] = np.where(hit2[part], 0, np.where(hit1[part], w2, low))
-        width[part] = np.where(hit2[part], w2, np.where(hit1[part], w1, high - low))
-        np.add.at(count, i, COUNT)
-        seen += [np.bincount(c, minlength=9), np.bincount(c[hit2[part]], minlength=9),
-                 np.bincount(c[hit1[part]], minlength=9)]
-    return start, width
-
-
-def in_lanes(work, items: list, sizes: list[int]) -> list:
-    """``work`` on groups of at most LANES items, longest first in each; in the given order."""
-    order = sorted(range(len(items)), key=lambda i: -sizes[i])
-    out: list = [None] * len(items)
-    for k in range(0, len(order), LANES):
-        group = order[k:k + LANES]
-        for i, r in zip(group, work([items[i] for i in group])):
-            out[i] = r
-    return out
+class Mixture:
+    """What the ids coded so far say about the next ones; both directions use it.
+
+    An entry of order 1 or 2 is its place in the order of learning, the id, and
+    a state: 0 nothing yet, 1 wrong last time, 2 right once, 3 right more often.
+    The largest entry of a context is its latest, in whatever order they come.
+    """
+
+    def __init__(self, n: int, vocabulary: int):
+        if vocabulary >= 1 << PLAIN:
+            raise ValueError(f"a vocabulary must be smaller than {1 << PLAIN}")
+        bits = min(max(n.bit_length(), 8), 20)
+        self.shift = 64 - bits
+        self.two = np.zeros(1 << bits, np.int64)
+        self.one = np.zeros(vocabulary + 1, np.int64)
+        self.count = first_counts(vocabulary)
+        self.seen = np.zeros((3, 32), np.int64)
+        self.learnt = self.counted = 0
+        self._weigh()
+        self._order0()
+
+    def _weigh(self) -> None:
+        self.w2, self.w1 = (w << PART for w in weights(*self.seen))
+        self.base = self.w2 + self.w1
+        self.rest = (1 << TOTAL) - self.base
+
+    def _order0(self) -> None:
+        """Intervals of 2 ** PLAIN by counts, one at least for each id."""
+        n = len(self.count)
+        ends = np.cumsum(self.count)
+        scale = (((1 << PLAIN) - n) << 30) // int(ends[-1])
+        self.ends = np.zeros(n + 1, np.int64)
+        self.ends[1:] = (ends * scale >> 30) + np.arange(1, n + 1)
+        self.ends[-1] = 1 << PLAIN
+        self.at = None
+
+    def inverse(self) -> np.ndarray:
+        """The id at each place of the order 0 intervals."""
+        if self.at is None:
+            self.at = np.repeat(np.arange(len(self.count)), np.diff(self.ends))
+        return self.at
+
+    def slots(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Table places of contexts of order 2."""
+        key = (last << 20) + before
+        return (key.view(np.uint64) * bt.BASE >> np.uint64(self.shift)).view(np.int64)
+
+    def look(self, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Slot of order 2, ids of orders 2 and 1, the situation."""
+        slot = self.slots(last, before)
+        e2, e1 = self.two.take(slot), self.one.take(last)
+        case = ((e2 & 3) << 2) | (e1 & 3)
+        e2, e1 = e2 & IDS, e1 & IDS
+        case[e2 == e1] += 16
+        return slot, e2 >> 2, e1 >> 2, case
+
+    def learn(self, ids: np.ndarray, last: np.ndarray, slot: np.ndarray, p2: np.ndarray,
+              p1: np.ndarray, case: np.ndarray) -> None:
+        """Take in ids (flat, in their order) and what was looked up for them."""
+        right2, right1 = p2 == ids, p1 == ids
+        fresh = np.arange(self.learnt + 1, self.learnt + 1 + len(ids)) << 32
+        fresh |= ids << 2
+        np.maximum.at(self.two, slot, fresh | AFTER2.take(case + 32 * right2))
+        np.maximum.at(self.one, last, fresh | AFTER1.take(case + 32 * right1))
+        right1 &= ~right2
+        which = np.bincount(case + 32 * right2 + 64 * right1, minlength=96).reshape(3, 32)
+        self.seen += [which.sum(axis=0), which[1], which[2]]
+        self._weigh()
+        np.add.at(self.count, ids, COUNT)
+        self.learnt += len(ids)
+        if 4 * (self.learnt - self.counted) >= self.counted:
+            self._order0()
+            self.counted = self.learnt
+
+
+def shape(n: int) -> tuple[int, int, int]:
+    """Lanes of a block of ``n`` ids, steps, and how many lanes take the last step."""
+    lanes = max(1, n // LANE)
+    steps = -(-n // lanes)
+    return lanes, steps, n - lanes * (steps - 1) if n else 0
+
+
+def renewals(steps: int) -> Iterator[tuple[int, int]]:
+    """Steps from one renewal of the models to the next; the last step, which not
+    all lanes may take, stands alone."""
+    a = 0
+    while a < steps - 1:
+        z = min(a + min(max(a, 1), STEP), steps - 1)
+        yield a, z
+        a = z
+    if steps:
+        yield a, steps
 
 
 def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
-    """Records of blocks of ids below ``vocabulary``, coded side by side."""
-    return in_lanes(lambda b: _encoded(b, vocabulary), blocks, [len(b) for b in blocks])
-
-
-def _encoded(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
-    n, sizes = len(blocks), np.array([len(b) for b in blocks])
-    longest = int(sizes.max(initial=0))
-    starts, widths = np.zeros((longest, n), np.uint32), np.zeros((longest, n), np.uint32)
-    for i, b in enumerate(blocks):
-        start, width = intervals(b.astype(np.int64), vocabulary)
-        starts[:len(b), i], widths[:len(b), i] = start, width
-    low, span = np.zeros(n, np.uint64), np.full(n, 1 << 48, np.uint64)
-    words = np.zeros((longest * 2 + 4, n), np.uint32)
-    filled = np.zeros(n, np.int64)
-    lower, least, half = np.uint64((1 << 32) - 1), np.uint64(1 << 32), np.uint64(16)
-
-    def emit(chosen: np.ndarray) -> None:
-        # a carry may still be in the word; it is passed on at the end
-        words[filled[chosen], chosen] = low[chosen] >> np.uint64(32)
-        filled[chosen] += 1
-        low[chosen] = (low[chosen] & lower) << half
-
-    for t in range(longest):
-        k = int(np.searchsorted(-sizes, -t, side="left"))  # blocks longer than t come first
-        unit = span[:k] >> np.uint64(TOTAL)
-        low[:k] += unit * starts[t, :k]
-        span[:k] = unit * widths[t, :k]
-        short = np.flatnonzero(span[:k] < least)
-        while len(short):
-            emit(short)
-            span[short] <<= half
-            short = short[span[short] < least]
-    for _ in range(3):
-        emit(np.arange(n))
-    out = []
-    for i, b in enumerate(blocks):
-        w = words[:filled[i], i].astype(np.uint64)
-        while (w >> half).any():
-            carry = w >> half
-            w &= np.uint64(0xFFFF)
-            w[:-1] += carry[1:]
-        crc = zlib.crc32(b.astype("<u4").tobytes())
-        out.append(HEAD.pack(MAGIC, len(b), vocabulary, crc, len(w)) + w.astype("<u2").tobytes())
-    return out
+    """Records of blocks of ids below ``vocabulary``."""
+    return [_encoded(b, vocabulary) for b in blocks]
+
+
+def _encoded(block: np.ndarray, vocabulary: int) -> bytes:
+    n = len(block)
+    lanes, steps, full = shape(n)
+    grid = np.full((steps + 2, lanes), vocabulary, np.int64)  # two unknown ids come first
+    if steps:
+        flat = np.asarray(block).astype(np.int64)
+        grid[2:, :full] = flat[:full * steps].reshape(full, steps).T
+        grid[2:-1, full:] = flat[full * steps:].reshape(lanes - full, steps - 1).T
+    m = Mixture(n, vocabulary)
+    starts, widths = [], []
+    for a, z in renewals(steps):
+        k = lanes if z < steps else full
+        ids, last, before = (np.ascontiguousarray(grid[a + d:z + d, :k]).ravel() for d in (2, 1, 0))
+        slot, p2, p1, case = m.look(last, before)
+        w2, w1, rest = m.w2.take(case), m.w1.take(case), m.rest.take(case)
+        start = m.ends.take(ids) * rest >> PLAIN
+        wide = (m.ends.take(ids + 1) * rest >> PLAIN) - start
+        start += m.base.take(case)
+        hit = np.flatnonzero((p1 == ids) & (w1 > 0))
+        start[hit], wide[hit] = w2[hit], w1[hit]
+        hit = np.flatnonzero((p2 == ids) & (w2 > 0))
+        start[hit], wide[hit] = 0, w2[hit]
+        starts.append(start.reshape(z - a, k).view(np.uint64))
+        widths.append(wide.reshape(z - a, k).view(np.uint64))
+        if z < steps:
+            m.learn(ids, last, slot, p2, p1, case)
+    # the last id is coded first
+    state = np.full(lanes, LEAST, np.uint64)
+    half, full_bits, whole = np.uint64(32), np.uint64(63 - TOTAL), np.uint64(1 << TOTAL)
+    words: list[np.ndarray] = []
+    for start, wide in zip(reversed(starts), reversed(widths)):
+        now = state[:start.shape[1]]
+        for t in range(len(start) - 1, -1, -1):
+            w = wide[t]
+            big = np.flatnonzero(now >> full_bits >= w)
+            out = now[big]
+            words.append(out.astype("<u4"))
+            now[big] = out >> half
+            now += now // w * (whole - w) + start[t]
+    data = np.concatenate([state.astype("<u8").view("<u4"), *reversed(words)])
+    crc = zlib.crc32(np.asarray(block).astype("<u4").tobytes())
+    return HEAD.pack(MAGIC, n, vocabulary, crc, len(data)) + data.tobytes()
 
 
 def decode_blocks(records: list[bytes]) -> list[np.ndarray]:
     """Ids of block records; a record that was damaged is an error."""
-    heads = [HEAD.unpack_from(r) if len(r) >= HEAD.size else (b"",) for r in records]
-    if any(h[0] != MAGIC or len(r) != HEAD.size + 2 * h[4] for h, r in zip(heads, records)):
+    return [_decoded(r) for r in records]
+
+
+def _decoded(record: bytes) -> np.ndarray:
+    head = HEAD.unpack_from(record) if len(record) >= HEAD.size else (b"",)
+    if head[0] != MAGIC or len(record) != HEAD.size + 4 * head[4]:
         raise ValueError("not a whole block of token ids")
-    if len({h[2] for h in heads}) > 1:
-        raise ValueError("blocks of different vocabularies")
-    return in_lanes(_decoded, records, [h[1] for h in heads])
-
-
-def _decoded(records: list[bytes]) -> list[np.ndarray]:
-    heads = [HEAD.unpack_from(r) for r in records]
-    n, sizes, vocabulary = len(records), np.array([h[1] for h in heads]), heads[0][2]
-    longest = int(sizes.max(initial=0))
-    words = np.zeros((max(h[4] for h in heads) + 8, n), np.uint64)
-    for i, (h, r) in enumerate(zip(heads, records)):
-        words[:h[4], i] = np.frombuffer(r, "<u2", h[4], HEAD.size)
-    span = np.full(n, 1 << 48, np.uint64)
-    value = (words[0] << np.uint64(32)) | (words[1] << np.uint64(16)) | words[2]
-    taken, ending = np.full(n, 3, np.int64), len(words) - 1  # a damaged block may ask for more
-    ids = np.zeros((longest, n), np.int64)
-    count = np.tile(first_counts(vocabulary).astype(np.int32), (n, 1))
-    seen = np.zeros((3, n, 9), np.int64)
-    after = np.zeros((2, n * SLOTS), np.int32)  # what last followed a context
-    state = np.zeros((2, n * SLOTS), np.int8)  # its situation, 0 to 2
-    lane = np.arange(n)
-    padded = -(-vocabulary // 256) * 256
-    below = np.full((n, padded), 2 ** 31 - 1, np.int32)  # counts of smaller ids
-    last = before = np.full(n, 0xFFFF)
-    least, half = np.uint64(1 << 32), np.uint64(16)
-    for t in range(longest):
-        k = int(np.searchsorted(-sizes, -t, side="left"))
-        at = lane[:k]
-        if t % STEP == 0:
-            np.cumsum(count[:, :-1], axis=1, out=below[:, 1:vocabulary])
-            below[:, 0] = 0
-            total = below[:, vocabulary - 1].astype(np.int64) + count[:, -1]
-            coarse = (below[:, ::256].astype(np.int64) + (lane[:, None] << 32)).ravel()
-            wide = padded // 256
-            w2s, w1s = (w << PART for w in weights(*seen))
-        one, two = slots(last[:k], before[:k])
-        one, two = one + at * SLOTS, two + at * SLOTS
-        p1, p2 = after[0][one], after[1][two]
-        s1, s2 = state[0][one].astype(np.int64), state[1][two].astype(np.int64)
-        case = 3 * s2 + s1
-        w2, w1 = w2s[at, case], w1s[at, case]
-        base = w2 + w1
-        rest = (1 << TOTAL) - base
-        unit = span[:k] >> np.uint64(TOTAL)
-        x = np.minimum(value[:k] // unit, np.uint64((1 << TOTAL) - 1)).astype(np.int64)
-        is2, is1 = x < w2, (x >= w2) & (x < base)
-        want = ((np.maximum(x - base, 0) + 1) * total[:k] - 1) // rest
-        found = (np.searchsorted(coarse, want + (at << 32), side="right") - 1 - at * wide) * 256
-        for bit in (128, 64, 32, 16, 8, 4, 2, 1):
-            found += bit * (below[at, found + bit] <= want)
-        low = below[at, found].astype(np.int64)
-        start = base + low * rest // total[:k]
-        end = base + upper(below, total, vocabulary, at, found) * rest // total[:k]
-        new = np.where(is2, p2, np.where(is1, p1, found))
-        start = np.where(is2, 0, np.where(is1, w2, start))
-        width = np.maximum(np.where(is2, w2, np.where(is1, w1, end - start)), 1)
-        value[:k] -= unit * start.astype(np.uint64)
-        span[:k] = unit * width.astype(np.uint64)
-        short = np.flatnonzero(span[:k] < least)
-        while len(short):
-            value[short] = (value[short] << half) | words[np.minimum(taken[short], ending), short]
-            taken[short] += 1
-            span[short] <<= half
-            short = short[span[short] < least]
-        ids[t, :k] = new
-        count[at, new] += COUNT
-        seen[0, at, case] += 1
-        seen[1, at, case] += is2
-        seen[2, at, case] += is1
-        state[0][one] = np.where((s1 > 0) & (new == p1), 2, 1)
-        state[1][two] = np.where((s2 > 0) & (new == p2), 2, 1)
-        after[0][one] = new
-        after[1][two] = new
-        before = last
-        last = ids[t]
-    out = []
-    for i, h in enumerate(heads):
-        found = ids[:h[1], i]
-        if zlib.crc32(found.astype("<u4").tobytes()) != h[3]:
-            raise ValueError("a block of token ids fails its checksum")
-        out.append(found)
-    return out
-
-
-def upper(below: np.ndarray, total: np.ndarray, vocabulary: int, at: np.ndarray,
-          found: np.ndarray) -> np.ndarray:
-    """Counts of ids up to and with ``found``, when the counts were last renewed."""
-    end = found == vocabulary - 1
-    return np.where(end, total[at], below[at, np.where(end, found, found + 1)])
+    _, n, vocabulary, crc, size = head
+    lanes, steps, full = shape(n)
+    if size < 2 * lanes or not 0 < vocabulary < 1 << PLAIN:
+        raise ValueError("a block of token ids has a damaged head")
+    data = np.frombuffer(record, "<u4", size, HEAD.size)
+    state = data[:2 * lanes].copy().view("<i8").astype(np.int64)
+    words, taken = data[2 * lanes:].astype(np.int64), 0
+    grid = np.full((steps + 2, lanes), vocabulary, np.int64)
+    m = Mixture(n, vocabulary)
+    for a, z in renewals(steps):
+        k = lanes if z < steps else full
+        now, ends, at = state[:k], m.ends, m.inverse()
+        held = []
+        for t in range(a, z):
+            slot, p2, new, case = found = m.look(grid[t + 1, :k], grid[t, :k])
+            held.append(found)
+            start, wide = m.w2.take(case), m.w1.take(case)
+            x = now & ((1 << TOTAL) - 1)
+            hit = np.flatnonzero(x < start)
+            far = np.flatnonzero(x >= m.base.take(case))
+            new = new.copy()
+            new[hit], wide[hit], start[hit] = p2[hit], start[hit], 0
+            c = case[far]
+            b, rest = m.base.take(c), m.rest.take(c)
+            # below 2 ** 43 by at least 2 ** 18: rounding does not reach the next number
+            place = ((((x[far] - b + 1) << PLAIN) - 1) / rest).astype(np.int64)
+            found = at.take(place)
+            low = ends.take(found) * rest >> PLAIN
+            new[far], start[far] = found, b + low
+            wide[far] = (ends.take(found + 1) * rest >> PLAIN) - low
+            grid[t + 2, :k] = new
+            now >>= TOTAL
+            now *= wide
+            now += x - start
+            short = np.flatnonzero(now < LEAST)
+            more = words[taken:taken + len(short)]
+            if len(more) < len(short):
+                raise ValueError("a block of token ids ends too early")
+            now[short] = (now[short] << 32) | more
+            taken += len(short)
+        if z < steps:
+            looked = map(np.concatenate, zip(*held))
+            m.learn(grid[a + 2:z + 2].ravel(), grid[a + 1:z + 1].ravel(), *looked)
+    ids = np.concatenate([grid[2:, :full].T.ravel(), grid[2:-1, full:].T.ravel()]) if n else grid[2:].ravel()
+    if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+        raise ValueError("a block of token ids fails its checksum")
+    return ids
+
+
+#: Letters, numbers and other characters apart, after lower-casing.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPACES, LETTER, DIGIT, OTHER, APOSTROPHE, ODD = range(6)
+KIND = np.full(256, ODD, np.uint8)  # also of "<", which may open a special token
+KIND[:128] = OTHER
+KIND[bt.SPACE] = SPACES
+KIND[[*range(65, 91), *range(97, 123)]] = LETTER
+KIND[48:58] = DIGIT
+KIND[ord("'")] = APOSTROPHE
+KIND[ord("<")] = ODD
+#: The second byte of the letters from U+00C0 on, which has 0xC3 before it.
+SECOND = np.zeros(256, bool)
+SECOND[[*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)]] = True
+
+
+def parted(before: int, after: int) -> bool:
+    """May no match of PATTERN run across these kinds of characters?"""
+    return (DIGIT in (before, after) or (before, after) == (OTHER, LETTER)
+            or before == LETTER and after in (OTHER, APOSTROPHE))
+
+
+PAIRS = [divmod(pair, 8) for pair in range(64)]
+BEGINS = np.array([b != SPACES and (a == SPACES or parted(a, b)) for a, b in PAIRS])
+ENDS = np.array([a != SPACES and (b == SPACES or parted(a, b)) for a, b in PAIRS])
+
+
+def units(raw: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Parts of texts that PATTERN never runs across, in lower case, and how many
+    lie before the end of each text.  Words with other bytes than ASCII and letters up
+    to U+00FF, or with "<", stay whole and as they are."""
+    if not len(raw):
+        return pa.array([], pa.large_string()), np.zeros(len(starts) - 1, np.int64)
+    kind, low = KIND.take(raw), bt.LOWER.take(raw)
+    latin = np.flatnonzero(raw[:-1] == 0xC3)
+    if len(latin):
+        second = raw[latin + 1]
+        good = SECOND[second]
+        latin, second = latin[good] + 1, second[good]
+        kind[latin - 1] = kind[latin] = LETTER
+        low[latin] = second + 32 * (second < 0x9F)
+    odd = np.flatnonzero(kind == ODD)
+    edge = starts[1:-1]
+    edge = edge[(edge > 0) & (edge < len(raw))]
+    if len(odd):
+        begin, stop, _ = bt.word_spans(raw, starts)
+        word = np.unique(np.searchsorted(begin, odd, side="right") - 1)
+        sizes = stop[word] - begin[word]
+        at = np.repeat(begin[word] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        kind[at] = ODD
+        low[at] = raw[at]
+    pair = (kind[:-1] << 3) | kind[1:]
+    begins, ends = np.empty(len(raw), bool), np.empty(len(raw), bool)
+    begins[0], ends[-1] = kind[0] != SPACES, kind[-1] != SPACES
+    BEGINS.take(pair, out=begins[1:])
+    ENDS.take(pair, out=ends[:-1])
+    begins[edge] |= kind[edge] != SPACES
+    ends[edge - 1] |= kind[edge - 1] != SPACES
+    begin, last = np.flatnonzero(begins), np.flatnonzero(ends)
+    data = low[kind != SPACES]
+    cuts = np.zeros(len(begin) + 1, np.int64)
+    np.cumsum(last - begin + 1, out=cuts[1:])
+    found = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(cuts), pa.py_buffer(data))
+    return found, np.searchsorted(begin, starts[1:], side="left")
 
 
 class WordTokenizer:
     """Ids of texts by a tokenizer whose tokens never run across white space.
 
-    Equal words are encoded once per worker.
+    Equal words are encoded once per worker.  Where its rules are those of PATTERN,
+    words of ASCII are taken apart first, and new runs of letters are encoded
+    together: the last token of each has a mark.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        rules = json.loads(self.tokenizer.to_str())
+        mark = rules["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        # every byte has an id, with and without the mark
+        self.plain = bool(mark) and rules["model"]["type"] == "BPE" and not rules["post_processor"] and (
+            rules["normalizer"] == {"type": "Sequence", "normalizers": [
+                {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+                {"type": "Lowercase"}]}
+            and rules["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+            and all(t["content"].startswith("<") for t in rules["added_tokens"])
+            and all(c in vocabulary and c + mark in vocabulary for c in pre_tokenizers.ByteLevel.alphabet()))
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if mark:
+            self.last[[i for w, i in vocabulary.items() if w.endswith(mark)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.starts = np.zeros(1 << 16, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.known)
+        ends = self.starts[n] + np.cumsum(sizes)
+        self.starts = room(self.starts, n + len(words) + 1)
+        self.starts[n + 1:n + 1 + len(words)] = ends
+        self.ids = room(self.ids, int(self.starts[n + len(words)]))
+        self.ids[self.starts[n]:self.starts[n + len(words)]] = ids
+        self.known.update(zip(words, range(n, n + len(words))))
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words that are not known."""
+        rest = words
+        if self.plain:
+            letters = [w for w in words if w.isalpha() and max(w) <= "\xff" and w.islower()]
+            if letters:
+                joined = self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)
+                ids = np.array(joined[0].ids, np.int64)
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) == len(letters) and ends[-1] == len(ids):
+                    self._add(letters, ids, np.diff(ends, prepend=0))
+                    rest = [w for w in words if w not in self.known]
+        if rest:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+            self._add(rest, np.array([i for e in found for i in e], np.int64),
+                      np.array([len(e) for e in found], np.int64))
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts back to back, an end id after each; where texts start."""
         raw, starts = bt.flat(texts)
-        begin, stop, owner = bt.word_spans(raw, starts)
-        # words back to back, so that Arrow finds the distinct ones
-        sizes = stop - begin
-        data = ragged(raw, begin, sizes, np.arange(len(begin)))
-        cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        words = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(cuts.tobytes()),
-                                                 pa.py_buffer(data.tobytes())).dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        new = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(new) > KNOWN:
-            self.known.clear()
-            new = distinct
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, np.int64)
-        tables = [*(self.known[w] for w in distinct), np.array([end], np.int64)]
-        lengths = np.array([len(t) for t in tables])
-        codes = words.indices.to_numpy()
+        if self.plain:
+            words, before = units(raw, starts)
+        else:
+            begin, stop, _ = bt.word_spans(raw, starts)
+            cuts = np.concatenate([[0], np.cumsum(stop - begin)]).astype(np.int64)
+            words = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(cuts),
+                                                     pa.py_buffer(raw[~bt.SPACE[raw]]))
+            before = np.searchsorted(begin, starts[1:], side="left")
+        words = words.dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) + len(distinct) > KNOWN:
+            self._forget()
+        place = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            self._learn([distinct[i] for i in new])
+            place[new] = np.fromiter(map(self.known.get, map(distinct.__getitem__, new)), np.int64, len(new))
         # the end id comes after the last word of its text
-        texts_n = len(starts) - 1
-        last = np.searchsorted(owner, np.arange(texts_n), side="right")
-        codes = np.insert(codes, last, len(distinct))
-        ids = ragged(np.concatenate(tables), np.cumsum(lengths) - lengths, lengths, codes)
-        ends = np.cumsum(lengths[codes])[last + np.arange(texts_n)] if texts_n else []
-        return ids, np.concatenate([[0], ends]).astype(np.int64)
+        offsets = np.append(self.starts[place], 0)
+        sizes = np.append(self.starts[place + 1] - self.starts[place], 1)
+        codes = np.insert(words.indices.to_numpy(), before, len(distinct))
+        n = sizes[codes]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.repeat(offsets[codes] - ends + n, n)
+        at += np.arange(total)
+        stops = ends[before + np.arange(len(before))]
+        at[stops - 1] = 0
+        ids = self.ids[at]
+        ids[stops - 1] = end
+        return ids, np.concatenate([[0], stops]).astype(np.int64)
+
+
+def room(values: np.ndarray, n: int) -> np.ndarray:
+    """``values`` with places for ``n`` at least."""
+    return values if n <= len(values) else np.concatenate([values, np.zeros(max(n, len(values)), values.dtype)])
 
 
 _READ: dict[str, WordTokenizer] = {}
@@ -319,9 +461,9 @@ def tokenizer_of(path: str) -> WordTokenizer:
 
 
 def token_ids(batches: Iterable[pa.RecordBatch], t: WordTokenizer, end: int) -> Iterator[pa.RecordBatch]:
-    """``_id`` and its ids as 16-bit numbers, a few million bytes of text at a time."""
+    """``_id`` and its ids as 16-bit numbers, some millions of bytes of text at a time."""
     for big in batches:
-        for b in chunks(big, "_text", 2_000_000):
+        for b in chunks(big, "_text", 4_000_000):
             ids, starts = t.encode(b.column("_text"), end)
             if ids.max(initial=0) > 0xFFFF:
                 raise ValueError("ids must be below 65,536")
@@ -340,7 +482,7 @@ def evenly(ids: np.ndarray) -> list[np.ndarray]:
 
 
 def packed_rows(batches: Iterable[pa.RecordBatch], piece: int, vocabulary: int,
-                limit: int = BLOCK * LANES) -> Iterator[pa.RecordBatch]:
+                limit: int = ROW_IDS) -> Iterator[pa.RecordBatch]:
     """File rows of documents that come in order; a row has about ``limit`` ids."""
     held_ids: list[int] = []
     held: list[np.ndarray] = []

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -66,3 +67,55 @@ def test_edges(spark):
     assert [g[2] for g in got] == [None, 3, 3, 3, 9] and sum(g[1] for g in got) == 5 + 1 + 2 + 1
     assert [g[0] for g in got] == [0, *np.cumsum([g[1] for g in got])[:-1].tolist()]
     assert tf.token_report(docs.limit(0), TOKENIZER).count() == 0
+
+
+def test_lanes_come_back():
+    rng = np.random.default_rng(3)
+    for n in (1023, 1024, 1025, 1535, 3 * 512 + 511, 40_000):
+        block = np.where(rng.random(n) < .6, np.arange(n) % 97, rng.integers(0, 49408, n))
+        record = tf.encode_blocks([block], 49408)[0]
+        assert (tf.decode_blocks([record])[0] == block).all()
+    for at in range(4, len(record), 997):
+        bad = bytearray(record)
+        bad[at] ^= 32
+        with pytest.raises(ValueError):
+            tf.decode_blocks([bytes(bad)])
+
+
+def test_coding_is_array_work():
+    # beside sorting the same ids, so that a slow machine does not matter: about 90 before, 10 now
+    def least(work, tries):
+        took = []
+        for _ in range(tries):
+            t = time.process_time()
+            result = work()
+            took.append(time.process_time() - t)
+        return min(took), result
+
+    rng = np.random.default_rng(4)
+    ids = np.minimum(rng.zipf(1.3, 1_000_000), 49407)
+    noise = rng.integers(0, 2 ** 62, len(ids))
+    sort, _ = least(lambda: np.sort(noise, kind="mergesort"), 5)
+    coding, back = least(lambda: tf.decode_blocks(tf.encode_blocks(tf.evenly(ids), 49408)), 2)
+    assert (np.concatenate(back) == ids).all()
+    assert coding < 30 * sort
+
+
+def test_words_are_taken_apart():
+    t = tf.WordTokenizer(TOKENIZER)
+    texts = ["Word word, word. (word) WORD! été Été, ÉTÉ", "word42 it's ''s x'sa 'Re", "÷× ªº µ <|ENDOFTEXT|> a<|endoftext|>b <3",
+             "a\x1cb c\x85d\xa0e  f Ét é, ≠ Σας ΣΑΣ ß ÿ,Ÿ", "'", "", "word"]
+    ids, starts = t.encode(pa.array(texts), 1)
+    for x, a, z in zip(texts, starts[:-1], starts[1:]):
+        assert ids[a:z].tolist() == t.tokenizer.encode(x, add_special_tokens=False).ids + [1], repr(x)
+    few = tf.WordTokenizer(TOKENIZER)
+    few.encode(pa.array(texts[:1]), 1)
+    assert sorted(few.known) == ["!", "(", ")", ",", ".", "word", "été"]
+
+
+def test_words_over_the_limit(monkeypatch):
+    monkeypatch.setattr(tf, "KNOWN", 6)
+    t = tf.WordTokenizer(TOKENIZER)
+    for text in ("one two three", "four five two", "one two three four five six seven eight", "two nine"):
+        ids, _ = t.encode(pa.array([text]), 1)
+        assert ids.tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids + [1]
