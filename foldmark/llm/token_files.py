@@ -64,10 +64,10 @@ KNOWN = 1_000_000
 STATES = np.arange(32)
 NO_TWO = STATES % 16 < 4
 NO_ONE = (STATES % 4 == 0) | (STATES >= 16) & ~NO_TWO
-IDS = 0xFFFFFF << 2  # bits of an entry that are the id
 #: State of an entry after an id, by situation and (second half) whether it was right.
 AFTER2, AFTER1 = (np.concatenate([np.ones(32, np.int64), np.where(old == 0, 1, np.minimum(old + 1, 3))])
                   for old in (STATES % 16 // 4, STATES % 4))
+AFTER2 <<= 2
 
 
 def first_counts(vocabulary: int) -> np.ndarray:
@@ -87,9 +87,11 @@ def weights(n: np.ndarray, two: np.ndarray, one: np.ndarray) -> tuple[np.ndarray
 class Mixture:
     """What the ids coded so far say about the next ones; both directions use it.
 
-    An entry of order 1 or 2 is its place in the order of learning, the id, and
-    a state: 0 nothing yet, 1 wrong last time, 2 right once, 3 right more often.
-    The largest entry of a context is its latest, in whatever order they come.
+    An entry of order 1 or 2 is its place in the order of learning (32 bits), the
+    id (28) and a state of two bits, those of order 2 above those of order 1: 0
+    nothing yet, 1 wrong last time, 2 right once, 3 right more often.  The largest
+    entry of a context is its latest, in whatever order they come; to look it up
+    takes only its lower half.
     """
 
     def __init__(self, n: int, vocabulary: int):
@@ -97,8 +99,9 @@ class Mixture:
             raise ValueError(f"a vocabulary must be smaller than {1 << PLAIN}")
         bits = min(max(n.bit_length(), 8), 20)
         self.shift = 64 - bits
-        self.two = np.zeros(1 << bits, np.int64)
-        self.one = np.zeros(vocabulary + 1, np.int64)
+        self.two, self.one = np.zeros(1 << bits, "<i8"), np.zeros(vocabulary + 1, "<i8")
+        self.low2, self.low1 = self.two.view("<i4"), self.one.view("<i4")
+        self.fresh: list[np.ndarray] = []
         self.count = first_counts(vocabulary)
         self.seen = np.zeros((3, 32), np.int64)
         self.learnt = self.counted = 0
@@ -134,27 +137,29 @@ class Mixture:
     def look(self, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
         """Slot of order 2, ids of orders 2 and 1, the situation."""
         slot = self.slots(last, before)
-        e2, e1 = self.two.take(slot), self.one.take(last)
-        case = ((e2 & 3) << 2) | (e1 & 3)
-        e2, e1 = e2 & IDS, e1 & IDS
-        case[e2 == e1] += 16
-        return slot, e2 >> 2, e1 >> 2, case
+        e2, e1 = self.low2.take(slot << 1), self.low1.take(last << 1)
+        case = ((e2 | e1) & 15).astype(np.int64)
+        case += ((e2 ^ e1) < 16) * 16
+        return slot, e2 >> 4, e1 >> 4, case
 
     def learn(self, ids: np.ndarray, last: np.ndarray, slot: np.ndarray, p2: np.ndarray,
               p1: np.ndarray, case: np.ndarray) -> None:
         """Take in ids (flat, in their order) and what was looked up for them."""
         right2, right1 = p2 == ids, p1 == ids
         fresh = np.arange(self.learnt + 1, self.learnt + 1 + len(ids)) << 32
-        fresh |= ids << 2
-        np.maximum.at(self.two, slot, fresh | AFTER2.take(case + 32 * right2))
+        fresh |= ids << 4
+        case2 = case + 32 * right2
+        np.maximum.at(self.two, slot, fresh | AFTER2.take(case2))
         np.maximum.at(self.one, last, fresh | AFTER1.take(case + 32 * right1))
         right1 &= ~right2
-        which = np.bincount(case + 32 * right2 + 64 * right1, minlength=96).reshape(3, 32)
+        which = np.bincount(case2 + 64 * right1, minlength=96).reshape(3, 32)
         self.seen += [which.sum(axis=0), which[1], which[2]]
         self._weigh()
-        np.add.at(self.count, ids, COUNT)
+        self.fresh.append(ids)
         self.learnt += len(ids)
         if 4 * (self.learnt - self.counted) >= self.counted:
+            self.count += COUNT * np.bincount(np.concatenate(self.fresh), minlength=len(self.count))
+            self.fresh.clear()
             self._order0()
             self.counted = self.learnt
 
@@ -201,9 +206,9 @@ def _encoded(block: np.ndarray, vocabulary: int) -> bytes:
         start = m.ends.take(ids) * rest >> PLAIN
         wide = (m.ends.take(ids + 1) * rest >> PLAIN) - start
         start += m.base.take(case)
-        hit = np.flatnonzero((p1 == ids) & (w1 > 0))
+        hit, = ((p1 == ids) & (w1 > 0)).nonzero()
         start[hit], wide[hit] = w2[hit], w1[hit]
-        hit = np.flatnonzero((p2 == ids) & (w2 > 0))
+        hit, = ((p2 == ids) & (w2 > 0)).nonzero()
         start[hit], wide[hit] = 0, w2[hit]
         starts.append(start.reshape(z - a, k).view(np.uint64))
         widths.append(wide.reshape(z - a, k).view(np.uint64))
@@ -217,7 +222,7 @@ def _encoded(block: np.ndarray, vocabulary: int) -> bytes:
         now = state[:start.shape[1]]
         for t in range(len(start) - 1, -1, -1):
             w = wide[t]
-            big = np.flatnonzero(now >> full_bits >= w)
+            big, = (now >> full_bits >= w).nonzero()
             out = now[big]
             words.append(out.astype("<u4"))
             now[big] = out >> half
@@ -252,14 +257,14 @@ def _decoded(record: bytes) -> np.ndarray:
         for t in range(a, z):
             slot, p2, new, case = found = m.look(grid[t + 1, :k], grid[t, :k])
             held.append(found)
-            start, wide = m.w2.take(case), m.w1.take(case)
+            start, wide, base = m.w2.take(case), m.w1.take(case), m.base.take(case)
             x = now & ((1 << TOTAL) - 1)
-            hit = np.flatnonzero(x < start)
-            far = np.flatnonzero(x >= m.base.take(case))
+            hit, = (x < start).nonzero()
+            far, = (x >= base).nonzero()
             new = new.copy()
             new[hit], wide[hit], start[hit] = p2[hit], start[hit], 0
-            c = case[far]
-            b, rest = m.base.take(c), m.rest.take(c)
+            b = base[far]
+            rest = (1 << TOTAL) - b
             # below 2 ** 43 by at least 2 ** 18: rounding does not reach the next number
             place = ((((x[far] - b + 1) << PLAIN) - 1) / rest).astype(np.int64)
             found = at.take(place)
@@ -270,7 +275,7 @@ def _decoded(record: bytes) -> np.ndarray:
             now >>= TOTAL
             now *= wide
             now += x - start
-            short = np.flatnonzero(now < LEAST)
+            short, = (now < LEAST).nonzero()
             more = words[taken:taken + len(short)]
             if len(more) < len(short):
                 raise ValueError("a block of token ids ends too early")
@@ -306,9 +311,14 @@ def parted(before: int, after: int) -> bool:
             or before == LETTER and after in (OTHER, APOSTROPHE))
 
 
-PAIRS = [divmod(pair, 8) for pair in range(64)]
-BEGINS = np.array([b != SPACES and (a == SPACES or parted(a, b)) for a, b in PAIRS])
-ENDS = np.array([a != SPACES and (b == SPACES or parted(a, b)) for a, b in PAIRS])
+PAIRS = [divmod(pair, 8) for pair in range(256)]
+BEGINS = np.array([b != SPACES and (a == SPACES or parted(a, b)) for a, b in PAIRS], np.uint8)
+ENDS = np.array([a != SPACES and (b == SPACES or parted(a, b)) for a, b in PAIRS], np.uint8)
+
+
+def looked_up(raw: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """``table[raw]`` for bytes, without an index of 8 bytes for each."""
+    return np.frombuffer(bytearray(raw).translate(table.tobytes()), np.uint8)
 
 
 def units(raw: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -317,7 +327,7 @@ def units(raw: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     to U+00FF, or with "<", stay whole and as they are."""
     if not len(raw):
         return pa.array([], pa.large_string()), np.zeros(len(starts) - 1, np.int64)
-    kind, low = KIND.take(raw), bt.LOWER.take(raw)
+    kind, low = looked_up(raw, KIND), looked_up(raw, bt.LOWER)
     latin = np.flatnonzero(raw[:-1] == 0xC3)
     if len(latin):
         second = raw[latin + 1]
@@ -338,8 +348,7 @@ def units(raw: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     pair = (kind[:-1] << 3) | kind[1:]
     begins, ends = np.empty(len(raw), bool), np.empty(len(raw), bool)
     begins[0], ends[-1] = kind[0] != SPACES, kind[-1] != SPACES
-    BEGINS.take(pair, out=begins[1:])
-    ENDS.take(pair, out=ends[:-1])
+    begins[1:], ends[:-1] = looked_up(pair, BEGINS), looked_up(pair, ENDS)
     begins[edge] |= kind[edge] != SPACES
     ends[edge - 1] |= kind[edge - 1] != SPACES
     begin, last = np.flatnonzero(begins), np.flatnonzero(ends)
