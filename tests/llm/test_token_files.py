@@ -83,7 +83,7 @@ def test_lanes_come_back():
 
 
 def test_coding_is_array_work():
-    # beside sorting the same ids, so that a slow machine does not matter: about 90 before, 10 now
+    # beside sorting as many numbers, so that a slow machine does not matter: 54 before
     def least(work, tries):
         took = []
         for _ in range(tries):
@@ -119,3 +119,29 @@ def test_words_over_the_limit(monkeypatch):
     for text in ("one two three", "four five two", "one two three four five six seven eight", "two nine"):
         ids, _ = t.encode(pa.array([text]), 1)
         assert ids.tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids + [1]
+
+
+def test_other_rules_leave_words_whole(tmp_path):
+    import json
+
+    rules = json.loads(open(TOKENIZER, encoding="utf-8").read())
+    rules["normalizer"]["normalizers"].pop()  # case is kept
+    (tmp_path / "cased.json").write_text(json.dumps(rules), encoding="utf-8")
+    t = tf.WordTokenizer(str(tmp_path / "cased.json"))
+    text = "Word word, WORD! été ÉTÉ x'S <|endoftext|> a1"
+    ids, _ = t.encode(pa.array([text, "", None]), 1)
+    assert not t.plain and "word," in t.known
+    assert ids.tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids + [1, 1, 1]
+
+
+def test_a_long_text_spans_blocks(monkeypatch):
+    monkeypatch.setattr(tf, "BLOCK", 3000)
+    t = tf.WordTokenizer(TOKENIZER)
+    rng = random.Random(5)
+    text = " ".join(rng.choice(["word,", "Été", "x1", "don't"]) for _ in range(5000))
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8]), pa.array([text, "end"])], ["_id", "_text"])
+    rows = list(tf.packed_rows(tf.token_ids([batch], t, 1), 0, 49408))
+    blocks = rows[0].column("blocks")[0].as_py()
+    ids = [i for x in (text, "end") for i in t.tokenizer.encode(x, add_special_tokens=False).ids + [1]]
+    assert len(rows) == 1 and len(blocks) == -(-len(ids) // 3000) > 3
+    assert np.concatenate(tf.decode_blocks(blocks)).tolist() == ids
